@@ -17,9 +17,7 @@ from tallyframe.operators.balances import with_account_totals
 from tallyframe.operators.joins import account_ownership_check
 from tallyframe.plans.keys import anti_on_key
 from tallyframe.schema import ENUMS, TOTAL
-
-Ledger = dict[str, DataFrame]
-
+from tallyframe.sources.ledger import Ledger
 
 def _report(df: DataFrame, reason: Column, id_col: str = "id") -> DataFrame:
     return df.select(
@@ -228,7 +226,7 @@ def delete_categories_cascade(L: Ledger, requests: DataFrame, recompute: bool =
     asked = requests.select("id", "user_id").distinct()
     gone = L["categories"].join(asked, ["id", "user_id"], "left_semi").select("id")
     report = asked.join(gone.withColumn("_found", F.lit(True)), "id", "left")
-    out = dict(L)
+    out: dict[str, DataFrame] = {}
     out["categories"] = L["categories"].join(gone, "id", "left_anti").select(*L["categories"].columns)
     out["transactions"] = anti_on_key(L["transactions"], gone, "category_id", "id")
     out["limits"] = anti_on_key(L["limits"], gone, "category_id", "id")
@@ -237,7 +235,7 @@ def delete_categories_cascade(L: Ledger, requests: DataFrame, recompute: bool =
         totals = with_account_totals(L["accounts"], out["transactions"])
         balance = (F.col("initial_balance") + F.col("total_income") - F.col("total_expense")).cast(TOTAL)
         out["accounts"] = totals.withColumn("balance", balance).select(*L["accounts"].columns)
-    return out, _report(report, F.when(F.col("_found").isNull(), "not found"))
+    return L.replaced(**out), _report(report, F.when(F.col("_found").isNull(), "not found"))
 
 
 def delete_users_cascade(L: Ledger, requests: DataFrame) -> tuple[Ledger, DataFrame]:
@@ -249,7 +247,7 @@ def delete_users_cascade(L: Ledger, requests: DataFrame) -> tuple[Ledger, DataFr
     def owned_by_gone(table: str) -> DataFrame:
         return L[table].join(found.toDF("user_id"), "user_id", "left_semi").select("id")
 
-    out = dict(L)
+    out: dict[str, DataFrame] = {}
     out["users"] = L["users"].join(found, "id", "left_anti").select(*L["users"].columns)
     for table in ("categories", "accounts", "transactions", "recurring", "budgets"):
         out[table] = anti_on_key(L[table], found, "user_id", "id").select(*L[table].columns)
@@ -258,7 +256,7 @@ def delete_users_cascade(L: Ledger, requests: DataFrame) -> tuple[Ledger, DataFr
                                       categories, "category_id", "id")
     out["recurring"] = _null_key(anti_on_key(out["recurring"], accounts, "account_id", "id"), categories, "category_id")
     out["limits"] = anti_on_key(anti_on_key(L["limits"], budgets, "budget_id", "id"), categories, "category_id", "id")
-    return out, _report(report, F.when(F.col("_found").isNull(), "not found"))
+    return L.replaced(**out), _report(report, F.when(F.col("_found").isNull(), "not found"))
 
 
 def delete_recurring(recurring: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -41,11 +41,11 @@ def query(fn: Query) -> Query:
     return fn
 
 
-def _ledger(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+def _ledger(spark: SparkSession, d: str) -> ledger.Ledger:
     return ledger.load(spark, d)
 
 
-def _stored(L: dict[str, DataFrame]) -> DataFrame:
+def _stored(L: ledger.Ledger) -> DataFrame:
     return balances.stored_accounts(L["accounts"], L["transactions"])
 
 
@@ -185,7 +185,7 @@ def q_signed_amount(spark, d):
     return filters.with_signed_amount(_ledger(spark, d)["transactions"]).select("id", "type", "amount", "signed_amount")
 
 
-def _budget_drafts(L: dict[str, DataFrame]) -> DataFrame:
+def _budget_drafts(L: ledger.Ledger) -> DataFrame:
     """Budgets with mixed period types, some without a start or an end."""
     kind = F.element_at(F.array(*[F.lit(k) for k in S.ENUMS["period_type"]]), (F.year("start_date") % 4 + 1).cast("int"))
     return L["budgets"].withColumns({
@@ -560,7 +560,7 @@ def q_delete_accounts_guarded(spark, d):
 def _delete_categories(spark, d, recompute=False):
     """Owners delete their machinery and furniture categories; the others are asked for by strangers."""
     L = _ledger(spark, d)
-    L["accounts"] = _stored(L)
+    L = L.replaced(accounts=_stored(L))
     asker = F.when(F.col("name").isin("machinery", "furniture"), F.col("user_id")).otherwise(F.col("user_id") + 1)
     requests = L["categories"].filter("NOT is_system").select("id", asker.alias("user_id"))
     return L, *mutations.delete_categories_cascade(L, requests, recompute)
@@ -811,8 +811,7 @@ def q_history_by_entity(spark, d):
 # --- streams ------------------------------------------------------------------------
 
 def _table_stream(spark: SparkSession, d: str, table: str) -> DataFrame:
-    schema = spark.read.parquet(f"{d}/{table}.parquet").schema
-    return ledger_streams.file_stream(spark, d, schema, f"{table}.parquet")
+    return ledger_streams.file_stream(spark, d, ledger.INPUT_SCHEMAS[table], f"{table}.parquet")
 
 
 @query

@@ -6,6 +6,8 @@ needs are read from the files.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,8 +16,17 @@ from tallyframe.schema import INCOME, MONEY, OUTCOME
 from tallyframe.sources.literals import literal_rows
 
 
+# Declared, so that planning a query starts no schema-inference job.
+INPUT_SCHEMAS = {
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+}
+
+
 def _read(spark: SparkSession, root: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/{table}.parquet")
+    return spark.read.schema(INPUT_SCHEMAS[table]).parquet(f"{root}/{table}.parquet")
 
 
 def currencies(spark: SparkSession) -> DataFrame:
@@ -163,21 +174,47 @@ def event_transactions_of(events: DataFrame) -> DataFrame:
     )
 
 
-def load(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+class Ledger(Mapping):
+    """The ledger tables by name; a table's plan is built when it is first asked for."""
+
+    def __init__(self, builders: dict[str, Callable[[], DataFrame]]):
+        self._builders = builders
+        self._frames: dict[str, DataFrame] = {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._frames:
+            self._frames[name] = self._builders[name]()
+        return self._frames[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._builders)
+
+    def __len__(self) -> int:
+        return len(self._builders)
+
+    def replaced(self, **frames: DataFrame) -> Ledger:
+        """A ledger with some tables exchanged."""
+        out = Ledger(self._builders | {n: (lambda f=f: f) for n, f in frames.items()})
+        out._frames = self._frames | frames
+        return out
+
+
+def load(spark: SparkSession, root: str) -> Ledger:
     """All ledger tables below ``root``. ``accounts`` carry no stored balance here;
     ``operators.balances.stored_accounts`` derives it where a report needs one."""
-    customer = _read(spark, root, "customer")
-    orders = _read(spark, root, "orders")
-    return {
-        "currencies": currencies(spark),
-        "users": users_of(customer),
-        "categories": categories_of(spark, customer),
-        "accounts": accounts_of(customer),
-        "transactions": transactions_of(orders),
-        "recurring": recurring_of(customer),
-        "budgets": budgets_of(customer),
-        "limits": limits_of(customer),
-    }
+    def of(table: str, build: Callable[[DataFrame], DataFrame]) -> Callable[[], DataFrame]:
+        return lambda: build(_read(spark, root, table))
+
+    return Ledger({
+        "currencies": lambda: currencies(spark),
+        "users": of("customer", users_of),
+        "categories": of("customer", lambda c: categories_of(spark, c)),
+        "accounts": of("customer", accounts_of),
+        "transactions": of("orders", transactions_of),
+        "recurring": of("customer", recurring_of),
+        "budgets": of("customer", budgets_of),
+        "limits": of("customer", limits_of),
+    })
 
 
 def event_transactions(spark: SparkSession, root: str) -> DataFrame:
@@ -194,15 +231,14 @@ def load_jdbc(
     tables: dict[str, str],
     partitions: dict[str, tuple[str, int, int, int]] | None = None,
     properties: dict[str, str] | None = None,
-) -> dict[str, DataFrame]:
+) -> Ledger:
     """The same mapping read from a relational store.
 
     ``tables`` maps ledger names to table names; ``partitions`` gives
     (column, lower, upper, count) for tables read by parallel ranges.
     """
-    out = {}
-    for name, table in tables.items():
-        reader = spark.read.format("jdbc").option("url", url).option("dbtable", table)
+    def read(name: str) -> DataFrame:
+        reader = spark.read.format("jdbc").option("url", url).option("dbtable", tables[name])
         for key, value in (properties or {}).items():
             reader = reader.option(key, value)
         if partitions and name in partitions:
@@ -211,5 +247,6 @@ def load_jdbc(
                 reader.option("partitionColumn", column).option("lowerBound", lower)
                 .option("upperBound", upper).option("numPartitions", count)
             )
-        out[name] = reader.load()
-    return out
+        return reader.load()
+
+    return Ledger({name: (lambda n=name: read(n)) for name in tables})

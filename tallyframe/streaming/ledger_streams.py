@@ -20,7 +20,7 @@ from tallyframe.schema import TOTAL
 
 
 def file_stream(
-    spark: SparkSession, path: str, schema: StructType, pattern: str = "*.parquet", files_per_batch: int = 1000
+    spark: SparkSession, path: str, schema: StructType | str, pattern: str = "*.parquet", files_per_batch: int = 1000
 ) -> DataFrame:
     return (
         spark.readStream.schema(schema)
