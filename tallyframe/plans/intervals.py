@@ -15,39 +15,38 @@ from pyspark.sql import functions as F
 from tallyframe.schema import TOTAL
 
 
-def _ceil(d: Column, unit: str, months: int) -> Column:
-    low = F.trunc(d, unit)
-    return F.when(low == d, d).otherwise(F.add_months(low, months))
-
-
-def _cells(grain: str, lo: Column, hi: Column, step: str, when: Column | None = None) -> Column:
-    """Cells of one grain in [lo, hi)."""
-    starts = F.sequence(lo, F.date_sub(hi, 1), F.expr(f"INTERVAL {step}"))
-    nonempty = (lo < hi) if when is None else (when & (lo < hi))
-    empty = F.array().cast("array<struct<grain:string,cell:date>>")
-    tagged = F.transform(starts, lambda x: F.struct(F.lit(grain).alias("grain"), x.alias("cell")))
-    return F.when(nonempty, tagged).otherwise(empty)
+def _steps(lo: str, hi: str, step: str, when: str = "true") -> str:
+    """First days of the steps in [lo, hi), none unless ``when`` holds."""
+    days = f"sequence({lo}, date_sub({hi}, 1), INTERVAL 1 {step})"
+    return f"CASE WHEN {when} AND {lo} < {hi} THEN {days} ELSE CAST(array() AS ARRAY<DATE>) END"
 
 
 def interval_cells(df: DataFrame, start: str, end: str) -> DataFrame:
-    """Explode each inclusive [start, end] into columns ``grain`` and ``cell``."""
-    bounds = df.withColumns({"_s": F.col(start), "_e": F.date_add(F.col(end), 1)})
-    bounds = bounds.withColumns({
-        "_m0": _ceil(F.col("_s"), "MM", 1),
-        "_m1": F.trunc("_e", "MM"),
-        "_y0": _ceil(F.col("_s"), "YEAR", 12),
-        "_y1": F.trunc("_e", "YEAR"),
-    })
-    s, e, m0, m1, y0, y1 = (F.col(c) for c in ("_s", "_e", "_m0", "_m1", "_y0", "_y1"))
-    months, years = m0 <= m1, y0 <= y1
-    parts = F.concat(
-        _cells("D", s, F.when(months, m0).otherwise(e), "1 DAY"),
-        _cells("D", m1, e, "1 DAY", months),
-        _cells("M", m0, F.when(years, y0).otherwise(m1), "1 MONTH", months),
-        _cells("M", y1, m1, "1 MONTH", years),
-        _cells("Y", y0, y1, "1 YEAR", years),
+    """Explode each inclusive [start, end] into columns ``grain`` and ``cell``.
+
+    _s and _e bound the interval half-open; _m0, _m1 its whole months; _y0, _y1
+    its whole years.
+    """
+    months, years = "_m0 <= _m1", "_y0 <= _y1"
+    grains = {
+        "D": f"concat({_steps('_s', f'IF({months}, _m0, _e)', 'DAY')}, {_steps('_m1', '_e', 'DAY', months)})",
+        "M": f"concat({_steps('_m0', f'IF({years}, _y0, _m1)', 'MONTH', months)}, {_steps('_y1', '_m1', 'MONTH', years)})",
+        "Y": _steps("_y0", "_y1", "YEAR", years),
+    }
+    pairs = ", ".join(f"struct('{g}' AS grain, {cells} AS cells)" for g, cells in grains.items())
+    columns = df.columns
+    return (
+        df.selectExpr("*", f"{start} AS _s", f"date_add({end}, 1) AS _e")
+        .selectExpr(
+            "*",
+            "IF(trunc(_s, 'MM') = _s, _s, add_months(trunc(_s, 'MM'), 1)) AS _m0",
+            "trunc(_e, 'MM') AS _m1",
+            "IF(trunc(_s, 'YEAR') = _s, _s, add_months(trunc(_s, 'YEAR'), 12)) AS _y0",
+            "trunc(_e, 'YEAR') AS _y1",
+        )
+        .selectExpr(*columns, f"inline(array({pairs})) AS (grain, _cells)")
+        .selectExpr(*columns, "grain", "explode(_cells) AS cell")
     )
-    return bounds.select(*df.columns, F.inline(parts).alias("grain", "cell"))
 
 
 def fact_cells(facts: DataFrame, keys: list[str], measures: dict[str, Column], date: str = "date") -> DataFrame:

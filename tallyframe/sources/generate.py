@@ -61,7 +61,10 @@ def generate_transactions(
         return categories.filter("is_system").agg(F.count_if(F.col("type") == kind).alias("n")).scalar()
 
     numbers = F.explode(F.sequence(F.lit(1), F.lit(n_per_user))).alias("_no")
-    rows = users.select(F.col("id").alias("user_id")).join(n_active, "user_id").select("user_id", "_n_acc", numbers)
+    # Each user becomes n_per_user rows, so the few bytes per user are spread before that.
+    parts = int(users.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    people = users.select(F.col("id").alias("user_id")).join(n_active, "user_id").repartition(parts, F.xxhash64("user_id"))
+    rows = people.select("user_id", "_n_acc", numbers)
     rows = rows.withColumn("_hash", F.md5(F.concat_ws("/", F.lit(str(seed)), "user_id", "_no")))
     rows = rows.withColumn("type", F.when(_draw(0, 100) < OUTCOME_SHARE, OUTCOME).otherwise(INCOME))
     is_income = F.col("type") == INCOME

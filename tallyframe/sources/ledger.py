@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tallyframe import schema as S
 from tallyframe.schema import INCOME, MONEY, OUTCOME
@@ -35,45 +34,39 @@ def currencies(spark: SparkSession) -> DataFrame:
 
 
 def users_of(customer: DataFrame) -> DataFrame:
-    key = F.col("c_custkey")
-    return customer.select(
-        key.alias("id"),
-        F.concat(F.lit("user"), key.cast("string"), F.lit("@example.com")).alias("email"),
-        F.when(key % 13 != 0, F.col("c_nationkey") % 20 + 1).cast("long").alias("currency_id"),
+    return customer.selectExpr(
+        "c_custkey AS id",
+        "concat('user', c_custkey, '@example.com') AS email",
+        "CASE WHEN c_custkey % 13 <> 0 THEN CAST(c_nationkey % 20 + 1 AS BIGINT) END AS currency_id",
     )
 
 
 def transactions_of(orders: DataFrame) -> DataFrame:
-    key, cust = F.col("o_orderkey"), F.col("o_custkey")
-    priority = F.col("o_orderpriority")
-    is_income = F.col("o_orderstatus") == "F"
-    digit = F.substring(priority, 1, 1).cast("long")
-    own = ~is_income & (cust % 4 == 0) & (priority == "5-LOW")
-    return orders.select(
-        key.alias("id"),
-        F.when(cust % 50 != 7, cust).alias("user_id"),
-        F.when(is_income, INCOME).otherwise(OUTCOME).alias("type"),
-        F.col("o_totalprice").cast(MONEY).alias("amount"),
-        F.col("o_orderdate").cast("date").alias("date"),
-        F.when(key % 7 != 0, F.concat(priority, F.lit(" order"))).alias("description"),
-        F.when(priority == "4-NOT SPECIFIED", None)
-        .when(own, cust + 1000)
-        .when(is_income, digit)
-        .otherwise(digit + 10)
-        .alias("category_id"),
-        F.when((cust % 50 != 7) & (key % 10 != 0), cust * 3 + key % 3).alias("account_id"),
+    anonymous = "o_custkey % 50 = 7"
+    own_category = "o_orderstatus <> 'F' AND o_custkey % 4 = 0 AND o_orderpriority = '5-LOW'"
+    priority_digit = "CAST(substring(o_orderpriority, 1, 1) AS BIGINT)"
+    return orders.selectExpr(
+        "o_orderkey AS id",
+        f"IF({anonymous}, NULL, o_custkey) AS user_id",
+        f"IF(o_orderstatus = 'F', '{INCOME}', '{OUTCOME}') AS type",
+        f"CAST(o_totalprice AS {MONEY}) AS amount",
+        "CAST(o_orderdate AS DATE) AS date",
+        "IF(o_orderkey % 7 = 0, NULL, concat(o_orderpriority, ' order')) AS description",
+        f"""CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN NULL
+             WHEN {own_category} THEN o_custkey + 1000
+             ELSE {priority_digit} + IF(o_orderstatus = 'F', 0, 10) END AS category_id""",
+        f"IF({anonymous} OR o_orderkey % 10 = 0, NULL, o_custkey * 3 + o_orderkey % 3) AS account_id",
     )
 
 
 def raw_transactions_of(orders: DataFrame) -> DataFrame:
     """Transactions as they arrive, with wrong types and foreign accounts among them."""
     t = transactions_of(orders)
-    return t.withColumns({
-        "type": F.when(F.col("id") % 211 == 0, "TRANSFER")
-        .when(F.col("id") % 101 == 0, OUTCOME)
-        .otherwise(F.col("type")),
-        "account_id": F.when(F.col("id") % 89 == 0, F.col("account_id") + 3).otherwise(F.col("account_id")),
-    })
+    changed = {
+        "type": f"CASE WHEN id % 211 = 0 THEN 'TRANSFER' WHEN id % 101 = 0 THEN '{OUTCOME}' ELSE type END AS type",
+        "account_id": "IF(id % 89 = 0, account_id + 3, account_id) AS account_id",
+    }
+    return t.selectExpr(*[changed.get(c, c) for c in t.columns])
 
 
 def system_categories(spark: SparkSession) -> DataFrame:
@@ -86,91 +79,79 @@ def system_categories(spark: SparkSession) -> DataFrame:
 
 
 def categories_of(spark: SparkSession, customer: DataFrame) -> DataFrame:
-    key = F.col("c_custkey")
-    own = customer.filter(key % 4 == 0).select(
-        (key + 1000).alias("id"),
-        F.lower("c_mktsegment").alias("name"),
-        F.lit(OUTCOME).alias("type"),
-        F.lit(False).alias("is_system"),
-        key.alias("user_id"),
+    own = customer.filter("c_custkey % 4 = 0").selectExpr(
+        "c_custkey + 1000 AS id",
+        "lower(c_mktsegment) AS name",
+        f"'{OUTCOME}' AS type",
+        "false AS is_system",
+        "c_custkey AS user_id",
     )
     return system_categories(spark).unionByName(own)
 
 
 def accounts_of(customer: DataFrame) -> DataFrame:
-    key, k = F.col("c_custkey"), F.col("k")
-    return customer.select("c_custkey", "c_acctbal", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k")).select(
-        (key * 3 + k).alias("id"),
-        F.concat(F.lit("acct_"), k.cast("string")).alias("name"),
-        F.when(k == 0, "BANK").when(k == 1, "CASH").otherwise("CREDIT_CARD").alias("account_type"),
-        F.when(k == 0, F.col("c_acctbal")).otherwise(F.lit(0.0)).cast(MONEY).alias("initial_balance"),
-        (~((k == 2) & (key % 5 == 0))).alias("is_active"),
-        F.lit("2024-01-01 00:00:00").cast("timestamp").alias("updated_at"),
-        key.alias("user_id"),
+    return customer.selectExpr("c_custkey", "c_acctbal", "explode(array(0, 1, 2)) AS k").selectExpr(
+        "c_custkey * 3 + k AS id",
+        "concat('acct_', k) AS name",
+        "CASE k WHEN 0 THEN 'BANK' WHEN 1 THEN 'CASH' ELSE 'CREDIT_CARD' END AS account_type",
+        f"CAST(IF(k = 0, c_acctbal, 0) AS {MONEY}) AS initial_balance",
+        "NOT (k = 2 AND c_custkey % 5 = 0) AS is_active",
+        "TIMESTAMP '2024-01-01 00:00:00' AS updated_at",
+        "c_custkey AS user_id",
     )
 
 
 def budgets_of(customer: DataFrame) -> DataFrame:
-    key, y = F.col("c_custkey"), F.col("y")
-    balance = F.col("c_acctbal").cast(MONEY)
-    return customer.select(
-        "c_custkey", "c_acctbal", F.explode(F.sequence(F.lit(1995), F.lit(2001))).alias("y")
-    ).select(
-        (key * 10 + (y - 1995)).alias("id"),
-        F.concat(F.lit("budget_"), y.cast("string")).alias("name"),
-        F.lit("YEARLY").alias("period_type"),
-        F.make_date(y, F.lit(1), F.lit(1)).alias("start_date"),
-        F.make_date(y, F.lit(12), F.lit(31)).alias("end_date"),
-        F.when(balance > 0, (balance * 50).cast(MONEY)).alias("total_expense_limit"),
-        ((key + y) % 4 != 0).alias("is_active"),
-        key.alias("user_id"),
+    balance = f"CAST(c_acctbal AS {MONEY})"
+    return customer.selectExpr("c_custkey", "c_acctbal", "explode(sequence(1995, 2001)) AS y").selectExpr(
+        "c_custkey * 10 + (y - 1995) AS id",
+        "concat('budget_', y) AS name",
+        "'YEARLY' AS period_type",
+        "make_date(y, 1, 1) AS start_date",
+        "make_date(y, 12, 31) AS end_date",
+        f"IF({balance} > 0, CAST({balance} * 50 AS {MONEY}), NULL) AS total_expense_limit",
+        "(c_custkey + y) % 4 <> 0 AS is_active",
+        "c_custkey AS user_id",
     )
 
 
 def limits_of(customer: DataFrame) -> DataFrame:
-    per_budget = budgets_of(customer).select(
-        F.col("id").alias("budget_id"),
-        "user_id",
-        F.explode(F.array(*[F.lit(c).cast("long") for c in (11, 12, 13, 15)])).alias("category_id"),
+    per_budget = budgets_of(customer).selectExpr(
+        "id AS budget_id", "user_id", "explode(array(11L, 12L, 13L, 15L)) AS category_id"
     )
-    amount = F.when(F.col("user_id") % 100 == 3, F.lit(0)).otherwise((F.col("category_id") - 10) * 10000)
-    return per_budget.select(
-        (F.col("budget_id") * 100 + F.col("category_id")).alias("id"),
+    return per_budget.selectExpr(
+        "budget_id * 100 + category_id AS id",
         "budget_id",
         "category_id",
-        amount.cast(MONEY).alias("limit_amount"),
+        f"CAST(IF(user_id % 100 = 3, 0, (category_id - 10) * 10000) AS {MONEY}) AS limit_amount",
     )
 
 
 def recurring_of(customer: DataFrame) -> DataFrame:
-    key = F.col("c_custkey")
-    return customer.select(
-        key.alias("id"),
-        key.alias("user_id"),
-        (key * 3).alias("account_id"),
-        (key % 10 + 100).cast(MONEY).alias("amount"),
-        F.when(key % 37 == 0, INCOME).otherwise(OUTCOME).alias("type"),
-        F.when(key % 11 != 0, F.lit(11).cast("long")).alias("category_id"),
-        F.when(key % 5 != 0, F.lit("rent")).alias("description"),
-        F.when(key % 4 == 0, "daily").when(key % 4 == 1, "weekly").when(key % 4 == 2, "monthly")
-        .otherwise("yearly").alias("frequency"),
-        F.make_date(
-            F.lit(1995), (key % 12 + 1).cast("int"), ((key % 31) % 28 + 1).cast("int")
-        ).alias("start_date"),
-        F.when(key % 6 == 0, F.lit("1997-12-31").cast("date")).alias("end_date"),
+    return customer.selectExpr(
+        "c_custkey AS id",
+        "c_custkey AS user_id",
+        "c_custkey * 3 AS account_id",
+        f"CAST(c_custkey % 10 + 100 AS {MONEY}) AS amount",
+        f"IF(c_custkey % 37 = 0, '{INCOME}', '{OUTCOME}') AS type",
+        "IF(c_custkey % 11 = 0, NULL, 11L) AS category_id",
+        "IF(c_custkey % 5 = 0, NULL, 'rent') AS description",
+        "element_at(array('daily', 'weekly', 'monthly', 'yearly'), CAST(c_custkey % 4 AS INT) + 1) AS frequency",
+        "make_date(1995, CAST(c_custkey % 12 AS INT) + 1, CAST((c_custkey % 31) % 28 AS INT) + 1) AS start_date",
+        "IF(c_custkey % 6 = 0, DATE '1997-12-31', NULL) AS end_date",
     )
 
 
 def event_transactions_of(events: DataFrame) -> DataFrame:
     """The event table as ledger rows; keeps the event time for the streams."""
-    return events.select(
-        F.col("event_id").alias("id"),
-        F.when(F.col("event_id") % 97 != 0, F.col("user_id")).alias("user_id"),
-        F.when(F.col("event_type").isin("purchase", "signup"), INCOME).otherwise(OUTCOME).alias("type"),
-        F.col("value").cast(MONEY).alias("amount"),
-        F.col("ts").cast("date").alias("date"),
-        F.col("ts").cast("timestamp").alias("ts"),
-        F.when(F.col("event_type") != "error", F.col("event_type")).alias("category_key"),
+    return events.selectExpr(
+        "event_id AS id",
+        "IF(event_id % 97 = 0, NULL, user_id) AS user_id",
+        f"IF(event_type IN ('purchase', 'signup'), '{INCOME}', '{OUTCOME}') AS type",
+        f"CAST(value AS {MONEY}) AS amount",
+        "CAST(ts AS DATE) AS date",
+        "CAST(ts AS TIMESTAMP) AS ts",
+        "IF(event_type = 'error', NULL, event_type) AS category_key",
     )
 
 
