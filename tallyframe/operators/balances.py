@@ -108,12 +108,12 @@ def balance_at_requests(accounts: DataFrame, transactions: DataFrame, requests:
 def account_balance(
     accounts: DataFrame, transactions: DataFrame, account_id: int, as_of: dt.date
 ) -> DataFrame:
-    """Balance of one account; evaluating it for an unknown account raises an error."""
+    """Balance of one account; an unknown one is looked up at once and raises ``LookupError``."""
     one = accounts.filter(F.col("id") == F.lit(account_id))
+    if one.isEmpty():
+        raise LookupError(f"Account not found: {account_id}")
     rows = transactions.filter(F.col("account_id") == F.lit(account_id))
-    found = balance_on_date(one, rows, as_of).agg(F.first("balance").alias("balance"), F.count(F.lit(1)).alias("_n"))
-    missing = F.raise_error(F.lit(f"Account not found: {account_id}")).cast(TOTAL)
-    return found.select(F.when(F.col("_n") == 0, missing).otherwise(F.col("balance")).alias("balance"))
+    return balance_on_date(one, rows, as_of).select("account_id", "balance")
 
 
 def total_active_balance(users: DataFrame, stored: DataFrame) -> DataFrame:

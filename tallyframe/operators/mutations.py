@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tallyframe.functions import scalars as X
 from tallyframe.operators.balances import with_account_totals
 from tallyframe.operators.joins import account_ownership_check
-from tallyframe.plans.keys import anti_on_key
+from tallyframe.plans.keys import anti_on_key, left_lookup
 from tallyframe.schema import ENUMS, TOTAL
 from tallyframe.sources.ledger import Ledger
 
@@ -214,7 +214,7 @@ def delete_accounts_guarded(
 def _null_key(df: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     """NULL a foreign key that points at a deleted row."""
     flagged = gone.toDF("_gone").withColumn("_hit", F.lit(True))
-    joined = df.join(flagged, df[key] == flagged["_gone"], "left")
+    joined = left_lookup(df, flagged, key, "id", "_gone")
     return joined.withColumn(key, F.when(F.col("_hit").isNull(), F.col(key))).select(*df.columns)
 
 

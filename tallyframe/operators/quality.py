@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.plans.keys import category_lookup, left_lookup
+from tallyframe.plans.keys import SCATTER, category_lookup, left_lookup
 from tallyframe.schema import ENUMS, OUTCOME
 
 
@@ -43,10 +43,12 @@ def check_unique(df: DataFrame, keys: list[str]) -> DataFrame:
 
     Repeated keys are found by a combining count and joined back with the rows
     on the splittable side, so one very frequent key is not gathered anywhere.
+    Rows with a NULL key take a slot of their own and do not meet either.
     """
     keyed = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
     repeated = df.filter(keyed).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    marked = df.join(repeated, keys, "left")
+    slot = F.when(keyed, F.lit(0)).otherwise(F.pmod(F.xxhash64(*df.columns), F.lit(SCATTER)).cast("int"))
+    marked = df.withColumn("_slot", slot).join(repeated.withColumn("_slot", F.lit(0)), [*keys, "_slot"], "left")
     return marked.select(*df.columns, F.when(F.col("_n").isNotNull(), "duplicate key").alias("reason"))
 
 

@@ -173,14 +173,14 @@ def budget_limit_check(
     ordered: bool = True,
     budget_id: int | None = None,
 ) -> DataFrame:
-    """Use of every category limit. With ``budget_id``, one budget; an unknown one fails when run."""
+    """Use of every category limit, or of one budget's limits with ``budget_id``.
+
+    An unknown ``budget_id`` is looked up at once and raises ``LookupError``.
+    """
     if budget_id is not None:
-        known = budgets.filter(F.col("id") == F.lit(budget_id)).agg(F.count(F.lit(1)).alias("n")).select(
-            F.when(F.col("n") == 0, F.raise_error(F.lit(f"Budget not found: {budget_id}")).cast("long"))
-            .otherwise(F.lit(budget_id).cast("long"))
-            .alias("budget_id")
-        )
-        budgets = budgets.join(known.withColumnRenamed("budget_id", "id"), "id", "left_semi")
+        budgets = budgets.filter(F.col("id") == F.lit(budget_id))
+        if budgets.isEmpty():
+            raise LookupError(f"Budget not found: {budget_id}")
         limits = limits.filter(F.col("budget_id") == F.lit(budget_id))
     rows = category_lookup(limit_totals(limits, budgets, transactions), categories, spread="id")
     out = rows.filter(F.col("category_name").isNotNull()).select(
