@@ -110,14 +110,16 @@ def budget_matches(budgets: DataFrame, transactions: DataFrame) -> DataFrame:
 
     Budgets are opened into the months they touch, so the join is an equi-join
     on (user, month) and a busy user's rows spread over the calendar; the inner
-    join lets AQE split whichever side is heavy.
+    join lets AQE split whichever side is heavy. The merge hint keeps the opened
+    budgets, which look smaller to the optimizer than they are, from being
+    broadcast.
     """
     spans = month_span(
         budgets.select(F.col("id").alias("budget_id"), "user_id", "start_date", "end_date"), "start_date", "end_date"
     )
     rows = transactions.withColumn("_month", X.month_of("date"))
     return (
-        rows.join(spans, ["user_id", "_month"])
+        rows.join(spans.hint("merge"), ["user_id", "_month"])
         .filter(F.col("date").between(F.col("start_date"), F.col("end_date")))
         .drop("_month", "start_date", "end_date")
     )

@@ -47,7 +47,7 @@ def budget_transaction_join(budgets: DataFrame, transactions: DataFrame) -> Data
     ).select("budget_id", "user_id", "transaction_id", "type", "amount", "date")
     days = transactions.select("user_id", "date").distinct().withColumn("_month", X.month_of("date"))
     met = (
-        days.join(month_span(b, "start_date", "end_date"), ["user_id", "_month"])
+        days.join(month_span(b, "start_date", "end_date").hint("merge"), ["user_id", "_month"])
         .filter(F.col("date").between(F.col("start_date"), F.col("end_date")))
         .select("budget_id")
         .distinct()

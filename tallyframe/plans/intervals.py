@@ -77,16 +77,18 @@ def interval_totals(
     measures: dict[str, Column],
     carry: list[str] | None = None,
 ) -> DataFrame:
-    """Totals per interval (and per ``carry`` fact column); intervals without facts are absent.
+    """Totals per interval (and per ``carry`` fact column), NULL for an interval without facts.
 
-    ``keys`` are equality columns present on both sides.
+    ``keys`` are equality columns present on both sides. The left join keeps
+    the exploded side, which looks smaller to the optimizer than it is, from
+    being broadcast; the cells are sums whose size AQE knows.
     """
     carry = carry or []
     cells = fact_cells(facts, keys + carry, measures)
     spans = interval_cells(intervals.select(interval_id, *keys, start, end), start, end)
     return (
         spans.select(interval_id, *keys, "grain", "cell")
-        .join(cells, [*keys, "grain", "cell"])
+        .join(cells, [*keys, "grain", "cell"], "left")
         .groupBy(interval_id, *carry)
         .agg(*[F.sum(n).cast(TOTAL).alias(n) for n in measures])
     )

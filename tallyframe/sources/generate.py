@@ -38,7 +38,9 @@ def generate_transactions(
 
     Accounts and own categories are numbered inside their user, and a drawn
     number is an equi-join key, so no list of a user's rows is ever collected.
-    A row whose type has no visible category is skipped.
+    A row whose type has no visible category is skipped. The drawn numbers always
+    exist, and left joins keep the multiplied rows on the side that is never
+    broadcast.
     """
     active = position_in_group(
         accounts.filter("is_active").select(F.col("id").alias("account_id"), "user_id"),
@@ -70,7 +72,7 @@ def generate_transactions(
     is_income = F.col("type") == INCOME
 
     rows = rows.withColumn("_acc_no", _draw(1, F.col("_n_acc")))
-    rows = rows.join(active.select("user_id", "_acc_no", "account_id"), ["user_id", "_acc_no"])
+    rows = rows.join(active.select("user_id", "_acc_no", "account_id"), ["user_id", "_acc_no"], "left")
     rows = rows.join(n_own, ["user_id", "type"], "left").withColumn(
         "_n_sys", F.when(is_income, n_system(INCOME)).otherwise(n_system(OUTCOME))
     )
