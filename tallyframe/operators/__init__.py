@@ -1 +1 @@
-"""See the package README for the layout."""
+"""Ledger operators: DataFrames in, DataFrames out."""

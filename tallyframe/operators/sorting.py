@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions import scalars as X
+from tallyframe.plans.keys import BLOCK_BITS
 from tallyframe.schema import PAGE_SIZE
 
 # Pages that end within this rank are cut by Spark's group limit before the shuffle.
@@ -30,8 +31,9 @@ def transaction_page(df: DataFrame, page: int = 1, page_size: int = PAGE_SIZE) -
     """Page ``page`` of every user's list, newest first, with the row's position.
 
     Early pages keep at most ``page * page_size`` rows per user and task before
-    the shuffle. Deep pages first find, from daily counts, the days of each
-    user the page touches, and only rank rows of those days.
+    the shuffle. Deep pages find from counts which days, and inside a day which
+    blocks of ids, the page touches, and rank only rows of those blocks: at
+    most 2^16 each, even if one user has most rows on one day.
     """
     first, last = (page - 1) * page_size + 1, page * page_size
     rows = df.filter(F.col("user_id").isNotNull())
@@ -40,16 +42,27 @@ def transaction_page(df: DataFrame, page: int = 1, page_size: int = PAGE_SIZE) -
         ranked = rows.withColumn("position", F.row_number().over(newest))
         return ranked.filter(F.col("position") <= last).filter(F.col("position") >= first)
 
-    days = rows.groupBy("user_id", "date").agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.partitionBy("user_id").orderBy(F.col("date").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    days = days.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-    touched = days.filter((F.col("_before") < last) & (F.col("_before") + F.col("_n") >= first))
-    inside = Window.partitionBy("user_id", "date").orderBy(F.col("id").desc())
+    def touched(counts: DataFrame, group: list[str], step: str) -> DataFrame:
+        """Steps of ``counts`` (group, step, _base, _n) that overlap the page, with the rows before them."""
+        earlier = Window.partitionBy(*group).orderBy(F.col(step).desc()).rowsBetween(Window.unboundedPreceding, -1)
+        before = F.col("_base") + F.coalesce(F.sum("_n").over(earlier), F.lit(0))
+        return (
+            counts.withColumn("_before", before)
+            .filter((F.col("_before") < last) & (F.col("_before") + F.col("_n") >= first))
+            .select(*group, step, F.col("_before").alias("_base"))
+        )
+
+    count = F.count(F.lit(1)).alias("_n")
+    days = rows.groupBy("user_id", "date").agg(count).withColumn("_base", F.lit(0).cast("long"))
+    rows = rows.withColumn("_block", F.shiftright("id", BLOCK_BITS))
+    near = rows.join(touched(days, ["user_id"], "date"), ["user_id", "date"])
+    blocks = near.groupBy("user_id", "date", "_base", "_block").agg(count)
+    page_blocks = touched(blocks, ["user_id", "date"], "_block")
+    inside = Window.partitionBy("user_id", "date", "_block").orderBy(F.col("id").desc())
     return (
-        rows.join(touched.select("user_id", "date", "_before"), ["user_id", "date"])
-        .withColumn("position", (F.col("_before") + F.row_number().over(inside)).cast("int"))
+        rows.join(page_blocks, ["user_id", "date", "_block"])
+        .withColumn("position", (F.col("_base") + F.row_number().over(inside)).cast("int"))
         .filter(F.col("position").between(first, last))
-        .drop("_before")
         .select(*df.columns, "position")
     )
 

@@ -1 +1 @@
-"""See the package README for the layout."""
+"""Plan shapes shared by operators, and the dashboard."""

@@ -1 +1 @@
-"""See the package README for the layout."""
+"""Readers, writers, seeding and generation."""

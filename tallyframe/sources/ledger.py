@@ -231,3 +231,28 @@ def load_jdbc(
         return reader.load()
 
     return Ledger({name: (lambda n=name: read(n)) for name in tables})
+
+
+LEDGER_SCHEMAS = {
+    "currencies": S.CURRENCY,
+    "users": S.USER,
+    "categories": S.CATEGORY,
+    "accounts": S.ACCOUNT,
+    "transactions": S.TRANSACTION,
+    "recurring": S.RECURRING,
+    "budgets": S.BUDGET,
+    "limits": S.LIMIT,
+}
+
+
+def read_snapshot(spark: SparkSession, path: str) -> Ledger:
+    """Ledger tables stored by ``sinks.write_snapshot``."""
+    return Ledger({
+        name: (lambda n=name, s=schema: spark.read.schema(s).parquet(f"{path}/{n}"))
+        for name, schema in LEDGER_SCHEMAS.items()
+    })
+
+
+def open_ledger(spark: SparkSession, url: str, **jdbc) -> Ledger:
+    """Ledger behind a URL: a relational store (``jdbc:...``) or a snapshot folder."""
+    return load_jdbc(spark, url, **jdbc) if url.startswith("jdbc:") else read_snapshot(spark, url)

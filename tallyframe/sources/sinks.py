@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions import scalars as X
+from tallyframe.sources.ledger import LEDGER_SCHEMAS
 
 
 def append_transactions(df: DataFrame, path: str) -> None:
@@ -23,6 +26,19 @@ def append_transactions(df: DataFrame, path: str) -> None:
     )
 
 
+def write_snapshot(ledger: Mapping[str, DataFrame], path: str) -> None:
+    """Store changed tables in a new folder.
+
+    The tables read from the old version while they are written, so an existing
+    folder is refused. Reading the snapshot back also cuts the lineage of a
+    chain of changes, on storage that outlives executors.
+    """
+    for name, df in ledger.items():
+        schema = LEDGER_SCHEMAS[name]
+        typed = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
+        typed.write.mode("error").parquet(f"{path}/{name}")
+
+
 def export_transactions_json(df: DataFrame) -> DataFrame:
     return df.select(
         "id",

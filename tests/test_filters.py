@@ -76,7 +76,8 @@ def test_period_bounds(spark, kind, start, end):
 
 
 def test_pages_are_the_same_on_both_ways(spark, small, monkeypatch):
-    many = small.transactions(*[(i, 1 if i % 3 else 2, "OUTCOME", 1, f"2024-01-{i % 5 + 1:02d}") for i in range(120)])
+    # ids far apart, so that a day holds several id blocks
+    many = small.transactions(*[(i * 9000, 1 if i % 3 else 2, "OUTCOME", 1, f"2024-01-{i % 5 + 1:02d}") for i in range(120)])
     want = {}
     for user in (1, 2):
         mine = sorted((r for r in many.collect() if r.user_id == user), key=lambda r: (r.date, r.id), reverse=True)

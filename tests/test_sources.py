@@ -66,3 +66,53 @@ def test_append_and_export(spark, small, tmp_path):
     assert spark.read.json(str(tmp_path / "json")).count() == 2
     cats = small.categories((2, "b", "OUTCOME", 1), (1, "a", "INCOME", None))
     assert rows(sinks.export_categories_json(cats))[0] == (1, '{"id":1,"name":"a","type":"INCOME","is_system":true}')
+
+
+def test_snapshots_chain_changes(spark, small, tmp_path):
+    import pytest
+
+    from tallyframe.operators import balances, mutations
+    from tallyframe.sources import ledger
+
+    L = ledger.load(spark, "/root/testdata/sf0.001")
+    first, second = str(tmp_path / "v1"), str(tmp_path / "v2")
+    sinks.write_snapshot(L.replaced(accounts=balances.stored_accounts(L["accounts"], L["transactions"])), first)
+    stored = ledger.open_ledger(spark, first)
+    assert {n: stored[n].count() for n in stored} == {n: L[n].count() for n in L}
+    out, _ = mutations.delete_users_cascade(stored, stored["users"].filter("currency_id IS NULL").select("id"))
+    sinks.write_snapshot(out, second)
+    after = ledger.open_ledger(spark, second)
+    assert after["users"].filter("currency_id IS NULL").count() == 0
+    assert balances.balance_reconciliation(after["accounts"], after["transactions"]).filter("NOT is_consistent").count() == 0
+    with pytest.raises(Exception, match="already exists"):
+        sinks.write_snapshot(out, second)
+
+
+def test_jdbc_reader_options():
+    """Which options reach the JDBC source; no database is opened."""
+    from tallyframe.sources import ledger
+
+    class Reader:
+        def __init__(self):
+            self.seen = {}
+
+        def format(self, name):
+            self.seen["format"] = name
+            return self
+
+        def option(self, key, value):
+            self.seen[key] = value
+            return self
+
+        def load(self):
+            return self.seen
+
+    class Session:
+        @property
+        def read(self):
+            return Reader()
+
+    L = ledger.open_ledger(Session(), "jdbc:x", tables={"transactions": "t", "users": "u"},
+                           partitions={"transactions": ("id", 0, 1000, 8)}, properties={"fetchsize": "10000"})
+    assert L["users"] == {"format": "jdbc", "url": "jdbc:x", "dbtable": "u", "fetchsize": "10000"}
+    assert L["transactions"]["numPartitions"] == 8 and L["transactions"]["partitionColumn"] == "id"
