@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import chain
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +14,7 @@ from tallyframe.schema import (
     PERIOD_LABELS,
     TOTAL,
 )
+from tallyframe.sources.literals import sql_literal
 
 
 def col(c: str | Column) -> Column:
@@ -110,7 +109,7 @@ def list_date(d: str | Column) -> Column:
     # Month names as the lists abbreviate them.
     names = ["Jan.", "Feb.", "March", "April", "May", "June",
              "July", "Aug.", "Sept.", "Oct.", "Nov.", "Dec."]
-    month = F.element_at(F.array(*[F.lit(n) for n in names]), F.month(col(d)))
+    month = F.element_at(F.expr("array(" + ", ".join(map(sql_literal, names)) + ")"), F.month(col(d)))
     return F.concat(month, F.lit(" "), F.day(col(d)).cast("string"), F.lit(", "), F.year(col(d)).cast("string"))
 
 
@@ -154,7 +153,7 @@ def null_text(c: str | Column) -> Column:
 # --- labels ----------------------------------------------------------------
 
 def _literal_map(pairs: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for x in chain.from_iterable(pairs.items())])
+    return F.expr("map(" + ", ".join(sql_literal(x) for pair in pairs.items() for x in pair) + ")")
 
 
 def category_label(name: str | Column, is_system: str | Column, lang: str = "en") -> Column:

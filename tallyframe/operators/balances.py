@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions import scalars as X
+from tallyframe.operators.filters import filter_by_date_range
 from tallyframe.schema import TOTAL
 
 
@@ -80,7 +81,7 @@ def running_balance(accounts: DataFrame, transactions: DataFrame) -> DataFrame:
 
 def balance_on_date(accounts: DataFrame, transactions: DataFrame, as_of: dt.date) -> DataFrame:
     """Balance of every account with rows up to ``as_of`` only."""
-    return recompute_balances(accounts, transactions.filter(F.col("date") <= F.lit(as_of))).withColumn(
+    return recompute_balances(accounts, filter_by_date_range(transactions, None, as_of)).withColumn(
         "date", F.lit(as_of)
     )
 

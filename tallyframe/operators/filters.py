@@ -48,10 +48,16 @@ def filter_by_category(df: DataFrame, category: int | str | None) -> DataFrame:
 
 
 def filter_by_date_range(df: DataFrame, date_from: dt.date | None = None, date_to: dt.date | None = None) -> DataFrame:
+    """Rows of an inclusive range. On facts stored by ``month`` whole folders are skipped."""
+    by_month = "month" in df.columns
     if date_from is not None:
         df = df.filter(F.col("date") >= F.lit(date_from))
+        if by_month:
+            df = df.filter(F.col("month") >= F.lit(date_from.replace(day=1)))
     if date_to is not None:
         df = df.filter(F.col("date") <= F.lit(date_to))
+        if by_month:
+            df = df.filter(F.col("month") <= F.lit(date_to.replace(day=1)))
     return df
 
 

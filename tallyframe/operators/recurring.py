@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions import scalars as X
+from tallyframe.operators.filters import filter_by_date_range
 from tallyframe.plans.keys import category_lookup
 from tallyframe.schema import RECURRING_SUFFIX, TOTAL
 
@@ -55,8 +56,7 @@ def recurring_antijoin(
         F.min_by(F.struct(*[c for c in due.columns if c not in TWIN_KEYS]), "id").alias("r")
     )
     single = single.select(*TWIN_KEYS, "r.*").select(*due.columns)
-    span = F.col("date").between(F.lit(date_from), F.lit(date_to))
-    existing = transactions.filter(span).select(*TWIN_KEYS).distinct()
+    existing = filter_by_date_range(transactions, date_from, date_to).select(*TWIN_KEYS).distinct()
     same = [single[k].eqNullSafe(existing[k]) for k in TWIN_KEYS]
     condition = same[0]
     for s in same[1:]:

@@ -268,6 +268,9 @@ def oracle_sql() -> dict[str, str]:
     # --- sources and sinks
     q["scan_ledger"] = _sql("t", "SELECT * FROM t")
     q["seed_dimensions"] = _sql("c", _seed(keyed, "TRUE", "w.name NOT IN (SELECT name FROM c WHERE is_system)"))
+    q["seed_currencies"] = _sql("cur u r", """
+, ex AS (SELECT * FROM cur WHERE id IN (SELECT u.currency_id FROM u JOIN r ON r.user_id = u.id WHERE r.type = 'INCOME'))
+SELECT * FROM ex UNION ALL SELECT id + (SELECT COALESCE(MAX(id), 0) FROM ex), name, symbol FROM cur WHERE name NOT IN (SELECT name FROM ex)""")
     q["reset_system_categories"] = _sql("c", _seed(S.RESET_CATEGORIES, "NOT is_system", "TRUE"))
     q["generate_transactions"] = _sql("u a c", _GENERATED)
     q["append_transactions"] = _sql("t", "SELECT *, CAST(date_trunc('month', date) AS DATE) AS month FROM t")

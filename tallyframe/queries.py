@@ -61,6 +61,16 @@ def q_seed_dimensions(spark, d):
     return seeds.seed_categories(spark, _ledger(spark, d)["categories"])
 
 
+@query
+def q_seed_currencies(spark, d):
+    """Complete the currencies that users with an INCOME template hold."""
+    L = _ledger(spark, d)
+    earning = L["recurring"].filter(F.col("type") == S.INCOME).select(F.col("user_id").alias("id"))
+    held = L["users"].join(earning, "id", "left_semi").select(F.col("currency_id").alias("id")).distinct()
+    existing = L["currencies"].join(held, "id", "left_semi")
+    return seeds.seed_currencies(spark, existing, by_name=True)
+
+
 @query
 def q_reset_system_categories(spark, d):
     return seeds.reset_system_categories(spark, _ledger(spark, d)["categories"])

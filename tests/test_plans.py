@@ -45,6 +45,37 @@ def test_dates_and_columns_reach_the_scan(spark):
     assert re.search(r"DataFilters: \[isnotnull\(o_orderdate#\d+\), \(o_orderdate#\d+ >= 1997-01-01", text)
 
 
+def test_month_folders_are_skipped(spark, tmp_path):
+    from tallyframe.operators.recurring import recurring_antijoin, recurring_due
+    from tallyframe.sources import sinks
+    L = ledger.load(spark, ROOT)
+    sinks.append_transactions(L["transactions"], str(tmp_path / "facts"))
+    facts = spark.read.parquet(str(tmp_path / "facts"))
+    got = filters.filter_by_date_range(facts, day("1997-02-10"), day("1997-03-05"))
+    assert got.count() == filters.filter_by_date_range(L["transactions"], day("1997-02-10"), day("1997-03-05")).count()
+    pruned = re.search(r"PartitionFilters: \[(.*?)\]", plan(got)).group(1)
+    assert "month" in pruned and "1997-02-01" in pruned and "1997-03-01" in pruned
+    due = recurring_due(L["recurring"], day("1998-06-01"))
+    assert "1998-06-01" in re.search(r"PartitionFilters: \[(.*?month.*?)\]", plan(
+        recurring_antijoin(due, facts, day("1998-06-01"), day("1998-06-01")))).group(1)
+
+
+def test_shared_folder_comes_from_the_session():
+    from types import SimpleNamespace
+
+    from tallyframe.session import shared_dir
+
+    def session(root, master):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: {"spark.checkpoint.dir": root}.get(k) or d),
+                               sparkContext=SimpleNamespace(master=master))
+
+    cluster = session("hdfs://shared/ckpt/", "yarn")
+    one, two = shared_dir(cluster, "x"), shared_dir(cluster, "x")
+    assert one.startswith("hdfs://shared/ckpt/x-") and one != two
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(session(None, "yarn"), "x")
+
+
 def test_early_pages_are_cut_before_the_shuffle(spark):
     t = ledger.load(spark, ROOT)["transactions"]
     text = plan(sorting.transaction_page(t, 2, 50))
