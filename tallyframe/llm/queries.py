@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import decontamination, token_counts, topk_search
+from tallyframe.llm import decontamination, line_dedup, token_counts, topk_search
 from tallyframe.llm.common import table
 
 
@@ -20,12 +20,17 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.drop("items", "spans")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole document without later repeated runs of lines."""
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
 def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest of all vectors to each query vector."""
     return topk_search.exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
-QUERIES = {f.__name__: f for f in (op5_token_counts, op7_benchmark_decontamination, op10_exact_top_k)}
+QUERIES = {f.__name__: f for f in (op5_token_counts, op7_benchmark_decontamination, op8_line_dedup, op10_exact_top_k)}
 
 _ITEM_WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -53,6 +58,48 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
        CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN hit USING (r) LEFT JOIN named USING (r)
+""",
+    "op8_line_dedup": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, md5(text) AS tkey FROM documents),
+split AS (SELECT DISTINCT doc_id, tkey, string_split(text, chr(10)) AS l FROM d WHERE text IS NOT NULL),
+raw AS (SELECT doc_id, tkey, unnest(l) AS line, unnest(range(len(l))) AS n FROM split),
+told AS (SELECT doc_id, tkey, n, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w FROM raw),
+l AS (
+  SELECT doc_id, tkey, n, md5(array_to_string(w, ' ')) AS h, len(w) AS w,
+         row_number() OVER (PARTITION BY doc_id, tkey ORDER BY n) AS p,
+         sum(len(w)) OVER (PARTITION BY doc_id, tkey ORDER BY n) AS upto
+  FROM told WHERE len(w) > 0
+), win AS (
+  SELECT a.doc_id, a.tkey, a.p AS s, b.p AS p, b.h
+  FROM l a JOIN l b ON a.doc_id IS NOT DISTINCT FROM b.doc_id AND a.tkey = b.tkey AND b.p >= a.p AND b.upto - b.w - (a.upto - a.w) < 20
+  WHERE (SELECT max(upto) FROM l c WHERE c.doc_id IS NOT DISTINCT FROM a.doc_id AND c.tkey = a.tkey) - (a.upto - a.w) >= 20
+), pick AS (
+  SELECT DISTINCT doc_id, tkey, p, h FROM win
+  QUALIFY row_number() OVER (PARTITION BY doc_id, tkey, s ORDER BY h, p) = 1
+), one AS (
+  SELECT h, doc_id AS sd, tkey AS st, p AS sp FROM pick
+  QUALIFY row_number() OVER (PARTITION BY h ORDER BY doc_id NULLS LAST, tkey, p) = 1
+), anchor AS (
+  SELECT k.doc_id, k.tkey, k.p, sd, st, k.p - sp AS diag FROM pick k JOIN one USING (h)
+  WHERE NOT (k.doc_id IS NOT DISTINCT FROM sd AND k.tkey = st AND k.p = sp)
+), m AS (
+  SELECT g.*, a.p, a.n, a.w, a.p - row_number() OVER (PARTITION BY g.doc_id, g.tkey, sd, st, diag ORDER BY a.p) AS island
+  FROM (SELECT DISTINCT doc_id, tkey, sd, st, diag FROM anchor) g
+  JOIN l a ON a.doc_id IS NOT DISTINCT FROM g.doc_id AND a.tkey = g.tkey
+  JOIN l b ON b.doc_id IS NOT DISTINCT FROM g.sd AND b.tkey = g.st AND b.p = a.p - g.diag AND b.h = a.h
+), good AS (
+  SELECT m.*, sum(w) OVER (PARTITION BY m.doc_id, m.tkey, m.sd, m.st, m.diag, island) AS total,
+         count(k.p) OVER (PARTITION BY m.doc_id, m.tkey, m.sd, m.st, m.diag, island) AS anchors
+  FROM m LEFT JOIN anchor k ON m.doc_id IS NOT DISTINCT FROM k.doc_id AND m.tkey = k.tkey AND m.sd IS NOT DISTINCT FROM k.sd
+    AND m.st = k.st AND m.diag = k.diag AND m.p = k.p
+), gone AS (SELECT DISTINCT doc_id, tkey, n FROM good WHERE anchors > 0 AND total >= 20),
+left_over AS (
+  SELECT raw.doc_id, raw.tkey, coalesce(string_agg(line, chr(10) ORDER BY raw.n) FILTER (gone.n IS NULL), '') AS text,
+         count(*) AS n_lines, count(gone.n) AS n_removed
+  FROM raw LEFT JOIN gone ON raw.doc_id IS NOT DISTINCT FROM gone.doc_id AND raw.tkey = gone.tkey AND raw.n = gone.n GROUP BY ALL
+)
+SELECT d.doc_id, o.text, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed
+FROM d LEFT JOIN left_over o ON d.doc_id IS NOT DISTINCT FROM o.doc_id AND d.tkey = o.tkey
 """,
     "op10_exact_top_k": """
 WITH v AS (
