@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import decontamination, line_dedup, token_counts, topk_search
+from tallyframe.llm import decontamination, line_dedup, mixing, token_counts, topk_search
 from tallyframe.llm.common import table
 
 
@@ -25,12 +25,17 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
 
 
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the mix takes each document."""
+    return mixing.mixed_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest of all vectors to each query vector."""
     return topk_search.exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
-QUERIES = {f.__name__: f for f in (op5_token_counts, op7_benchmark_decontamination, op8_line_dedup, op10_exact_top_k)}
+QUERIES = {f.__name__: f for f in (op5_token_counts, op7_benchmark_decontamination, op8_line_dedup, op9_source_mixing, op10_exact_top_k)}
 
 _ITEM_WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -100,6 +105,36 @@ left_over AS (
 )
 SELECT d.doc_id, o.text, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed
 FROM d LEFT JOIN left_over o ON d.doc_id IS NOT DISTINCT FROM o.doc_id AND d.tkey = o.tkey
+""",
+    "op9_source_mixing": r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+         md5('mix-1|' || coalesce(CAST(doc_id AS VARCHAR), '')) AS k
+  FROM documents
+), s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS BIGINT) AS w
+  FROM d GROUP BY source
+), o AS (
+  SELECT *, (SELECT CAST(sum(size) AS BIGINT) FROM d) AS total, row_number() OVER (ORDER BY 3.0 * source_size / w, source NULLS LAST) AS n FROM s
+), c AS (
+  SELECT *, CAST(coalesce(sum(3 * source_size) OVER (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before,
+         CAST(sum(w) OVER (ORDER BY n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS ahead FROM o
+), f AS (SELECT *, bool_and((total - before) * w > 3 * source_size * ahead) OVER (ORDER BY n) AS capped FROM c
+), e AS (
+  SELECT max(total) - coalesce(sum(3 * source_size) FILTER (capped), 0) AS rest, sum(w) FILTER (NOT capped) AS share FROM f
+), t AS (
+  SELECT source, source_size,
+         CASE WHEN capped THEN CAST(3 * source_size AS DOUBLE) ELSE CAST(CAST(rest AS BIGINT) * w AS DOUBLE) / CAST(share AS DOUBLE) END AS target
+  FROM f, e
+), q AS (
+  SELECT d.*, source_size, target, CAST(least(floor(target + 0.5), 3 * source_size) AS BIGINT) AS flow,
+         CAST(coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id NULLS LAST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target,
+       CASE WHEN source_size = 0 THEN 0
+            ELSE flow // source_size * size + greatest(0, least(size, flow % source_size - before)) END AS taken
+FROM q
 """,
     "op10_exact_top_k": """
 WITH v AS (
