@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import decontamination, line_dedup, mixing, token_counts, topk_search
+from tallyframe.llm import decontamination, line_dedup, mixing, token_counts, topk_search, url_filters
 from tallyframe.llm.common import table
 
 
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's URL."""
+    return url_filters.judged(table(spark, sf_dir, "pages")).drop("node")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every whole document."""
     return token_counts.token_counts(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", limit=1024)
@@ -35,12 +40,54 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
-QUERIES = {f.__name__: f for f in (op5_token_counts, op7_benchmark_decontamination, op8_line_dedup, op9_source_mixing, op10_exact_top_k)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op5_token_counts, op7_benchmark_decontamination, op8_line_dedup, op9_source_mixing, op10_exact_top_k)}
 
 _ITEM_WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE_SQL = {
+    "op1_url_filters": r"""
+WITH RECURSIVE p AS (
+  SELECT page_id, html, coalesce(url, '') AS url,
+         CASE WHEN contains(url, '://') THEN substr(url, position('://' IN url) + 3) ELSE '' END AS after
+  FROM pages
+), u AS (
+  SELECT page_id, html, contains(url, '://') AS absolute,
+         translate(regexp_extract(after, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(after, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(after, '^[^/?#]*([^#]*)', 1) AS rest
+  FROM p
+), tags AS (
+  SELECT host, host || rest AS node, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)\b[^>]*>')) AS tag FROM u WHERE absolute
+), found AS (
+  SELECT host, node, replace(CASE
+    WHEN regexp_matches(tag, '(?i)\brel\s*=\s*["'']?canonical\b') THEN regexp_extract(tag, '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)
+    WHEN regexp_matches(tag, '(?i)\bhttp-equiv\s*=\s*["'']?refresh\b') THEN regexp_extract(tag, '(?i)\burl\s*=\s*["'']?([^"''\s>]+)', 1)
+  END, '&amp;', '&') AS target FROM tags
+), targets AS (
+  SELECT node, CASE WHEN contains(target, '://') THEN substr(target, position('://' IN target) + 3)
+                    WHEN starts_with(target, '//') THEN substr(target, 3)
+                    WHEN starts_with(target, '/') THEN host || target END AS t
+  FROM found WHERE target <> ''
+), edges AS (
+  SELECT node AS a, translate(regexp_extract(t, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
+                    || regexp_extract(t, '^[^/?#]*([^#]*)', 1) AS b
+  FROM targets WHERE t IS NOT NULL
+), twoway AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
+reach AS (SELECT a, b FROM twoway UNION SELECT r.a, e.b FROM reach r JOIN twoway e ON r.b = e.a),
+rules(verdict, host, path) AS (
+  VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')
+), named AS (SELECT host || rest AS node, host, path FROM u
+  UNION SELECT b, regexp_extract(b, '^[^/?#]*'), regexp_extract(b, '^[^/?#]*([^?#]*)', 1) FROM reach
+), best AS (
+  SELECT node, n.host, n.path, r.host || r.path AS rule, verdict FROM named n
+  LEFT JOIN rules r ON (n.host = r.host OR ends_with(n.host, '.' || r.host)) AND starts_with(n.path, r.path)
+  QUALIFY row_number() OVER (PARTITION BY node, n.host, n.path ORDER BY length(r.host) + length(r.path) DESC NULLS LAST) = 1
+)
+SELECT u.page_id, u.host, u.path, x.rule,
+       coalesce(x.verdict, CASE WHEN EXISTS (
+         SELECT 1 FROM reach JOIN best y ON y.node = reach.b WHERE reach.a = u.host || u.rest AND y.verdict = 'block') THEN 'block' END, 'allow') AS verdict
+FROM u JOIN best x ON x.node = u.host || u.rest AND x.host = u.host AND x.path = u.path
+""",
     "op7_benchmark_decontamination": f"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce({_FOLD.format("text")}, ''), '{_ITEM_WORDS}') AS w FROM documents
