@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import decontamination, line_dedup, mixing, token_counts, topk_search, url_filters
+from tallyframe.llm import decontamination, html_extract, line_dedup, mixing, token_counts, topk_search, url_filters
 from tallyframe.llm.common import table
 
 
@@ -19,6 +19,11 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", limit=1024)
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_extract.extracted(table(spark, sf_dir, "pages"))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark passages in every whole document."""
     found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -40,7 +45,7 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op5_token_counts, op7_benchmark_decontamination, op8_line_dedup, op9_source_mixing, op10_exact_top_k)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op5_token_counts, op6_html_extraction, op7_benchmark_decontamination, op8_line_dedup, op9_source_mixing, op10_exact_top_k)}
 
 _ITEM_WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
