@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import brown_lm, decontamination, html_extract, language_id, line_dedup, mixing, token_counts, topk_search, url_filters
+from tallyframe.llm import brown_lm, decontamination, html_extract, jaccard_join, language_id, line_dedup, mixing, token_counts, topk_search, url_filters
 from tallyframe.llm.common import table
 
 
@@ -14,6 +14,11 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judged(table(spark, sf_dir, "pages")).drop("node")
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of near copies of every whole document."""
+    return jaccard_join.similar_groups(table(spark, sf_dir, "documents"))[0]
+
+
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log probability of every whole document under the class bigram model."""
     return brown_lm.scored_documents(table(spark, sf_dir, "documents"))
@@ -55,7 +60,7 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op3_lm_scoring, op4_language_id, op5_token_counts, op6_html_extraction, op7_benchmark_decontamination, op8_line_dedup, op9_source_mixing, op10_exact_top_k)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_ngram_jaccard_join, op3_lm_scoring, op4_language_id, op5_token_counts, op6_html_extraction, op7_benchmark_decontamination, op8_line_dedup, op9_source_mixing, op10_exact_top_k)}
 
 _ITEM_WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
