@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from tallyframe.llm import textkit as K
 
@@ -148,11 +149,15 @@ def train(labelled: DataFrame) -> ByteNetwork | None:
     """
     usable = labelled.filter("lang IS NOT NULL AND text IS NOT NULL AND text <> ''")
     often = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
-    languages = sorted(r["lang"] for r in often.collect())
+    sizes = {r["lang"]: r["n"] for r in often.collect()}
+    languages = sorted(sizes)
     if not languages:
         return None
     order = Window.partitionBy("lang").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id", "text")
-    rows = usable.filter(F.col("lang").isin(languages)).select(
+    # Of a frequent language only about four times the wanted texts are ranked, by a hash of their id.
+    share = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(min(1.0, 4 * TEXTS_EACH / sizes[k])))])[F.col("lang")]
+    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30)
+    rows = usable.filter(F.col("lang").isin(languages) & drawn).select(
         F.col("doc_id").cast("long").alias("doc_id"), "lang", F.substring("text", 1, CHARS_EACH).alias("text"))
     sample = sorted(((r[0] is None, r[0] or 0), r[1], r[2]) for r in rows.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= TEXTS_EACH).drop("n").collect())
     windows, labels = [], []
@@ -173,18 +178,21 @@ def has_letter(text: str) -> bool:
     return any(unicodedata.category(c)[0] == "L" for c in text)
 
 
-def languages_of(docs: DataFrame, network: ByteNetwork | None) -> DataFrame:
-    """(doc_id, lang_pred, score) of every row; only ``text`` is looked at.
+def with_languages(docs: DataFrame, network: ByteNetwork | None) -> DataFrame:
+    """``docs`` with lang_pred and score (columns of these names are replaced); only ``text`` is looked at.
 
     A NULL text or one without a letter is ``und`` with score 0, and so is all
     without a network.
     """
+    rows = docs.drop("lang_pred", "score")
+    schema = StructType([*rows.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    at_text = rows.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = network.prepared() if network else []
         ascii_letter = (SYMBOL > 0) & (SYMBOL < 27)
         for batch in batches:
-            for a, b, data, off in K.text_chunks(batch.column(1)):
+            for a, b, data, off in K.text_chunks(batch.column(at_text)):
                 lang, score = np.full(b - a, NO_LANGUAGE, object), np.zeros(b - a)
                 if network and len(data):
                     full = np.flatnonzero(np.diff(off) > 0)
@@ -199,12 +207,12 @@ def languages_of(docs: DataFrame, network: ByteNetwork | None) -> DataFrame:
                     best = mean.argmax(axis=1)
                     lang[full], score[full] = np.array(network.languages, object)[best], mean.max(axis=1)
                     lang[~letters], score[~letters] = NO_LANGUAGE, 0.0
+                part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(lang.tolist(), pa.string()), pa.array(np.clip(score, 0, 1))],
-                    ["doc_id", "lang_pred", "score"])
+                    [*part.columns, pa.array(lang.tolist(), pa.string()), pa.array(np.clip(score, 0, 1))], [*rows_columns, "lang_pred", "score"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
+    rows_columns = rows.columns
+    return rows.mapInArrow(run, schema)
 
 
 def identified(docs: DataFrame, folds: int = 3, held: int = 1) -> DataFrame:
@@ -215,5 +223,5 @@ def identified(docs: DataFrame, folds: int = 3, held: int = 1) -> DataFrame:
     """
     fold = fold_of(F.col("doc_id"), folds) == held
     network = train(docs.filter(~fold).select("doc_id", "text", "lang"))
-    out = languages_of(docs, network)
+    out = with_languages(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), network)
     return out.select("doc_id", (fold_of(F.col("doc_id"), folds) == held).alias("held_out"), "lang_pred", "score")
