@@ -100,7 +100,7 @@ def _signatures(words: int):
                 mins = np.zeros((b - a, LEADERS), np.int64)
                 counts = np.zeros((b - a, GROUPS), np.uint32)
                 if len(full):
-                    for k, key in enumerate(_LEADER_KEYS):
+                    for k, key in enumerate(_LEADER_KEYS[:LEADERS]):
                         mins[full, k] = np.minimum.reduceat(K.mix(sets * key), first[:-1][full]).view(np.int64)
                     cell = np.repeat(np.arange(b - a), n) * GROUPS + (sets % np.uint64(GROUPS)).astype(np.int64)
                     counts = np.bincount(cell, minlength=(b - a) * GROUPS).astype(np.uint32).reshape(b - a, GROUPS)
