@@ -14,7 +14,8 @@ points share one of their first ``n - need + 1`` occupied fine groups in any
 common order. Each such group is a region of the index with an R-tree of its
 own. The order puts groups that very many documents occupy last (they come
 from counts over all documents), which keeps regions small; it changes no
-result. What passes the bound is verified on the whole texts.
+result. What passes the bound is bounded once more by finer count vectors and
+then verified on the whole texts.
 
 Sets that are equal are one node. Nodes are first tied to the leader of their
 min-hash groups and verified, so that a large group of near copies is one
@@ -37,6 +38,8 @@ from tallyframe.llm.common import connected_components, stored
 WORDS, PERCENT = 5, 80
 #: Groups of the count vectors.
 GROUPS = 64
+#: Groups of the finer count vectors that candidates are bounded by before their texts meet; a multiple of ``GROUPS``.
+FINE = 1024
 LEADERS = 4
 #: A shingle is common if more documents hold it than this and than 2^-20 of all shingles; so at most 2^20 are common.
 COMMON, COMMON_SHARE = 64, 1 << 20
@@ -316,18 +319,45 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, p
         for batch in batches:
             for a, b, sets, first in shingle_sets(batch.column(1), words):
                 lo, hi = set_codes(sets, first)
+                n = np.diff(first)
                 part = batch.slice(a, b - a)
-                same = (np.diff(first) == part.column(2).to_numpy()) & (lo == part.column(3).to_numpy()) & (hi == part.column(4).to_numpy())
+                same = (n == part.column(2).to_numpy()) & (lo == part.column(3).to_numpy()) & (hi == part.column(4).to_numpy())
+                cell = np.repeat(np.arange(b - a), n) * FINE + (sets % np.uint64(FINE)).astype(np.int64)
+                counts = np.bincount(cell, minlength=(b - a) * FINE).reshape(b - a, FINE)
+                # A count that a byte cannot hold leaves the vector out: no bound then.
+                fine = [c.astype(np.uint8).tobytes() if c.max() < 256 else b"" for c in counts]
                 keep = pa.array(same)
-                yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), part.column(1).filter(keep)], ["node", "text"])
+                yield pa.RecordBatch.from_arrays(
+                    [x.filter(keep) for x in (part.column(0), part.column(1), part.column(2), pa.array(fine, pa.binary()))], ["node", "text", "n", "fine"])
 
-    texts = stored(found.mapInArrow(right, "node long, text string"), "jaccard-texts").dropDuplicates(["node"])
+    texts = stored(found.mapInArrow(right, "node long, text string, n long, fine binary"), "jaccard-texts").dropDuplicates(["node"])
     texts = stored(texts, "jaccard-texts")
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(
+    fine_a = texts.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("fine").alias("fine_a"))
+    fine_b = texts.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("fine").alias("fine_b"))
+    bounded = pairs.join(fine_a, "a").join(fine_b, "b").select("a", "b", "n_a", "n_b", "fine_a", "fine_b")
+    left = stored(bounded.mapInArrow(_finer_bound(percent), "a long, b long"), "jaccard-bounded")
+    both = left.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(
         texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
     return stored(both.mapInArrow(_verifier(words, percent), "a long, b long"), "jaccard-links")
 
 
+def _finer_bound(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in range(0, batch.num_rows, 2048):
+                part = batch.slice(s, 2048)
+                a, b, n_a, n_b = (part.column(k).to_numpy() for k in range(4))
+                x, y = part.column(4).to_pylist(), part.column(5).to_pylist()
+                ok = np.array([not (p and q) for p, q in zip(x, y, strict=True)], bool)
+                rows = np.flatnonzero(~ok)
+                if len(rows):
+                    p, q = (np.frombuffer(b"".join(v[k] for k in rows), np.uint8).reshape(-1, FINE) for v in (x, y))
+                    ok[rows] = np.minimum(p, q).sum(axis=1, dtype=np.int64) >= least_overlap(n_a[rows], n_b[rows], percent)
+                yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], ["a", "b"])
+
+    return run
+
+
 def similar_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(documents, links): (doc_id, n_shingles, component_id) of every row, and verified links of document ids.
 
