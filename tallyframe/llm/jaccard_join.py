@@ -37,10 +37,10 @@ from tallyframe.llm.common import connected_components, stored
 
 WORDS, PERCENT = 5, 80
 #: Groups of the count vectors.
-GROUPS = 64
+GROUPS = 256
 #: Groups of the finer count vectors that candidates are bounded by before their texts meet; a multiple of ``GROUPS``.
 FINE = 1024
-LEADERS = 4
+LEADERS, ROUNDS = 4, 3
 #: A shingle is common if more documents hold it than this and than 2^-20 of all shingles; so at most 2^20 are common.
 COMMON, COMMON_SHARE = 64, 1 << 20
 #: Shingles a task gathers before it hands on counts or regions.
@@ -77,6 +77,20 @@ def set_codes(sets: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return out[0], out[1]
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """A count vector in one byte a group, or four where a count needs more."""
+    return counts.astype(np.uint8 if counts.max() < 256 else np.uint32).tobytes()
+
+
+def unpacked(rows: list[bytes]) -> np.ndarray:
+    out = np.empty((len(rows), GROUPS), np.uint32)
+    wide = np.array([len(r) > GROUPS for r in rows], bool)
+    for mask, kind in ((~wide, np.uint8), (wide, np.uint32)):
+        at = np.flatnonzero(mask)
+        out[at] = np.frombuffer(b"".join(rows[k] for k in at), kind).reshape(len(at), GROUPS)
+    return out
+
+
 _SIGNED = "doc_id long, n long, lo long, hi long, mins array<long>, counts binary, shingle long, held long"
 
 
@@ -110,7 +124,7 @@ def _signatures(words: int):
                 none = pa.nulls(b - a, pa.int64())
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(a, b - a), pa.array(n), pa.array(lo), pa.array(hi), pa.array(mins.tolist(), pa.list_(pa.int64())),
-                    pa.array([c.tobytes() for c in counts], pa.binary()), none, none], schema=kind)
+                    pa.array([packed(c) for c in counts], pa.binary()), none, none], schema=kind)
                 held.append(sets)
                 size += len(sets)
                 if size >= GATHERED:
@@ -255,7 +269,7 @@ def _candidates(percent: int):
         node, comp, n = (table.column(c).to_numpy() for c in ("node", "comp", "n"))
         region, part = table.column("key").to_numpy(), table.column("own").to_numpy()
         i, j = table.column("i").to_numpy(), table.column("j").to_numpy()
-        counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint32).reshape(len(node), GROUPS)
+        counts = unpacked(table.column("counts").to_pylist())
         order = np.lexsort((node, j, i, region))
         new = np.append(True, (np.diff(region[order]) != 0) | (np.diff(i[order]) != 0) | (np.diff(j[order]) != 0))
         at = np.append(np.flatnonzero(new), len(order))
@@ -305,11 +319,9 @@ def _verifier(words: int, percent: int):
     return run
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose whole texts' sets reach the threshold."""
-    pairs = stored(pairs, "jaccard-pairs")
-    wanted = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node").join(nodes.select("node", "rep", "n", "lo", "hi"), "node")
-    wanted = stored(wanted, "jaccard-wanted")
+def _texts(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """(node, text, n, fine) of the wanted nodes, stored; fine is the finer count vector."""
+    wanted = stored(wanted.distinct().join(nodes.select("node", "rep", "n", "lo", "hi"), "node"), "jaccard-wanted")
     if wanted.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
     # A document's id may be repeated with another text, so the set is compared too.
@@ -331,7 +343,11 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, p
                     [x.filter(keep) for x in (part.column(0), part.column(1), part.column(2), pa.array(fine, pa.binary()))], ["node", "text", "n", "fine"])
 
     texts = stored(found.mapInArrow(right, "node long, text string, n long, fine binary"), "jaccard-texts").dropDuplicates(["node"])
-    texts = stored(texts, "jaccard-texts")
+    return stored(texts, "jaccard-texts")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose whole texts' sets reach the threshold."""
     fine_a = texts.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("fine").alias("fine_a"))
     fine_b = texts.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("fine").alias("fine_b"))
     bounded = pairs.join(fine_a, "a").join(fine_b, "b").select("a", "b", "n_a", "n_b", "fine_a", "fine_b")
@@ -380,13 +396,22 @@ def similar_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         .agg(F.min("doc_id").alias("rep"), F.first("mins").alias("mins"), F.first("counts").alias("counts"))
         .withColumn("node", F.monotonically_increasing_id()), "jaccard-nodes")
 
-    # Near copies meet their leader first.
+    # Near copies meet leaders first: of each min-hash group one member, another in each round, and only members
+    # of other components than the leader's are paired with it.
     groups = nodes.select("node", F.posexplode("mins").alias("k", "m"))
-    leaders = stored(groups.groupBy("k", "m").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("k", "m", "a"), "jaccard-leaders")
-    pairs = groups.join(leaders, ["k", "m"]).filter("node <> a").select("a", F.col("node").alias("b")).distinct()
-    near = _verified(pairs, nodes, docs, words, percent)
-    comps = connected_components(near)
-    placed = stored(
+    many = stored(groups.groupBy("k", "m").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("k", "m"), "jaccard-buckets")
+    groups = stored(groups.join(many, ["k", "m"]), "jaccard-grouped")
+    texts = _texts(groups.select("node"), nodes, docs, words)
+    near, comps = None, spark.createDataFrame([], "node long, root long")
+    for number in range(ROUNDS):
+        own = groups.join(comps, "node", "left").select("k", "m", "node", F.coalesce("root", "node").alias("comp"))
+        leader = F.min(F.struct(F.xxhash64("node", F.lit(number)), "node", "comp")).alias("l")
+        leaders = own.groupBy("k", "m").agg(leader, F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y")
+        leaders = stored(leaders.select("k", "m", F.col("l.node").alias("a"), F.col("l.comp").alias("other")), "jaccard-leaders")
+        pairs = own.join(leaders, ["k", "m"]).filter("comp <> other").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
+        found = _verified(stored(pairs.distinct(), "jaccard-pairs"), texts, words, percent)
+        near = found if near is None else near.unionByName(found)
+        placed = stored(
         nodes.select("node", "lo", "n").join(comps, "node", "left").select("node", "lo", "n", F.coalesce("root", "node").alias("comp")), "jaccard-placed")
 
     blocks = max(256, 1 << (int(total) // (4 * SHARE)).bit_length())
@@ -400,8 +425,9 @@ def similar_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cut") - 1)))
     dealt = dealt.select("key", "node", "n", "comp", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).join(
         nodes.select("node", "counts"), "node").withColumn("block", F.pmod(F.xxhash64("key", "i", "j"), F.lit(blocks)))
-    pairs = dealt.groupBy("block").applyInArrow(_candidates(percent), "a long, b long").distinct()
-    links = near.unionByName(_verified(pairs, nodes, docs, words, percent))
+    pairs = stored(dealt.groupBy("block").applyInArrow(_candidates(percent), "a long, b long").distinct(), "jaccard-pairs")
+    texts = _texts(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), nodes, docs, words)
+    links = near.unionByName(_verified(pairs, texts, words, percent))
 
     groups = connected_components(links).join(nodes.select("node", "rep"), "node")
     least = stored(groups.groupBy("root").agg(F.min("rep").alias("least")), "jaccard-groups")
