@@ -411,7 +411,8 @@ def similar_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         pairs = own.join(leaders, ["k", "m"]).filter("comp <> other").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
         found = _verified(stored(pairs.distinct(), "jaccard-pairs"), texts, words, percent)
         near = found if near is None else near.unionByName(found)
-        placed = stored(
+        comps = connected_components(near).select("node", "root")
+    placed = stored(
         nodes.select("node", "lo", "n").join(comps, "node", "left").select("node", "lo", "n", F.coalesce("root", "node").alias("comp")), "jaccard-placed")
 
     blocks = max(256, 1 << (int(total) // (4 * SHARE)).bit_length())
