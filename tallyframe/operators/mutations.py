@@ -26,6 +26,16 @@ def _report(df: DataFrame, reason: Column, id_col: str = "id") -> DataFrame:
     )
 
 
+def _asked_and_found(asked: DataFrame, found: DataFrame) -> DataFrame:
+    """Requests (id, user_id) with ``_found``: one user's request says nothing about another's for the same id."""
+    return asked.join(found.select("id", "user_id").distinct().withColumn("_found", F.lit(True)), ["id", "user_id"], "left")
+
+
+def _repeated(df: DataFrame, key: str = "id") -> DataFrame:
+    """``df`` with ``_times``: how many rows have the row's key."""
+    return df.join(df.groupBy(key).agg(F.count(F.lit(1)).alias("_times")), key, "left")
+
+
 # --- transactions ------------------------------------------------------------
 
 def checked_transactions(batch: DataFrame, accounts: DataFrame) -> DataFrame:
@@ -63,7 +73,7 @@ def delete_transactions(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Delete by (id, user_id) and recompute the balances of the accounts concerned."""
     asked = requests.select("id", "user_id").distinct()
-    hit = transactions.join(asked, ["id", "user_id"], "left_semi").select("id", "account_id")
+    hit = transactions.join(asked, ["id", "user_id"], "left_semi").select("id", "user_id", "account_id")
     left = transactions.join(asked, ["id", "user_id"], "left_anti").select(*transactions.columns)
     touched = hit.filter("account_id IS NOT NULL").select("account_id").distinct().withColumn("_touched", F.lit(True))
     totals = with_account_totals(stored, left)
@@ -73,8 +83,7 @@ def delete_transactions(
         .withColumn("balance", F.when(F.col("_touched"), recomputed).otherwise(F.col("balance")))
         .select(*stored.columns)
     )
-    found = hit.select("id").withColumn("_found", F.lit(True))
-    report = asked.join(found, "id", "left")
+    report = _asked_and_found(asked, hit)
     return left, accounts, _report(report, F.when(F.col("_found").isNull(), "not found"))
 
 
@@ -99,8 +108,8 @@ def delete_budgets_cascade(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Delete own budgets (id, user_id) together with their limits."""
     asked = requests.select("id", "user_id").distinct()
-    gone = budgets.join(asked, ["id", "user_id"], "left_semi").select("id")
-    report = asked.join(gone.withColumn("_found", F.lit(True)), "id", "left")
+    own = budgets.join(asked, ["id", "user_id"], "left_semi").select("id", "user_id")
+    gone, report = own.select("id"), _asked_and_found(asked, own)
     kept = budgets.join(asked, ["id", "user_id"], "left_anti").select(*budgets.columns)
     return (
         kept,
@@ -121,8 +130,8 @@ def upsert_budgets(
     budgets are dropped with them.
     """
     owners = budgets.select("id", F.col("user_id").alias("_owner"))
-    looked = edits.join(owners, "id", "left")
-    reason = F.when(
+    looked = _repeated(edits).join(owners, "id", "left")
+    reason = F.when(F.col("_times") > 1, "edited more than once").when(
         F.col("_owner").isNotNull() & ~F.coalesce(F.col("_owner") == F.col("user_id"), F.lit(False)), "not found"
     ).when(~F.coalesce(F.col("end_date") > F.col("start_date"), F.lit(False)), "end date must be after start date")
     looked = looked.withColumn("reason", reason)
@@ -156,7 +165,7 @@ def upsert_budgets(
 
 def open_accounts(stored: DataFrame, batch: DataFrame, now: dt.datetime) -> tuple[DataFrame, DataFrame]:
     """Add accounts whose balance starts at the initial balance; (name, user) stays unique."""
-    names = stored.select("name", "user_id", F.lit(True).alias("_taken"))
+    names = stored.select("name", "user_id").distinct().withColumn("_taken", F.lit(True))
     twins = batch.groupBy("name", "user_id").agg(F.min("id").alias("_first"))
     looked = batch.join(twins, ["name", "user_id"], "left").join(names, ["name", "user_id"], "left")
     keyed = F.col("user_id").isNotNull() & F.col("name").isNotNull()
@@ -177,13 +186,14 @@ def upsert_accounts(stored: DataFrame, edits: DataFrame) -> tuple[DataFrame, Dat
     def given(c: str) -> Column:
         return F.when(F.col(c) != "", F.col(c))
 
-    change = edits.select(
-        "id", F.col("user_id").alias("_user"), given("name").alias("_name"), given("account_type").alias("_type")
+    change = _repeated(edits).select(
+        "id", F.col("user_id").alias("_user"), given("name").alias("_name"), given("account_type").alias("_type"), "_times"
     )
     looked = change.join(stored.select("id", "user_id"), "id", "left")
     own = F.coalesce(F.col("user_id") == F.col("_user"), F.lit(False))
-    report = _report(looked, F.when(~own, "not found"))
-    mine = looked.filter(own).select("id", "_name", "_type")
+    once = F.col("_times") == 1
+    report = _report(looked, F.when(~own, "not found").when(~once, "edited more than once"))
+    mine = looked.filter(own & once).select("id", "_name", "_type")
     changed = stored.join(mine, "id", "left").withColumns({
         "name": F.coalesce("_name", "name"), "account_type": F.coalesce("_type", "account_type"),
     })
@@ -199,7 +209,7 @@ def delete_accounts_guarded(
     """
     asked = requests.select("id", "user_id").distinct()
     counted = with_account_totals(stored.join(asked, ["id", "user_id"], "left_semi"), transactions)
-    state = asked.join(counted.select("id", "transaction_count"), "id", "left")
+    state = asked.join(counted.select("id", "user_id", "transaction_count"), ["id", "user_id"], "left")
     reason = F.when(F.col("transaction_count").isNull(), "not found").when(
         F.col("transaction_count") > 0,
         F.concat(F.lit("has "), F.col("transaction_count").cast("string"), F.lit(" transactions")),
@@ -224,8 +234,8 @@ def delete_categories_cascade(L: Ledger, requests: DataFrame, recompute: bool =
     Balances stay as they are unless ``recompute``; the reconciliation shows the drift.
     """
     asked = requests.select("id", "user_id").distinct()
-    gone = L["categories"].join(asked, ["id", "user_id"], "left_semi").select("id")
-    report = asked.join(gone.withColumn("_found", F.lit(True)), "id", "left")
+    own = L["categories"].join(asked, ["id", "user_id"], "left_semi").select("id", "user_id")
+    gone, report = own.select("id"), _asked_and_found(asked, own)
     out: dict[str, DataFrame] = {}
     out["categories"] = L["categories"].join(gone, "id", "left_anti").select(*L["categories"].columns)
     out["transactions"] = anti_on_key(L["transactions"], gone, "category_id", "id")
@@ -261,8 +271,7 @@ def delete_users_cascade(L: Ledger, requests: DataFrame) -> tuple[Ledger, DataFr
 
 def delete_recurring(recurring: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     asked = requests.select("id", "user_id").distinct()
-    gone = recurring.join(asked, ["id", "user_id"], "left_semi").select("id")
-    report = asked.join(gone.withColumn("_found", F.lit(True)), "id", "left")
+    report = _asked_and_found(asked, recurring.join(asked, ["id", "user_id"], "left_semi"))
     kept = recurring.join(asked, ["id", "user_id"], "left_anti").select(*recurring.columns)
     return kept, _report(report, F.when(F.col("_found").isNull(), "not found"))
 

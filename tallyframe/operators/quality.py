@@ -3,6 +3,7 @@ turns a flagged frame into (valid, rejected)."""
 
 from __future__ import annotations
 
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -69,12 +70,17 @@ def check_required(df: DataFrame, columns: list[str], nonempty: list[str] | None
     return df.withColumn("reason", _first(bad))
 
 
+#: The least amount that rounds to 15 integer digits at two decimals.
+LARGEST = Decimal("99999999999999.995")
+
+
 def check_ranges(
     df: DataFrame, lengths: dict[str, int] | None = None, money: list[str] | None = None
 ) -> DataFrame:
     """Texts within their length and amounts that fit 14 integer digits at two decimals."""
     bad = [
-        (F.col(c).isNotNull() & F.col(c).try_cast("decimal(16,2)").isNull(), f"{c} out of range") for c in money or []
+        # The bounds that round to more than 14 integer digits at two decimals; NaN compares above all.
+        ((F.col(c) >= LARGEST) | (F.col(c) <= -LARGEST), f"{c} out of range") for c in money or []
     ]
     bad += [(F.coalesce(F.length(c), F.lit(0)) > n, f"{c} too long") for c, n in (lengths or {}).items()]
     return df.withColumn("reason", _first(bad))

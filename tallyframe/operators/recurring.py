@@ -39,7 +39,9 @@ def recurring_due(recurring: DataFrame, as_of: dt.date, honor_end_date: bool = F
 def recurring_due_range(
     recurring: DataFrame, date_from: dt.date, date_to: dt.date, honor_end_date: bool = False
 ) -> DataFrame:
-    """Due (template, day) pairs for every day of an inclusive range."""
+    """Due (template, day) pairs for every day of an inclusive range; an empty range has none."""
+    if date_to < date_from:
+        return recurring.withColumn("date", F.lit(date_from)).filter("false")
     days = F.sequence(F.lit(date_from), F.lit(date_to), F.expr("INTERVAL 1 DAY"))
     return recurring.withColumn("date", F.explode(days)).filter(_is_due(F.col("date"), honor_end_date))
 

@@ -27,6 +27,15 @@ def recent_transactions(df: DataFrame, n: int = PAGE_SIZE) -> DataFrame:
     return df.orderBy(F.col("date").desc(), F.col("id").desc()).limit(n)
 
 
+def _same_day(rows: DataFrame, found: DataFrame, on: list[str]) -> DataFrame:
+    """Rows joined with ``found`` on ``on`` and the date; rows without a date are one day."""
+    names = {c: "_found_" + c for c in [*on, "date"]}
+    same = F.col("date").eqNullSafe(F.col(names["date"]))
+    for c in on:
+        same = same & (F.col(c) == F.col(names[c]))
+    return rows.join(found.withColumnsRenamed(names), same).drop(*names.values())
+
+
 def transaction_page(df: DataFrame, page: int = 1, page_size: int = PAGE_SIZE) -> DataFrame:
     """Page ``page`` of every user's list, newest first, with the row's position.
 
@@ -55,12 +64,12 @@ def transaction_page(df: DataFrame, page: int = 1, page_size: int = PAGE_SIZE) -
     count = F.count(F.lit(1)).alias("_n")
     days = rows.groupBy("user_id", "date").agg(count).withColumn("_base", F.lit(0).cast("long"))
     rows = rows.withColumn("_block", F.shiftright("id", BLOCK_BITS))
-    near = rows.join(touched(days, ["user_id"], "date"), ["user_id", "date"])
+    near = _same_day(rows, touched(days, ["user_id"], "date"), ["user_id"])
     blocks = near.groupBy("user_id", "date", "_base", "_block").agg(count)
     page_blocks = touched(blocks, ["user_id", "date"], "_block")
     inside = Window.partitionBy("user_id", "date", "_block").orderBy(F.col("id").desc())
     return (
-        rows.join(page_blocks, ["user_id", "date", "_block"])
+        _same_day(rows, page_blocks, ["user_id", "_block"])
         .withColumn("position", (F.col("_base") + F.row_number().over(inside)).cast("int"))
         .filter(F.col("position").between(first, last))
         .select(*df.columns, "position")

@@ -95,6 +95,6 @@ def interval_totals(
 
 
 def month_span(df: DataFrame, start: str, end: str, name: str = "_month") -> DataFrame:
-    """One row per calendar month an inclusive interval touches."""
-    months = F.sequence(F.trunc(start, "MM"), F.trunc(end, "MM"), F.expr("INTERVAL 1 MONTH"))
-    return df.withColumn(name, F.explode(months))
+    """One row per calendar month an inclusive interval touches; a reversed interval touches none."""
+    months = F.sequence(F.trunc(start, "MM"), F.greatest(F.trunc(start, "MM"), F.trunc(end, "MM")), F.expr("INTERVAL 1 MONTH"))
+    return df.filter(F.col(start) <= F.col(end)).withColumn(name, F.explode(months))

@@ -21,29 +21,35 @@ SALTS = 64
 BLOCK_BITS = 16
 
 
-def scattered(key: str | Column, spread: str | Column) -> Column:
-    """``key`` with NULL replaced by one of many negative values no id has."""
+def null_slot(key: str | Column, spread: str | Column) -> Column:
+    """0 for a row with a key, else one of many slots above 0.
+
+    Joins add the slot to the key and put the other side at slot 0: a NULL key
+    stays NULL and equals nothing, whatever ids there are, and its rows do not
+    meet in one task.
+    """
     key = F.col(key) if isinstance(key, str) else key
     spread = F.col(spread) if isinstance(spread, str) else spread
-    return F.coalesce(key.cast("long"), -1 - F.pmod(F.xxhash64(spread), F.lit(SCATTER)))
+    return F.when(key.isNotNull(), F.lit(0)).otherwise(1 + F.pmod(F.xxhash64(spread), F.lit(SCATTER)).cast("int"))
 
 
 def left_lookup(fact: DataFrame, dim: DataFrame, key: str, spread: str, dim_key: str = "id") -> DataFrame:
     """Left join on a nullable foreign key; ``dim_key`` is unique and dropped."""
-    k = "_lookup_key"
-    renamed = dim.withColumnRenamed(dim_key, k)
+    k, slot = "_lookup_key", "_lookup_slot"
+    renamed = dim.withColumnRenamed(dim_key, k).withColumn(slot, F.lit(0))
     return (
-        fact.withColumn(k, scattered(key, spread))
-        .join(renamed, k, "left")
-        .drop(k)
+        fact.withColumns({k: F.col(key).cast("long"), slot: null_slot(key, spread)})
+        .join(renamed, [k, slot], "left")
+        .drop(k, slot)
     )
 
 
 def anti_on_key(fact: DataFrame, keys: DataFrame, key: str, spread: str) -> DataFrame:
     """Rows whose nullable ``key`` is not among the one-column frame ``keys``."""
-    k = "_anti_key"
-    wanted = keys.toDF(k)
-    return fact.withColumn(k, scattered(key, spread)).join(wanted, k, "left_anti").drop(k)
+    k, slot = "_anti_key", "_anti_slot"
+    wanted = keys.toDF(k).withColumn(slot, F.lit(0))
+    return fact.withColumns({k: F.col(key).cast("long"), slot: null_slot(key, spread)}).join(
+        wanted, [k, slot], "left_anti").drop(k, slot)
 
 
 def salted_join(
@@ -77,15 +83,15 @@ def category_lookup(
     out = [prefix + ("owner_id" if f == "user_id" else f) for f in fields]
 
     def side(rows: DataFrame, tag: str) -> DataFrame:
-        return rows.select(F.col("id").alias(tag), F.struct(*fields).alias(tag + "_row"))
+        return rows.select(F.col("id").alias(tag), F.lit(0).alias(tag + "_null"), F.struct(*fields).alias(tag + "_row"))
 
     first = salted_join(
-        fact.withColumn("_sys", scattered(key, spread)), side(categories.filter("is_system"), "_sys"),
-        ["_sys"], [spread],
+        fact.withColumns({"_sys": F.col(key).cast("long"), "_sys_null": null_slot(key, spread)}),
+        side(categories.filter("is_system"), "_sys"), ["_sys", "_sys_null"], [spread],
     )
-    unresolved = F.when(F.col("_sys_row").isNull(), F.col(key))
-    second = first.withColumn("_own", scattered(unresolved, spread)).join(
-        side(categories.filter("NOT is_system"), "_own"), "_own", "left"
+    unresolved = F.when(F.col("_sys_row").isNull(), F.col(key)).cast("long")
+    second = first.withColumns({"_own": unresolved, "_own_null": null_slot(unresolved, spread)}).join(
+        side(categories.filter("NOT is_system"), "_own"), ["_own", "_own_null"], "left"
     )
     return second.withColumn("_row", F.coalesce("_sys_row", "_own_row")).select(
         *fact.columns, *[F.col("_row")[f].alias(o) for f, o in zip(fields, out)]

@@ -74,28 +74,45 @@ def streamed_balances(spark: SparkSession, accounts: DataFrame, out: str) -> Dat
 
 # --- daily statistics --------------------------------------------------------------
 
-def stream_daily_stats(source: DataFrame, out: str, delay: str = "1 day") -> StreamingQuery:
-    """Sums per day, user and type, refreshed as rows arrive; ``ts`` is the event time."""
-    sums = (
-        source.filter(F.col("user_id").isNotNull())
-        .withWatermark("ts", delay)
-        .groupBy(F.window("ts", "1 day"), "user_id", "type")
-        .agg(F.sum("amount").cast(TOTAL).alias("total"), F.count(F.lit(1)).alias("row_count"))
-        .select(F.col("window.start").cast("date").alias("day"), "user_id", "type", "total", "row_count")
-    )
+def stream_daily_stats(source: DataFrame, out: str, merge_every: int = 20) -> StreamingQuery:
+    """Sums per day, user and type; ``ts`` is the event time.
 
+    Each batch stores its own partial sums, which add up, so a row counts
+    however late it comes and nothing is kept as state. Every ``merge_every``
+    batches the earlier sums are merged into one copy.
+    """
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(_batch_path(out, "daily", batch_id))
+        if batch_id > 0 and batch_id % merge_every == 0:
+            merged = _summed(batch.sparkSession.read.schema(_DAILY).parquet(*_sum_paths(out, batch_id, merge_every)))
+            merged.write.mode("overwrite").parquet(_batch_path(out, "daily_base", batch_id))
+        sums = batch.filter(F.col("user_id").isNotNull()).groupBy(F.col("ts").cast("date").alias("day"), "user_id", "type").agg(
+            F.sum("amount").cast(TOTAL).alias("total"), F.count(F.lit(1)).alias("row_count"))
+        sums.write.mode("overwrite").parquet(_batch_path(out, "daily", batch_id))
 
-    return _start(sums, write, f"{out}/checkpoint", "update")
+    return _start(source, write, f"{out}/checkpoint", "append")
 
 
-def streamed_daily_stats(spark: SparkSession, out: str) -> DataFrame:
-    """The latest sums of every day, user and type."""
-    latest = F.max_by(F.struct("total", "row_count"), "batch_id").alias("r")
-    return spark.read.parquet(f"{out}/daily").groupBy("day", "user_id", "type").agg(latest).select(
-        "day", "user_id", "type", "r.*"
-    )
+_DAILY = f"day date, user_id bigint, type string, total {TOTAL}, row_count bigint"
+
+
+def _sum_paths(out: str, before: int, merge_every: int) -> list[str]:
+    """The newest merged sums before a batch and the batches after them."""
+    base = (before - 1) // merge_every * merge_every
+    paths = [_batch_path(out, "daily", n) for n in range(base, before)]
+    return [*paths, _batch_path(out, "daily_base", base)] if base > 0 else paths
+
+
+def _summed(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("day", "user_id", "type").agg(
+        F.sum("total").cast(TOTAL).alias("total"), F.sum("row_count").alias("row_count"))
+
+
+def streamed_daily_stats(spark: SparkSession, out: str, merge_every: int = 20) -> DataFrame:
+    """The sums of every day, user and type over all batches written so far."""
+    last = spark.read.parquet(f"{out}/daily").agg(F.max("batch_id")).first()[0]
+    if last is None:  # all batches were empty
+        return _summed(spark.read.schema(_DAILY).parquet(f"{out}/daily"))
+    return _summed(spark.read.schema(_DAILY).parquet(*_sum_paths(out, int(last) + 1, merge_every)))
 
 
 # --- change history ------------------------------------------------------------------

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallyframe.operators.recurring import materialize_recurring
 from tallyframe.schema import RECURRING_SUFFIX
@@ -37,7 +38,17 @@ def run_nightly(
     as_of: dt.date,
     out: str,
 ) -> DataFrame:
-    """Write the created rows of a run to its own folder; repeating a run replaces it."""
-    path = f"{out}/as_of={as_of.isoformat()}"
-    recurring_nightly(recurring, categories, transactions, last_run, as_of).write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    """Store the created rows in one folder per due day and return the run's rows.
+
+    A run replaces the folders of its days, so runs that repeat or overlap
+    store each row once; days without rows replace theirs by nothing. A run
+    without days stores nothing.
+    """
+    made = recurring_nightly(recurring, categories, transactions, last_run, as_of)
+    day = last_run
+    while day < as_of:
+        day += dt.timedelta(days=1)
+        made.filter(F.col("date") == F.lit(day)).write.mode("overwrite").parquet(f"{out}/due={day.isoformat()}")
+    stored = spark.read.schema(made.schema).option("recursiveFileLookup", "true")
+    days = [f"{out}/due={last_run + dt.timedelta(days=k + 1)}" for k in range((as_of - last_run).days)]
+    return stored.parquet(*days) if days else made

@@ -92,6 +92,14 @@ def test_pages_are_the_same_on_both_ways(spark, small, monkeypatch):
                 assert [r.position for r in mine] == list(range((page - 1) * 20 + 1, (page - 1) * 20 + 1 + len(mine)))
 
 
+def test_pages_hold_rows_without_a_date_on_both_ways(spark, small, monkeypatch):
+    some = small.transactions(*[(i, 1, "OUTCOME", 1, None if i % 2 else "2024-01-01") for i in range(1, 9)])
+    for limit in (1000, 0):
+        monkeypatch.setattr(sorting, "GROUP_LIMIT", limit)
+        pages = [[r.id for r in sorting.transaction_page(some, page, 3).orderBy("position").collect()] for page in (1, 2, 3)]
+        assert pages == [[8, 6, 4], [2, 7, 5], [3, 1]]
+
+
 def test_text_helpers(spark):
     df = spark.createDataFrame([("a" * 20, day("2024-09-05")), ("b" * 21, day("2024-01-31")), (None, None)], "s string, d date")
     cut = [r[0] for r in rows(df.select(X.cut_text("s")))]
