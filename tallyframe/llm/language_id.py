@@ -28,6 +28,8 @@ FILTERS = 16
 MOST_LANGUAGES, TEXTS_EACH, CHARS_EACH = 200, 600, 3000
 WINDOWS_EACH = 6
 STEPS, BATCH, RATE = 500, 128, 0.02
+#: Windows whose symbols are in memory together when texts are judged.
+AT_ONCE = 2048
 NO_LANGUAGE = "und"
 
 _fold = K.FOLD.astype(np.int64)
@@ -35,19 +37,23 @@ _fold = K.FOLD.astype(np.int64)
 SYMBOL = np.where(
     (_fold >= 97) & (_fold <= 122), _fold - 96,
     np.where(_fold >= 128, _fold - 98, np.where((_fold >= 48) & (_fold <= 57), 27, np.where(K.SPACED, 29, 28))),
-).astype(np.int32)
+).astype(np.int64)
 SYMBOLS = 160
 
 
-def windows_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of each text's consecutive windows (the last padded), and each text's first window; none for empty texts."""
+def window_places(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and text end of the texts' consecutive windows, and each text's first window; none for empty texts."""
     count = -(-np.diff(offsets) // WINDOW)
     first = np.concatenate(([0], np.cumsum(count)))
     text = np.repeat(np.arange(len(count)), count)
-    start = offsets[text] + (np.arange(first[-1]) - first[text]) * WINDOW
+    return offsets[text] + (np.arange(first[-1]) - first[text]) * WINDOW, offsets[text + 1], first
+
+
+def windows_of(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Symbols of the windows at these places; those that reach past their text are padded."""
     at = start[:, None] + np.arange(WINDOW)
-    symbols = np.append(SYMBOL[data], 0)
-    return symbols[np.where(at < offsets[text + 1][:, None], at, len(data))], first
+    inside = at < end[:, None]
+    return np.where(inside, SYMBOL[data[np.where(inside, at, 0)]], 0)
 
 
 @dataclass
@@ -166,7 +172,7 @@ def train(labelled: DataFrame) -> ByteNetwork | None:
         last = max(1, len(raw) - WINDOW + 1)
         for a in range(0, last, max(WINDOW, last // WINDOWS_EACH)):
             part = raw[a : a + WINDOW]
-            windows.append(windows_of(part, np.array([0, len(part)]))[0][0])
+            windows.append(windows_of(part, np.array([0]), np.array([len(part)]))[0])
             labels.append(languages.index(lang))
     if not windows:
         return None
@@ -201,8 +207,12 @@ def with_languages(docs: DataFrame, network: ByteNetwork | None) -> DataFrame:
                     for d in full[~letters[full]].tolist():
                         part = data[off[d] : off[d + 1]]
                         letters[d] = bool((part >= 128).any()) and has_letter(part.tobytes().decode("utf-8"))
-                    x, first = windows_of(data, off)
-                    sums = np.add.reduceat(network.probabilities(x, tables).astype(float), first[:-1][full], axis=0)
+                    start, end, first = window_places(off)
+                    each = np.empty((len(start), len(network.languages)))
+                    for w in range(0, len(start), AT_ONCE):  # a very long text's windows are not all held at once
+                        part = slice(w, w + AT_ONCE)
+                        each[part] = network.probabilities(windows_of(data, start[part], end[part]), tables)
+                    sums = np.add.reduceat(each, first[:-1][full], axis=0)
                     mean = sums / np.diff(first)[full][:, None]
                     best = mean.argmax(axis=1)
                     lang[full], score[full] = np.array(network.languages, object)[best], mean.max(axis=1)
