@@ -2,7 +2,7 @@ import datetime as dt
 import random
 
 import pytest
-from conftest import by, day, money, rows
+from ledger_rows import by, day, money, rows
 
 from tallyframe.operators import balances, mutations
 

@@ -2,7 +2,7 @@ import datetime as dt
 import json
 
 import pytest
-from conftest import by, day, money, rows
+from ledger_rows import by, day, money, rows
 from pyspark.sql import functions as F
 
 from tallyframe.operators import history, mutations, quality

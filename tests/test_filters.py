@@ -1,5 +1,5 @@
 import pytest
-from conftest import day, money, rows
+from ledger_rows import day, money, rows
 from pyspark.sql import functions as F
 
 from tallyframe.functions import scalars as X

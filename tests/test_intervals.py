@@ -1,7 +1,7 @@
 import datetime as dt
 import random
 
-from conftest import day, money, rows
+from ledger_rows import day, money, rows
 from pyspark.sql import functions as F
 
 from tallyframe.operators import filters, joins

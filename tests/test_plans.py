@@ -4,7 +4,7 @@ import os
 import re
 
 import pytest
-from conftest import day, rows
+from ledger_rows import day, rows
 
 import __spark_entry__ as entry
 from tallyframe.operators import filters, sorting

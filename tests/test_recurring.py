@@ -1,5 +1,5 @@
 import pytest
-from conftest import day, money, rows
+from ledger_rows import day, money, rows
 
 from tallyframe.operators import recurring
 from tallyframe.streaming import nightly

@@ -1,5 +1,5 @@
 import pytest
-from conftest import by, day, money, rows
+from ledger_rows import by, day, money, rows
 
 from tallyframe.operators import balances, reports
 from tallyframe.operators.joins import user_category_matrix

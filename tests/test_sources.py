@@ -1,6 +1,6 @@
 import datetime as dt
 
-from conftest import by, day, rows
+from ledger_rows import by, day, rows
 from pyspark.sql import functions as F
 
 from tallyframe import schema as S
