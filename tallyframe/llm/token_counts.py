@@ -8,12 +8,14 @@ budget is answered from the table without encoding anything again.
 
 Pieces are what the vocabulary's splitting pattern gives; they are found for
 many texts at once with array operations, and each distinct piece runs the
-dynamic programme once per task.
+dynamic programme once per task. Strings the file lists as added tokens count
+as one token each, wherever they stand, and split the text like its ends do.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -95,7 +97,10 @@ class PrefixCounter:
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            whole = json.load(f)
+        model = whole["model"]
+        self.added = [t["content"] for t in whole.get("added_tokens") or []]
+        self.added_pattern = self._added_pattern(whole.get("added_tokens") or [])
         # Bytes that print stand for themselves, the others for 256 and up, in order.
         plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         odd = [b for b in range(256) if b not in set(plain)]
@@ -132,6 +137,27 @@ class PrefixCounter:
             chain.append((token, rank))
         return chain[::-1]
 
+    @staticmethod
+    def _added_pattern(added: list[dict]) -> re.Pattern | None:
+        """Matches the added tokens, the longest first, with the white space or word limits their flags ask for."""
+        parts = []
+        for t in sorted(added, key=lambda t: -len(t["content"])):
+            text = re.escape(t["content"])
+            if t.get("single_word"):
+                text = rf"(?<!\w){text}(?!\w)"
+            parts.append((r"\s*" if t.get("lstrip") else "") + text + (r"\s*" if t.get("rstrip") else ""))
+        return re.compile("|".join(parts)) if parts else None
+
+    def added_spans(self, text: str, opens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First characters of the added tokens in ``text`` and the characters after them, none across a text's first character."""
+        spans: list[tuple[int, int]] = []
+        if self.added_pattern and any(t in text for t in self.added):
+            cuts = [*opens.tolist(), len(text)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                spans += [(a + m.start(), a + m.end()) for m in self.added_pattern.finditer(text[a:b])]
+        found = np.array(spans, np.int64).reshape(len(spans), 2)
+        return found[:, 0], found[:, 1]
+
     def _raw(self, token: str) -> bytes:
         return bytes(self.byte_of[c] for c in token)
 
@@ -238,19 +264,25 @@ class PrefixCounter:
                 raise ValueError("the vocabulary does not cover every byte")
         return count
 
-    def _pieces(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Byte starts and ends of the pieces, and marks of those that only stand inside white space."""
-        chars = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+    def _pieces(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Byte starts and ends of the pieces, marks of those that only stand inside white space, and of added tokens."""
+        text = data.tobytes().decode("utf-8")
+        chars = np.frombuffer(text.encode("utf-32-le"), np.uint32)
         at = np.flatnonzero((data & 0xC0) != 0x80)
         opens = np.unique(np.searchsorted(at, offsets[:-1][np.diff(offsets) > 0]))
-        marked = np.flatnonzero(piece_starts(chars, opens))
+        lo, hi = self.added_spans(text, opens)
+        opens = np.unique(np.concatenate((opens, lo, hi[hi < len(chars)])))
+        begins = piece_starts(chars, opens)
+        for a, b in zip(lo.tolist(), hi.tolist(), strict=True):
+            begins[a + 1 : b] = False
+        marked = np.flatnonzero(begins)
         starts = at[marked]
         blank = char_classes()[chars[marked]] == SPACE
         final = np.append(marked[1:], len(chars)) - 1
         blank &= char_classes()[chars[final]] == SPACE
         inner = np.zeros(len(marked), bool)
         inner[1:] = blank[1:] & blank[:-1] & ~np.isin(marked[1:], opens)
-        return starts, np.append(starts[1:], len(data)), inner
+        return starts, np.append(starts[1:], len(data)), inner, np.isin(marked, lo)
 
     def _counts(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         codes, at, back = np.unique(K.span_hashes(data, starts, ends), return_index=True, return_inverse=True)
@@ -276,8 +308,11 @@ class PrefixCounter:
         if not len(data):
             none = np.zeros(0, np.int64)
             return none, none, np.zeros(len(offsets), np.int64), none.astype(bool)
-        starts, ends, inner = self._pieces(data, offsets)
-        total = np.cumsum(self._counts(data, starts, ends))
+        starts, ends, inner, added = self._pieces(data, offsets)
+        counts = np.ones(len(starts), np.int64)
+        if not added.all():
+            counts[~added] = self._counts(data, starts[~added], ends[~added])
+        total = np.cumsum(counts)
         first = np.searchsorted(starts, offsets)
         base = np.concatenate(([0], total))[first[:-1]]
         return ends, total - np.repeat(base, np.diff(first)), first, ~inner
@@ -329,6 +364,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str
     executors see. cut_bytes is the longest prefix ending with a piece that
     keeps within ``limit`` tokens. A NULL text counts as empty, with 0 bytes and
     tokens; NULL and repeated ids are kept row by row; other columns are ignored.
+    Added tokens are recognised inside texts, as the library does by default.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -24,7 +24,6 @@ def library():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
-    t.encode_special_tokens = True
     return lambda texts: [len(e.ids) for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -49,6 +48,31 @@ def test_counts_equal_the_library(make_docs, library):
     assert token_counts.token_counts(make_docs([]), "byte_bpe_50k.json").count() == 0
 
 
+def test_added_tokens_count_once(make_docs, library):
+    mark = "<|endoftext|>"
+    texts = [f"hello {mark} world", f"a{mark}b", mark, mark * 3, f"  {mark}  x", f"it'{mark}s", f"{mark[:6]}", mark[6:], f"{mark[:-1]} {mark}", f" \n {mark}\n\n {mark}é", f"<|{mark}", "x" * 70 + mark]
+    got = {r["doc_id"]: r["n_tokens"] for r in token_counts.token_counts(make_docs(list(enumerate(texts))).repartition(1), "byte_bpe_50k.json").collect()}
+    assert [got[k] for k in range(len(texts))] == library(texts)
+    assert (got[0], got[1], got[2]) == (4, 3, 1)
+
+
+def test_flags_of_added_tokens(tmp_path):
+    import json
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        whole = json.load(f)
+    base = whole["added_tokens"][0]
+    for flags in ({"lstrip": True}, {"rstrip": True}, {"single_word": True}):
+        path = tmp_path / "t.json"
+        path.write_text(json.dumps(whole | {"added_tokens": [base | flags]}))
+        mine, theirs = token_counts.PrefixCounter(str(path)), Tokenizer.from_file(str(path))
+        for t in ("a  <|endoftext|>  b", "a<|endoftext|>b", "<|endoftext|> \n", "é<|endoftext|> <|endoftext|>", "  <|endoftext|><|endoftext|>x"):
+            assert (mine.prefix_count(t) or [0])[-1] == len(theirs.encode(t, add_special_tokens=False).ids), (flags, t)
+
+
 def test_every_prefix_of_a_piece_and_cuts(library):
     import public_tokenizers
 
