@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import brown_lm, decontamination, html_extract, jaccard_join, language_id, line_dedup, mixing, token_counts, topk_search, url_filters
+from tallyframe.llm import brown_lm, centroid_clustering, collocations, decontamination, html_extract, jaccard_join, language_id, line_dedup, mixing, token_counts, topk_search, toxicity, url_filters
 from tallyframe.llm.common import table
 
 
@@ -60,7 +60,25 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_ngram_jaccard_join, op3_lm_scoring, op4_language_id, op5_token_counts, op6_html_extraction, op7_benchmark_decontamination, op8_line_dedup, op9_source_mixing, op10_exact_top_k)}
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cluster of every whole vector after five rounds."""
+    return centroid_clustering.cluster(table(spark, sf_dir, "embeddings"))[0]
+
+
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's best collocations."""
+    return collocations.collocations(table(spark, sf_dir, "documents")).drop("left_most", "right_most")
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every whole document."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.train(docs, table(spark, sf_dir, "labels"))).select(
+        "doc_id", "held_out", "score", "predicted", "n_sentences", "n_offending")
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_ngram_jaccard_join, op3_lm_scoring, op4_language_id, op5_token_counts, op6_html_extraction, op7_benchmark_decontamination, op8_line_dedup, op9_source_mixing, op10_exact_top_k,
+                                 op11_centroid_clustering, op12_phrase_mining, op13_toxicity)}
 
 _ITEM_WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -220,3 +238,59 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """,
 }
+
+
+def _clustering_sql(centroids: int = 40, rounds: int = 5) -> str:
+    """Every distance of every round, by a cross join with the centroids."""
+    parts = ["""k AS MATERIALIZED (SELECT vec_id, row_number() OVER () AS rid,
+      list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+      WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+             f"""c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), v) - 1 AS c, v FROM k
+      ORDER BY sha256('2:' || vec_id), v LIMIT {centroids})"""]
+    for r in range(rounds + 1):
+        parts.append(f"""a{r} AS MATERIALIZED (SELECT rid, c, dist FROM (
+      SELECT k.rid, c{r}.c, list_sum(list_transform(list_zip(k.v, c{r}.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS dist
+      FROM k CROSS JOIN c{r}) QUALIFY row_number() OVER (PARTITION BY rid ORDER BY dist, c) = 1)""")
+        if r < rounds:
+            parts.append(f"""c{r + 1} AS MATERIALIZED (SELECT c{r}.c, COALESCE(m.v, c{r}.v) AS v FROM c{r} LEFT JOIN (
+      SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY p) AS v FROM (
+        SELECT c, p, sum(x) AS s, count(*) AS n FROM (
+          SELECT a{r}.c, unnest(k.v) AS x, generate_subscripts(k.v, 1) AS p FROM a{r} JOIN k USING (rid)) GROUP BY c, p)
+      GROUP BY c) m USING (c))""")
+    return "WITH " + ",\n".join(parts) + f"""
+    SELECT vec_id, CAST(a.c AS INTEGER) AS cluster, CAST(dist AS BIGINT) AS distance,
+      CAST(sum(dist) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia, CAST(sum(dist) OVER () AS BIGINT) AS inertia,
+      sha256(array_to_string(f.v, ',')) AS centroid_sha256
+    FROM a{rounds} a JOIN k USING (rid) JOIN c{rounds} f ON f.c = a.c"""
+
+
+ORACLE_SQL["op11_centroid_clustering"] = _clustering_sql()
+
+ORACLE_SQL["op12_phrase_mining"] = r"""
+WITH pieces AS (
+  SELECT COALESCE(lang, 'und') AS lang, list_filter(regexp_split_to_array(p, '[ \t]+'), lambda w: w <> '') AS w FROM (
+    SELECT lang, unnest(regexp_split_to_array(
+      translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents)),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM pieces GROUP BY lang),
+f AS MATERIALIZED (
+  SELECT lang, k, phrase, count(*) AS a FROM (
+    SELECT lang, k, unnest(list_transform(generate_series(1, len(w) - k + 1), lambda i: array_to_string(w[i : i + k - 1], ' '))) AS phrase
+    FROM pieces, generate_series(1, 5) g(k) WHERE len(w) >= k)
+  GROUP BY lang, k, phrase HAVING count(*) >= 100),
+c AS MATERIALIZED (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k >= 2),
+cuts AS (
+  SELECT c.lang, c.phrase, c.a, x.a AS l, y.a AS r, n.n, j,
+    (1000::HUGEINT * c.a * n.n) // (x.a::HUGEINT * y.a) AS score
+  FROM c CROSS JOIN generate_series(1, 4) g(j) JOIN n ON n.lang = c.lang
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1 : j], ' ')
+  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[j + 1 :], ' ') WHERE j < c.k),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+inner_ AS (
+  SELECT lang, array_to_string(w[2 :], ' ') AS phrase, a FROM c WHERE k >= 3
+  UNION ALL SELECT lang, array_to_string(w[1 : k - 1], ' '), a FROM c WHERE k >= 3),
+held AS (SELECT lang, phrase, max(a) AS longest FROM inner_ GROUP BY lang, phrase)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (
+  SELECT best.lang, row_number() OVER (PARTITION BY best.lang ORDER BY score DESC, a DESC, best.phrase) AS rank, best.phrase,
+    a, l, r, n, CAST(score AS BIGINT) AS score
+  FROM best LEFT JOIN held ON held.lang = best.lang AND held.phrase = best.phrase WHERE longest IS NULL OR longest < a)
+WHERE rank <= 2000"""
