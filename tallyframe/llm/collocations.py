@@ -340,6 +340,7 @@ def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, to
     cuts = cuts.join(part.select("lang", F.col("phrase").alias("head"), F.col("a").alias("l")), ["lang", "head"])
     cuts = cuts.join(part.select("lang", F.col("phrase").alias("rest"), F.col("a").alias("r")), ["lang", "rest"])
     cuts = cuts.join(words, "lang").withColumns({"up": _exact("a") * _exact("n"), "down": _exact("l") * _exact("r")})
+    # At most 1000 * n / r, so the quotient fits a long although its parts pass 64 bits.
     cuts = cuts.withColumn("score", F.expr("CAST(1000 AS DECIMAL(4,0)) * up div down"))
     best = cuts.groupBy("lang", "phrase").agg(F.min(F.struct("score", "k", "a", "l", "r", "n")).alias("b"))
     longer = candidates.filter("length >= 3")
