@@ -15,7 +15,7 @@ lengths phrases are 64-bit hashes; equal hashes of different phrases only let
 more pass. The last pass spells out the phrases left and counts them exactly.
 
 The index is a table bucketed by shard, so that it stays where it is while the
-intervals of each length are joined to it.
+intervals of each length are brought to it; a task works on one shard at a time.
 """
 
 from __future__ import annotations
@@ -36,9 +36,9 @@ from tallyframe.llm.common import stored
 from tallyframe.session import shared_dir
 
 #: Words of a shard; a piece is never cut, so one longer piece makes a longer shard.
-SHARD_WORDS = 1 << 19
+SHARD_WORDS = 1 << 18
 #: Words a task holds over all languages before it closes its largest shard.
-HELD_WORDS = 1 << 21
+HELD_WORDS = 1 << 20
 LONGEST, LEAST, TOP = 5, 100, 2000
 #: Slots over which a language's phrases are ranked before they meet.
 SLOTS = 64
@@ -64,9 +64,9 @@ class FmIndex:
     def __post_init__(self):
         self.first = np.concatenate(([0], np.cumsum(np.bincount(self.bwt, minlength=self.size + 1))))
         #: The row of the suffix one id later; the inverse maps a row to that of the suffix one id earlier.
-        self.next_row = np.argsort(self.bwt, kind="stable")
+        self.next_row = np.argsort(self.bwt, kind="stable").astype(np.int32)
         self.earlier = np.empty_like(self.next_row)
-        self.earlier[self.next_row] = np.arange(len(self.bwt))
+        self.earlier[self.next_row] = np.arange(len(self.bwt), dtype=np.int32)
 
     @staticmethod
     def of(text: np.ndarray, size: int, depth: int = LONGEST) -> FmIndex:
@@ -232,51 +232,48 @@ class _Loaded:
         return K.mix(keys * _STEP + self.codes[ids - 1])
 
 
-def _intervals(column: pa.Array, row: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and sizes packed as two integers each."""
-    raw = column[row].as_py() if column[row].is_valid else []
-    both = np.array([(r["lo"], r["size"]) for r in raw], np.int64).reshape(len(raw), 2)
-    return both[:, 0], both[:, 1]
+def _column(table: pa.Table, name: str) -> np.ndarray:
+    return table[name].to_numpy().astype(np.int64)
 
 
-def _extensions(length: int, places: bool):
-    """Rows of (key, size), or (key, shard, lo, size), of every extension of a shard's phrases of ``length`` words."""
+def _loaded(table: pa.Table) -> tuple[_Loaded, int, str]:
+    (r,) = table.select(["shard", "lang", "bwt", "vocabulary"]).to_pylist()
+    return _Loaded.of(r["lang"], r["bwt"], r["vocabulary"]), r["shard"], r["lang"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in range(batch.num_rows):
-                shard, lang, bwt, vocabulary = (batch.column(c)[r].as_py() for c in range(4))
-                own = _Loaded.of(lang, bwt, vocabulary)
-                lo, count = _intervals(batch.column(4), r) if length else (np.zeros(1, np.int64),) * 2
-                owner, word, start, size = extended(own.index, length, lo, count)
-                base = own.keys(lo, length) if length else np.array([own.seed])
-                key = pa.array(own.longer(base[owner], word).view(np.int64))
-                size = pa.array(size.astype(np.int32))
-                if not places:
-                    yield pa.RecordBatch.from_arrays([key, size], ["key", "size"])
-                else:
-                    yield pa.RecordBatch.from_arrays(
-                        [key, pa.array(np.full(len(key), shard)), pa.array(start.astype(np.int32)), size], ["key", "shard", "lo", "size"])
-
-    return run
 
-
-def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The shard's remaining phrases as text, with their counts."""
-    for batch in batches:
-        for r in range(batch.num_rows):
-            lang, bwt, vocabulary = (batch.column(c)[r].as_py() for c in range(1, 4))
-            own = _Loaded.of(lang, bwt, vocabulary)
-            raw = batch.column(4)[r].as_py()
-            length = np.array([x["length"] for x in raw])
-            lo, size = (np.array([x[n] for x in raw], np.int64) for n in ("lo", "size"))
-            for k in np.unique(length).tolist():
-                at = length == k
-                parts = [own.vocabulary.take(pa.array(ids - 1)) for ids in own.index.spelled(lo[at], k)]
-                text = pc.binary_join_element_wise(*parts, " ") if k > 1 else parts[0]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(text), pa.string()), pa.array(np.full(len(text), k, np.int32)), text, pa.array(size[at])],
-                    ["lang", "length", "phrase", "size"])
+def _extensions(length: int, places: bool):
+    """(key, size), or (key, shard, lo, size), of every extension of one shard's phrases of ``length`` words."""
+    kind = pa.schema([("key", pa.int64()), ("shard", pa.int64()), ("lo", pa.int32()), ("size", pa.int32())])
+
+    def run(index: pa.Table, intervals: pa.Table | None = None) -> pa.Table:
+        if not index.num_rows or (length and not intervals.num_rows):
+            out = kind.empty_table()
+        else:
+            own, shard, _ = _loaded(index)
+            lo, count = (_column(intervals, "lo"), _column(intervals, "size")) if length else (np.zeros(1, np.int64),) * 2
+            owner, word, start, size = extended(own.index, length, lo, count)
+            base = own.keys(lo, length) if length else np.array([own.seed])
+            key = own.longer(base[owner], word).view(np.int64)
+            out = pa.table([key, np.full(len(key), shard), start.astype(np.int32), size.astype(np.int32)], schema=kind)
+        return out if places else out.select(["key", "size"])
+
+    return (lambda index, intervals: run(index, intervals)) if length else (lambda index: run(index))
+
+
+def _phrases(index: pa.Table, intervals: pa.Table) -> pa.Table:
+    """One shard's remaining phrases as text, with their counts."""
+    kind = pa.schema([("lang", pa.string()), ("length", pa.int32()), ("phrase", pa.string()), ("size", pa.int64())])
+    if not index.num_rows or not intervals.num_rows:
+        return kind.empty_table()
+    own, _, lang = _loaded(index)
+    lo, size, length = (_column(intervals, n) for n in ("lo", "size", "length"))
+    out = []
+    for k in np.unique(length).tolist():
+        at = length == k
+        parts = [own.vocabulary.take(pa.array(ids - 1)) for ids in own.index.spelled(lo[at], k)]
+        text = pc.binary_join_element_wise(*parts, " ") if k > 1 else parts[0]
+        out.append(pa.table([pa.array([lang] * len(text), pa.string()), np.full(len(text), k, np.int32), text, size[at]], schema=kind))
+    return pa.concat_tables(out)
 
 
 # --- the operator --------------------------------------------------------------
@@ -294,23 +291,26 @@ def shard_index(docs: DataFrame, depth: int = LONGEST, shard_words: int = SHARD_
 
 def frequent_phrases(index: DataFrame, longest: int = LONGEST, least: int = LEAST) -> DataFrame:
     """(lang, length, phrase, a): every phrase of up to ``longest`` words with at least ``least`` occurrences."""
-    rows = index.select("shard", "lang", "bwt", "vocabulary")
+    rows = index.select("shard", "lang", "bwt", "vocabulary").groupBy("shard")
+
+    def extensions(length: int, found: DataFrame | None, places: bool) -> DataFrame:
+        kind = "key long, shard long, lo int, size int" if places else "key long, size int"
+        step = _extensions(length, places)
+        return rows.applyInArrow(step, kind) if found is None else rows.cogroup(found.groupBy("shard")).applyInArrow(step, kind)
+
     kept: list[DataFrame] = []
-    at = F.struct("lo", "size")
-    joined = rows
+    found = None
     for length in range(longest):
-        counted = joined.mapInArrow(_extensions(length, False), "key long, size int")
-        heavy = stored(counted.groupBy("key").agg(F.sum("size").alias("n")).filter(F.col("n") >= least).select("key"), "phrase-keys")
-        places = joined.mapInArrow(_extensions(length, True), "key long, shard long, lo int, size int")
-        found = stored(places.join(heavy, "key").select("shard", "lo", "size", F.lit(length + 1).alias("length")), "phrase-intervals")
+        counted = extensions(length, found, False).groupBy("key").agg(F.sum("size").alias("n"))
+        heavy = stored(counted.filter(F.col("n") >= least).select("key"), "phrase-keys")
+        places = extensions(length, found, True).join(heavy, "key")
+        found = stored(places.select("shard", "lo", "size", F.lit(length + 1).alias("length")), "phrase-intervals")
         kept.append(found)
-        joined = rows.join(found.groupBy("shard").agg(F.collect_list(at).alias("phrases")), "shard")
     everything = kept[0]
     for k in kept[1:]:
         everything = everything.unionByName(k)
-    spelled = rows.join(everything.groupBy("shard").agg(F.collect_list(F.struct("lo", "size", "length")).alias("phrases")), "shard")
-    counted = spelled.mapInArrow(_phrases, "lang string, length int, phrase string, size long")
-    return stored(counted.groupBy("lang", "length", "phrase").agg(F.sum("size").alias("a")).filter(F.col("a") >= least), "phrases")
+    spelled = rows.cogroup(everything.groupBy("shard")).applyInArrow(_phrases, "lang string, length int, phrase string, size long")
+    return stored(spelled.groupBy("lang", "length", "phrase").agg(F.sum("size").alias("a")).filter(F.col("a") >= least), "phrases")
 
 
 def _exact(x) -> F.Column:

@@ -146,8 +146,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> SentenceM
         "id IS NOT NULL AND y IS NOT NULL").filter(fold_of(F.col("id"), FOLDS) != 0)
     known = known.groupBy("id").agg((F.max("y") > 0).cast("int").alias("y"))
     size = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    order = Window.partitionBy("y").orderBy(F.xxhash64("id"), "id")
-    chosen = known.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= DOCS_EACH)
+    # Ranked are only the ids that a hash picks, about twice as many as wanted of each class.
+    slot = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
+    share = F.when(F.col("y") == 1, min(1.0, 2 * DOCS_EACH / max(1, size.get(1, 0)))).otherwise(min(1.0, 2 * DOCS_EACH / max(1, size.get(0, 0))))
+    order = Window.partitionBy("y").orderBy(slot, "id")
+    chosen = known.filter(slot < share * (1 << 30)).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= DOCS_EACH)
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").alias("text")).filter("text IS NOT NULL")
     # At most 2 * DOCS_EACH ids are broadcast.
     sampled = texts.join(F.broadcast(chosen), "id")
