@@ -10,9 +10,11 @@ lies in an interval of its own first words as well, so both its first and its
 last words have passed before.
 
 Counts are summed across shards after every length, and only phrases that
-can reach ``least`` go on, so rare phrases are never followed further. Between
-lengths phrases are 64-bit hashes; equal hashes of different phrases only let
-more pass. The last pass spells out the phrases left and counts them exactly.
+can reach ``least`` go on, so rare phrases are never followed further. This
+first sum is over 64-bit hashes, of which equal ones only let more pass. The
+hashes that pass return to the shards as a bitmap of bounded size, or by a
+join if they are too many for it. The intervals left are counted by 128-bit
+hashes, and one shard spells each phrase out.
 
 The index is a table bucketed by shard, so that it stays where it is while the
 intervals of each length are brought to it; a task works on one shard at a time.
@@ -27,7 +29,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,6 +44,8 @@ HELD_WORDS = 1 << 20
 LONGEST, LEAST, TOP = 5, 100, 2000
 #: Slots over which a language's phrases are ranked before they meet.
 SLOTS = 64
+#: Bits of the map of hashes that pass; it is used for up to an eighth as many hashes.
+MAP_BITS = 1 << 25
 NO_LANGUAGE = "und"
 
 _PIECE_END = np.zeros(256, bool)
@@ -50,6 +54,8 @@ _PIECE_END[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 _WORD = ~_PIECE_END
 _WORD[[0x20, 0x09]] = False
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Changes the bytes of a word for its second hash.
+_OTHER = np.uint8(0x5A)
 
 
 # --- the index of one shard ----------------------------------------------------
@@ -207,29 +213,30 @@ class _Loaded:
     """An index row as it reaches a task."""
 
     index: FmIndex
-    vocabulary: pa.Array
-    codes: np.ndarray
-    seed: np.uint64
+    vocabulary: bytes
+    codes: list[np.ndarray]
+    seeds: list[np.uint64]
 
     @staticmethod
     def of(lang: str, bwt: bytes, vocabulary: bytes) -> _Loaded:
-        words = vocabulary.split(b" ")
-        size = np.array([len(w) for w in words], np.int64)
-        ends = np.cumsum(size)
-        codes = K.span_hashes(np.frombuffer(b"".join(words), np.uint8), ends - size, ends)
+        data = np.frombuffer(vocabulary, np.uint8)
+        blank = np.flatnonzero(data == 0x20)
+        starts, ends = np.concatenate(([0], blank + 1)), np.append(blank, len(data))
         raw = np.frombuffer(lang.encode("utf-8") + b"|", np.uint8)
-        seed = K.span_hashes(raw, np.array([0]), np.array([len(raw)]))[0]
-        return _Loaded(FmIndex(np.frombuffer(bwt, np.int32), len(words)), pa.array(words, pa.binary()).cast(pa.string()), codes, seed)
+        both = (np.uint8(0), _OTHER)
+        codes = [K.span_hashes(data ^ x, starts, ends) for x in both]
+        seeds = [K.span_hashes(raw ^ x, np.array([0]), np.array([len(raw)]))[0] for x in both]
+        return _Loaded(FmIndex(np.frombuffer(bwt, np.int32), len(starts)), vocabulary, codes, seeds)
 
-    def keys(self, lo: np.ndarray, length: int) -> np.ndarray:
+    def keys(self, lo: np.ndarray, length: int, which: int) -> np.ndarray:
         """Hashes of the phrases of ``length`` words at ``lo``, built from the last word to the first."""
-        out = np.full(len(lo), self.seed, np.uint64)
+        out = np.full(len(lo), self.seeds[which], np.uint64)
         for ids in reversed(self.index.spelled(lo, length)):
-            out = self.longer(out, ids)
+            out = self.longer(out, ids, which)
         return out
 
-    def longer(self, keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        return K.mix(keys * _STEP + self.codes[ids - 1])
+    def longer(self, keys: np.ndarray, ids: np.ndarray, which: int) -> np.ndarray:
+        return K.mix(keys * _STEP + self.codes[which][ids - 1])
 
 
 def _column(table: pa.Table, name: str) -> np.ndarray:
@@ -241,38 +248,45 @@ def _loaded(table: pa.Table) -> tuple[_Loaded, int, str]:
     return _Loaded.of(r["lang"], r["bwt"], r["vocabulary"]), r["shard"], r["lang"]
 
 
-def _extensions(length: int, places: bool):
-    """(key, size), or (key, shard, lo, size), of every extension of one shard's phrases of ``length`` words."""
-    kind = pa.schema([("key", pa.int64()), ("shard", pa.int64()), ("lo", pa.int32()), ("size", pa.int32())])
+def _extensions(length: int, passed: Broadcast | None, places: bool):
+    """(key, size) of every extension of one shard's phrases of ``length`` words, or with ``places``
+    (key, key2, shard, lo, size) of those whose key is in the map of the hashes that ``passed``."""
+    kind = pa.schema([("key", pa.int64()), ("key2", pa.int64()), ("shard", pa.int64()), ("lo", pa.int32()), ("size", pa.int32())])
 
     def run(index: pa.Table, intervals: pa.Table | None = None) -> pa.Table:
         if not index.num_rows or (length and not intervals.num_rows):
-            out = kind.empty_table()
-        else:
-            own, shard, _ = _loaded(index)
-            lo, count = (_column(intervals, "lo"), _column(intervals, "size")) if length else (np.zeros(1, np.int64),) * 2
-            owner, word, start, size = extended(own.index, length, lo, count)
-            base = own.keys(lo, length) if length else np.array([own.seed])
-            key = own.longer(base[owner], word).view(np.int64)
-            out = pa.table([key, np.full(len(key), shard), start.astype(np.int32), size.astype(np.int32)], schema=kind)
-        return out if places else out.select(["key", "size"])
+            return kind.empty_table() if places else kind.empty_table().select(["key", "size"])
+        own, shard, _ = _loaded(index)
+        lo, count = (_column(intervals, "lo"), _column(intervals, "size")) if length else (np.zeros(1, np.int64),) * 2
+        owner, word, start, size = extended(own.index, length, lo, count)
+        key = own.longer(own.keys(lo, length, 0)[owner], word, 0).view(np.int64)
+        if not places:
+            return pa.table({"key": key, "size": size.astype(np.int32)})
+        if passed is not None:
+            bits = np.frombuffer(passed.value, np.uint8)
+            at = np.mod(key, MAP_BITS)
+            hit = np.flatnonzero(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+            owner, word, start, size, key = owner[hit], word[hit], start[hit], size[hit], key[hit]
+        key2 = own.longer(own.keys(lo, length, 1)[owner], word, 1).view(np.int64)
+        return pa.table([key, key2, np.full(len(key), shard), start.astype(np.int32), size.astype(np.int32)], schema=kind)
 
     return (lambda index, intervals: run(index, intervals)) if length else (lambda index: run(index))
 
 
-def _phrases(index: pa.Table, intervals: pa.Table) -> pa.Table:
-    """One shard's remaining phrases as text, with their counts."""
-    kind = pa.schema([("lang", pa.string()), ("length", pa.int32()), ("phrase", pa.string()), ("size", pa.int64())])
-    if not index.num_rows or not intervals.num_rows:
+def _phrases(index: pa.Table, wanted: pa.Table) -> pa.Table:
+    """The phrases that one shard spells out, with their counts."""
+    kind = pa.schema([("lang", pa.string()), ("length", pa.int32()), ("phrase", pa.string()), ("a", pa.int64())])
+    if not index.num_rows or not wanted.num_rows:
         return kind.empty_table()
     own, _, lang = _loaded(index)
-    lo, size, length = (_column(intervals, n) for n in ("lo", "size", "length"))
+    vocabulary = pa.array(own.vocabulary.split(b" "), pa.binary()).cast(pa.string())
+    lo, a, length = (_column(wanted, n) for n in ("lo", "a", "length"))
     out = []
     for k in np.unique(length).tolist():
         at = length == k
-        parts = [own.vocabulary.take(pa.array(ids - 1)) for ids in own.index.spelled(lo[at], k)]
+        parts = [vocabulary.take(pa.array(ids - 1)) for ids in own.index.spelled(lo[at], k)]
         text = pc.binary_join_element_wise(*parts, " ") if k > 1 else parts[0]
-        out.append(pa.table([pa.array([lang] * len(text), pa.string()), np.full(len(text), k, np.int32), text, size[at]], schema=kind))
+        out.append(pa.table([pa.array([lang] * len(text), pa.string()), np.full(len(text), k, np.int32), text, a[at]], schema=kind))
     return pa.concat_tables(out)
 
 
@@ -289,28 +303,47 @@ def shard_index(docs: DataFrame, depth: int = LONGEST, shard_words: int = SHARD_
     return spark.table(name)
 
 
+def _map_of(keys: DataFrame) -> Broadcast | None:
+    """A bitmap of the keys modulo ``MAP_BITS``, sent to the tasks; None for too many keys.
+
+    The driver receives MAP_BITS / 8 bytes at most, in parts of 32,768 bits.
+    """
+    if keys.count() > MAP_BITS // 8:
+        return None
+    place = F.pmod("key", F.lit(MAP_BITS)) + 1
+    parts = keys.groupBy(F.bitmap_bucket_number(place).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    whole = bytearray(MAP_BITS // 8)
+    for r in parts.collect():
+        whole[(r["part"] - 1) * 4096 : r["part"] * 4096] = r["bits"]
+    return keys.sparkSession.sparkContext.broadcast(bytes(whole))
+
+
 def frequent_phrases(index: DataFrame, longest: int = LONGEST, least: int = LEAST) -> DataFrame:
     """(lang, length, phrase, a): every phrase of up to ``longest`` words with at least ``least`` occurrences."""
     rows = index.select("shard", "lang", "bwt", "vocabulary").groupBy("shard")
 
-    def extensions(length: int, found: DataFrame | None, places: bool) -> DataFrame:
-        kind = "key long, shard long, lo int, size int" if places else "key long, size int"
-        step = _extensions(length, places)
-        return rows.applyInArrow(step, kind) if found is None else rows.cogroup(found.groupBy("shard")).applyInArrow(step, kind)
+    def extensions(length: int, before: DataFrame | None, passed: Broadcast | None, places: bool) -> DataFrame:
+        kind = "key long, key2 long, shard long, lo int, size int" if places else "key long, size int"
+        step = _extensions(length, passed, places)
+        return rows.applyInArrow(step, kind) if before is None else rows.cogroup(before.groupBy("shard")).applyInArrow(step, kind)
 
-    kept: list[DataFrame] = []
+    counts: list[DataFrame] = []
     found = None
     for length in range(longest):
-        counted = extensions(length, found, False).groupBy("key").agg(F.sum("size").alias("n"))
-        heavy = stored(counted.filter(F.col("n") >= least).select("key"), "phrase-keys")
-        places = extensions(length, found, True).join(heavy, "key")
-        found = stored(places.select("shard", "lo", "size", F.lit(length + 1).alias("length")), "phrase-intervals")
-        kept.append(found)
-    everything = kept[0]
-    for k in kept[1:]:
+        summed = extensions(length, found, None, False).groupBy("key").agg(F.sum("size").alias("n"))
+        heavy = stored(summed.filter(F.col("n") >= least).select("key"), "phrase-keys")
+        passed = _map_of(heavy)
+        places = extensions(length, found, passed, True)
+        places = stored(places if passed is not None else places.join(heavy, "key", "left_semi"), "phrase-intervals")
+        one = F.min(F.struct("shard", "lo")).alias("one")
+        exact = places.groupBy("key", "key2").agg(F.sum("size").alias("a"), one).filter(F.col("a") >= least)
+        counts.append(stored(exact.select("one.shard", "one.lo", "a", F.lit(length + 1).alias("length")), "phrase-counts"))
+        found = places.select("shard", "lo", "size")
+    everything = counts[0]
+    for k in counts[1:]:
         everything = everything.unionByName(k)
-    spelled = rows.cogroup(everything.groupBy("shard")).applyInArrow(_phrases, "lang string, length int, phrase string, size long")
-    return stored(spelled.groupBy("lang", "length", "phrase").agg(F.sum("size").alias("a")).filter(F.col("a") >= least), "phrases")
+    spelled = rows.cogroup(everything.groupBy("shard")).applyInArrow(_phrases, "lang string, length int, phrase string, a long")
+    return stored(spelled, "phrases")
 
 
 def _exact(x) -> F.Column:

@@ -114,8 +114,9 @@ def plain_collocations(docs, longest, least, top):
     return out
 
 
-@pytest.mark.parametrize("shard_words", [50, 1 << 19])
-def test_phrases_equal_the_definition(make_docs, shard_words):
+@pytest.mark.parametrize(("shard_words", "bits"), [(50, P.MAP_BITS), (1 << 19, P.MAP_BITS), (300, 0)])
+def test_phrases_equal_the_definition(make_docs, monkeypatch, shard_words, bits):
+    monkeypatch.setattr(P, "MAP_BITS", bits)  # 0 takes the way by a join
     rng = random.Random(11)
     words = ["of", "the", "The", "a", "é", "new", "york", "x-y", "𝄞", "Ä", "'s"]
     fixed = ["kick the bucket", "New York city hall", "of of of of of of"]
