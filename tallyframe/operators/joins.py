@@ -106,10 +106,10 @@ def category_labels(categories: DataFrame, lang: str = "en") -> DataFrame:
     return categories.withColumn("label", X.category_label("name", "is_system", lang))
 
 
-def account_ownership_check(df: DataFrame, accounts: DataFrame) -> DataFrame:
+def account_ownership_check(df: DataFrame, accounts: DataFrame, spread: str = "id") -> DataFrame:
     """Flag rows whose account does not exist or belongs to another user."""
     owned = accounts.select(F.col("id").alias("_acc"), F.col("user_id").alias("_owner"))
-    rows = left_lookup(df, owned, "account_id", "id", "_acc")
+    rows = left_lookup(df, owned, "account_id", spread, "_acc")
     ok = F.col("account_id").isNull() | F.coalesce(F.col("_owner") == F.col("user_id"), F.lit(False))
     return rows.withColumn("account_ok", ok).drop("_owner")
 

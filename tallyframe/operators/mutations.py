@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 from tallyframe.functions import scalars as X
 from tallyframe.operators.balances import with_account_totals
 from tallyframe.operators.joins import account_ownership_check
-from tallyframe.plans.keys import anti_on_key, left_lookup
-from tallyframe.schema import ENUMS, TOTAL
+from tallyframe.plans.ids import largest_id, with_new_ids
+from tallyframe.plans.keys import anti_on_key, category_lookup, left_lookup
+from tallyframe.schema import ENUMS, OUTCOME, TOTAL
+from tallyframe.session import written
 from tallyframe.sources.ledger import Ledger
 
 def _report(df: DataFrame, reason: Column, id_col: str = "id") -> DataFrame:
@@ -38,26 +40,29 @@ def _repeated(df: DataFrame, key: str = "id") -> DataFrame:
 
 # --- transactions ------------------------------------------------------------
 
-def checked_transactions(batch: DataFrame, accounts: DataFrame) -> DataFrame:
-    """The batch with ``reason``: NULL when the row may be stored."""
-    rows = account_ownership_check(batch, accounts)
+def checked_transactions(batch: DataFrame, accounts: DataFrame, categories: DataFrame | None = None) -> DataFrame:
+    """The batch with ``reason``: NULL when the row may be stored.
+
+    Type, amount and date are required, an account must be the row's user's
+    own, and a category, if ``categories`` are given, must exist.
+    """
+    spread = "request_id" if "request_id" in batch.columns else "id"
+    rows = account_ownership_check(batch, accounts, spread)
     reason = F.when(~F.coalesce(F.col("type").isin(ENUMS["type"]), F.lit(False)), "invalid type").when(
+        F.col("amount").isNull(), "amount required").when(F.col("date").isNull(), "date required").when(
         ~F.col("account_ok"), "account not found or access denied"
     )
-    return rows.withColumn("reason", reason).drop("account_ok")
+    if categories is not None:
+        rows = category_lookup(rows, categories, spread)
+        reason = reason.when(F.col("category_id").isNotNull() & F.col("category_name").isNull(), "category not found")
+    return rows.withColumn("reason", reason).select(*batch.columns, "reason")
 
 
-def ingest_transactions(
-    transactions: DataFrame, stored: DataFrame, batch: DataFrame, now: dt.datetime
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Append valid rows and add their signed sums to the account balances."""
-    checked = checked_transactions(batch, stored)
-    accepted = checked.filter("reason IS NULL").select(*transactions.columns)
-    change = accepted.filter("account_id IS NOT NULL").groupBy("account_id").agg(
-        F.sum(X.signed_amount()).alias("_change")
-    )
+def _with_changes(stored: DataFrame, rows: DataFrame, now: dt.datetime) -> DataFrame:
+    """Stored accounts with the signed sums of ``rows`` added; accounts with rows are marked as changed ``now``."""
+    change = rows.filter("account_id IS NOT NULL").groupBy("account_id").agg(F.sum(X.signed_amount()).alias("_change"))
     touched = F.col("account_id").isNotNull()
-    accounts = (
+    return (
         stored.join(change, stored["id"] == change["account_id"], "left")
         .withColumns({
             "balance": (F.col("balance") + F.coalesce("_change", F.lit(0))).cast(TOTAL),
@@ -65,7 +70,38 @@ def ingest_transactions(
         })
         .select(*stored.columns)
     )
-    return transactions.unionByName(accepted), accounts, _report(checked, F.col("reason"))
+
+
+def ingest_transactions(
+    transactions: DataFrame, stored: DataFrame, batch: DataFrame, now: dt.datetime, categories: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Append valid rows that bring their own ids, and add their signed sums to the account balances.
+
+    An id that is stored already, or that the batch holds twice, is refused.
+    """
+    checked = _repeated(checked_transactions(batch, stored, categories))
+    used = transactions.select("id", F.lit(True).alias("_used"))
+    checked = checked.join(used, "id", "left").withColumn("reason", F.coalesce(
+        F.when(F.col("_used"), "id already used").when(F.col("_times") > 1, "id given more than once"), "reason"))
+    accepted = checked.filter("reason IS NULL").select(*transactions.columns)
+    return transactions.unionByName(accepted), _with_changes(stored, accepted, now), _report(checked, F.col("reason"))
+
+
+def create_transactions(
+    transactions: DataFrame, stored: DataFrame, categories: DataFrame, batch: DataFrame, now: dt.datetime
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Create rows with new ids: (the new rows, accounts, report with ``request_id`` and the new ``id``).
+
+    ``batch`` has a unique ``request_id`` and no ids. Accepted rows get the ids
+    above the largest stored one in the order of their requests; append the new
+    rows with ``versions.commit`` or ``sinks.append_transactions``.
+    """
+    checked = written(checked_transactions(batch, stored, categories), "checked")
+    accepted = with_new_ids(checked.filter("reason IS NULL"), ["request_id"], largest_id(transactions))
+    report = checked.select("request_id", "reason").join(accepted.select("request_id", "id"), "request_id", "left").select(
+        "request_id", "id", F.when(F.col("reason").isNull(), "ok").otherwise("rejected").alias("status"), "reason")
+    new = accepted.select(*[c for c in transactions.columns if c in accepted.columns])
+    return new, _with_changes(stored, new, now), report
 
 
 def delete_transactions(
@@ -119,7 +155,7 @@ def delete_budgets_cascade(
 
 
 def upsert_budgets(
-    budgets: DataFrame, limits: DataFrame, edits: DataFrame, limit_edits: DataFrame
+    budgets: DataFrame, limits: DataFrame, edits: DataFrame, limit_edits: DataFrame, categories: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Create or edit budgets and their category limits.
 
@@ -127,7 +163,7 @@ def upsert_budgets(
     total_expense_limit. ``limit_edits``: id, budget_id, category_id,
     limit_amount, is_deleted. An edit is refused when its end is not after its
     start or when it names another user's budget; limit edits of refused
-    budgets are dropped with them.
+    budgets are dropped with them, others are judged by ``upsert_limits``.
     """
     owners = budgets.select("id", F.col("user_id").alias("_owner"))
     looked = _repeated(edits).join(owners, "id", "left")
@@ -147,18 +183,69 @@ def upsert_budgets(
         F.coalesce("user_id", "_user").alias("user_id"),
     ).select(*budgets.columns)
 
+    new_limits, _ = upsert_limits(limits, merged, categories, _dropped_with(limit_edits, looked))
+    return merged, new_limits, _report(looked, F.col("reason"))
+
+
+def _dropped_with(limit_edits: DataFrame, looked: DataFrame) -> DataFrame:
+    """Limit edits without those of refused budgets."""
     refused = looked.filter("reason IS NOT NULL").select("id").distinct()
-    allowed = anti_on_key(limit_edits, refused, "budget_id", "id").select(
-        "id", F.lit(True).alias("_hit"), F.col("budget_id").alias("_budget"), F.col("category_id").alias("_cat"),
-        F.col("limit_amount").alias("_amount"), "is_deleted",
+    return anti_on_key(limit_edits, refused, "budget_id", "id")
+
+
+def upsert_limits(
+    limits: DataFrame, budgets: DataFrame, categories: DataFrame | None, edits: DataFrame
+) -> tuple[DataFrame, DataFrame]:
+    """Create, change or delete category limits: (limits, report).
+
+    ``edits``: id, budget_id, category_id, limit_amount, is_deleted and, if
+    given, user_id of the editor. Refused are edits given twice, of budgets
+    that do not exist or are not the editor's, of limits of other budgets,
+    and, unless they delete, those without an amount, on a category that is
+    not an OUTCOME one the budget's owner sees, and on a budget's category
+    that already has a limit or is asked for by an edit with a smaller id.
+    """
+    owners = budgets.select(F.col("id").alias("budget_id"), F.col("user_id").alias("_owner")).withColumn("_known", F.lit(True))
+    before = limits.select("id", F.col("budget_id").alias("_budget"))
+    looked = _repeated(edits).join(owners, "budget_id", "left").join(before, "id", "left")
+    editor = F.col("user_id") if "user_id" in edits.columns else F.col("_owner")
+    deleted = F.coalesce("is_deleted", F.lit(False))
+    reason = (
+        F.when(F.col("_times") > 1, "edited more than once")
+        .when(F.col("_known").isNull() | ~editor.eqNullSafe(F.col("_owner")), "budget not found")
+        .when(F.col("_budget").isNotNull() & (F.col("_budget") != F.col("budget_id")), "limit of another budget")
+        .when(deleted & F.col("_budget").isNull(), "not found")
+        .when(~deleted & F.col("limit_amount").isNull(), "amount required")
     )
-    new_limits = limits.join(allowed, "id", "full_outer").filter(~F.coalesce("is_deleted", F.lit(False))).select(
+    if categories is not None:
+        looked = category_lookup(looked, categories, spread="id")
+        seen = F.col("category_is_system") | (F.col("category_owner_id") == F.col("_owner"))
+        fits = F.coalesce((F.col("category_type") == OUTCOME) & seen, F.lit(False))
+        reason = reason.when(~deleted & ~fits, "category not allowed")
+    looked = looked.withColumn("reason", reason).select(*edits.columns, "reason")
+
+    good = looked.filter("reason IS NULL").select("id", F.col("budget_id").alias("_b"), F.col("category_id").alias("_c"),
+                                                  F.col("limit_amount").alias("_a"), deleted.alias("_gone"), F.lit(True).alias("_hit"))
+    merged = limits.join(good, "id", "full_outer").filter(~F.coalesce("_gone", F.lit(False)))
+    # An edit that takes a (budget, category) meets whoever holds it now, then the edits with smaller ids.
+    holds = F.col("budget_id").isNotNull()
+    moved = F.coalesce("_hit", F.lit(False)) & ~(holds & F.col("category_id").eqNullSafe(F.col("_c")))
+    merged = merged.withColumn("_moved", moved)
+    places = merged.filter(holds).select("budget_id", "category_id", F.lit(False).alias("_moved"), "id").unionByName(
+        merged.filter("_moved").select(F.col("_b").alias("budget_id"), F.col("_c").alias("category_id"), "_moved", "id"))
+    first = places.groupBy(F.col("budget_id").alias("_b"), F.col("category_id").alias("_c")).agg(
+        F.min(F.struct("_moved", "id"))["id"].alias("_first"))
+    judged = merged.join(first, ["_b", "_c"], "left").withColumn("_twin", F.col("_moved") & (F.col("_first") != F.col("id")))
+    taken = F.col("_hit") & ~F.col("_twin")
+    kept = judged.filter(holds | ~F.coalesce("_twin", F.lit(False))).select(
         "id",
-        F.coalesce("_budget", "budget_id").alias("budget_id"),
-        F.coalesce("_cat", "category_id").alias("category_id"),
-        F.when(F.col("_hit"), F.col("_amount")).otherwise(F.col("limit_amount")).alias("limit_amount"),
+        F.when(taken, F.col("_b")).otherwise(F.col("budget_id")).alias("budget_id"),
+        F.when(taken, F.col("_c")).otherwise(F.col("category_id")).alias("category_id"),
+        F.when(taken, F.col("_a")).otherwise(F.col("limit_amount")).alias("limit_amount"),
     )
-    return merged, new_limits, _report(looked, F.col("reason"))
+    twins = judged.filter("_twin").select("id", F.lit("category already has a limit").alias("_twin"))
+    report = looked.join(twins, "id", "left")
+    return kept.select(*limits.columns), _report(report, F.coalesce("reason", "_twin"))
 
 
 # --- accounts ----------------------------------------------------------------

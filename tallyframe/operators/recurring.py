@@ -42,8 +42,35 @@ def recurring_due_range(
     """Due (template, day) pairs for every day of an inclusive range; an empty range has none."""
     if date_to < date_from:
         return recurring.withColumn("date", F.lit(date_from)).filter("false")
-    days = F.sequence(F.lit(date_from), F.lit(date_to), F.expr("INTERVAL 1 DAY"))
-    return recurring.withColumn("date", F.explode(days)).filter(_is_due(F.col("date"), honor_end_date))
+    last = F.lit(date_to)
+    if honor_end_date:
+        last = F.least(last, F.coalesce("end_date", F.lit(date_to)))
+    rows = recurring.withColumns({"_first": F.greatest("start_date", F.lit(date_from)), "_last": last})
+    return rows.filter("_first <= _last").withColumn("date", F.explode(_due_dates())).drop("_first", "_last")
+
+
+def _due_dates() -> Column:
+    """Due dates from ``_first`` to ``_last``, generated by the frequency's own step.
+
+    A month or year without the start's day has none: the day is counted from
+    the month's first and dropped where it falls into the next month.
+    """
+    def steps(first: str, unit: str) -> str:
+        return f"sequence({first}, _last, INTERVAL 1 {unit})"
+
+    def on_day(firsts: str) -> str:
+        dated = f"transform({firsts}, m -> struct(m, date_add(m, day(start_date) - 1) AS d))"
+        return f"transform(filter({dated}, x -> trunc(x.d, 'MM') = x.m AND x.d BETWEEN _first AND _last), x -> x.d)"
+
+    monday = "next_day(date_sub(_first, 1), 'MO')"
+    year = "make_date(year(_first), month(start_date), 1)"
+    none = "CAST(array() AS ARRAY<DATE>)"
+    return F.expr(f"""CASE frequency
+        WHEN 'daily' THEN {steps("_first", "DAY")}
+        WHEN 'weekly' THEN CASE WHEN {monday} <= _last THEN {steps(monday, "WEEK")} ELSE {none} END
+        WHEN 'monthly' THEN {on_day(steps("trunc(_first, 'MM')", "MONTH"))}
+        WHEN 'yearly' THEN {on_day(f"CASE WHEN {year} <= _last THEN {steps(year, 'YEAR')} ELSE {none} END")}
+        ELSE {none} END""")
 
 
 def recurring_antijoin(

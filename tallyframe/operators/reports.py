@@ -14,6 +14,7 @@ from tallyframe.operators.balances import with_account_totals
 from tallyframe.operators.joins import user_category_matrix, user_currency
 from tallyframe.plans.intervals import interval_totals
 from tallyframe.plans.keys import category_lookup
+from tallyframe.plans.prefix import prefix_totals
 from tallyframe.schema import INCOME, OUTCOME, TOTAL
 
 
@@ -108,9 +109,8 @@ def account_balance_report(
 
 def budget_totals(budgets: DataFrame, transactions: DataFrame) -> DataFrame:
     """Budgets with ``income`` and ``spent`` of their user inside the period."""
-    sums = interval_totals(
-        budgets.withColumnRenamed("id", "budget_id"),
-        "budget_id",
+    return prefix_totals(
+        budgets,
         "start_date",
         "end_date",
         transactions.filter(F.col("user_id").isNotNull()),
@@ -120,11 +120,6 @@ def budget_totals(budgets: DataFrame, transactions: DataFrame) -> DataFrame:
             "spent": F.when(F.col("type") == OUTCOME, F.col("amount")).otherwise(0),
         },
     )
-    return (
-        budgets.join(sums, budgets["id"] == sums["budget_id"], "left")
-        .drop("budget_id")
-        .withColumns({"income": X.or_zero("income"), "spent": X.or_zero("spent")})
-    )
 
 
 def budget_execution(

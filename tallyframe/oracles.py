@@ -273,6 +273,17 @@ def oracle_sql() -> dict[str, str]:
 SELECT * FROM ex UNION ALL SELECT id + (SELECT COALESCE(MAX(id), 0) FROM ex), name, symbol FROM cur WHERE name NOT IN (SELECT name FROM ex)""")
     q["reset_system_categories"] = _sql("c", _seed(S.RESET_CATEGORIES, "NOT is_system", "TRUE"))
     q["generate_transactions"] = _sql("u a c", _GENERATED)
+    q["generate_transactions_table"] = _sql("u a c t", f"""{_GENERATED.replace("SELECT p.user_id", ", g AS (SELECT p.user_id", 1)})
+SELECT (SELECT MAX(id) FROM t) + row_number() OVER (ORDER BY user_id, row_no) AS id, user_id, type, amount, date, description,
+  category_id, account_id FROM g""")
+    q["append_transactions_once"] = _sql("t", "SELECT *, CAST(date_trunc('month', date) AS DATE) AS month FROM t")
+    state = "SELECT {v}::BIGINT AS version, '{n}' AS table_name, COUNT(*) AS row_count, CAST(SUM(id) AS BIGINT) AS id_sum FROM {n1} WHERE {w}"
+    gone = ["TRUE", "total_expense_limit IS NOT NULL", "total_expense_limit IS NOT NULL AND name <> 'budget_1997'"]
+    q["versioned_changes"] = _sql("t b l c", " UNION ALL ".join(
+        state.format(v=v, n=n, n1=n1, w=w)
+        for v in (1, 2, 3) for n, n1, w in (
+            ("transactions", "t", "TRUE"), ("categories", "c", "TRUE"), ("budgets", "b", gone[v - 1]),
+            ("limits", "l", f"budget_id IN (SELECT id FROM b WHERE {gone[v - 1]})"))))
     q["append_transactions"] = _sql("t", "SELECT *, CAST(date_trunc('month', date) AS DATE) AS month FROM t")
     q["export_transactions_json"] = _sql("t", """SELECT id, '{"id":' || id || ',"type":"' || type || '","amount":"' || amount
   || '","date":"' || date || '","description":' || COALESCE('"' || description || '"', 'null') || ',"category":'
@@ -487,6 +498,51 @@ FROM r LEFT JOIN c ON c.id = r.category_id LEFT JOIN labels ON labels.key = c.na
   THEN x.amount ELSE -x.amount END), 0) AS {TOTAL}) AS balance,
   CASE WHEN COUNT(x.id) > 0 THEN TIMESTAMP '2024-02-01 00:00:00' ELSE st.updated_at END AS updated_at
 FROM st LEFT JOIN (SELECT * FROM rawchk WHERE reason IS NULL) x ON x.account_id = st.id GROUP BY st.id, balance, st.updated_at""")
+    wanted = """, req AS (SELECT id AS request_id, user_id, type, CASE WHEN id % 53 <> 0 THEN amount END AS amount,
+  CASE WHEN id % 59 <> 0 THEN date END AS date, description, CASE WHEN id % 61 = 0 THEN 999 ELSE category_id END AS category_id, account_id FROM raw),
+judged AS (SELECT *, CASE WHEN type NOT IN ('INCOME', 'OUTCOME') THEN 'invalid type' WHEN amount IS NULL THEN 'amount required'
+  WHEN date IS NULL THEN 'date required'
+  WHEN account_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM a WHERE a.id = req.account_id AND a.user_id = req.user_id)
+  THEN 'account not found or access denied'
+  WHEN category_id IS NOT NULL AND category_id NOT IN (SELECT id FROM c) THEN 'category not found' END AS reason FROM req),
+new AS (SELECT (SELECT MAX(id) FROM t) + row_number() OVER (ORDER BY request_id) AS id, * FROM judged WHERE reason IS NULL)"""
+    columns = "id, user_id, type, amount, date, description, category_id, account_id"
+    q["ingest_transactions_table"] = _sql("raw a c t", f"{wanted} SELECT {columns} FROM t UNION ALL SELECT {columns} FROM new")
+    q["ingest_transactions_requests"] = _sql("raw a c t", f"""{wanted}
+SELECT judged.request_id, new.id, CASE WHEN judged.reason IS NULL THEN 'ok' ELSE 'rejected' END AS status, judged.reason
+FROM judged LEFT JOIN new USING (request_id)""")
+    q["ingest_transactions_new_balances"] = _sql("raw a c t st", f"""{wanted} SELECT st.id, CAST(balance + COALESCE(SUM(
+  CASE WHEN n.type = 'INCOME' THEN n.amount ELSE -n.amount END), 0) AS {TOTAL}) AS balance,
+  CASE WHEN COUNT(n.id) > 0 THEN TIMESTAMP '2024-02-01 00:00:00' ELSE st.updated_at END AS updated_at
+FROM st LEFT JOIN new n ON n.account_id = st.id GROUP BY st.id, balance, st.updated_at""")
+    q["ingest_transactions_refused"] = _sql("rawchk", f"""SELECT id, {status}, reason IS NULL OR id % 2 = 0 AS is_stored FROM (
+  SELECT id, CASE WHEN id % 2 = 0 THEN 'id already used' WHEN id % 154 = 77 THEN 'id given more than once' ELSE reason END AS reason
+  FROM (SELECT * FROM rawchk UNION ALL SELECT * FROM rawchk WHERE id % 154 = 77))""")
+    cats = """, req AS (SELECT u.id * 10 + g.no AS request_id, u.id AS user_id, g.type,
+    CASE g.no WHEN 0 THEN 'machinery' WHEN 3 THEN '' WHEN 4 THEN 'gifts ' || u.id % 7 ELSE 'pets' END AS name
+  FROM u CROSS JOIN (VALUES (0, 'OUTCOME'), (1, 'OUTCOME'), (2, 'INCOME'), (3, 'INCOME'), (4, 'TRANSFER')) g(no, type)),
+judged AS (SELECT *, CASE WHEN name = '' THEN 'name required' WHEN type = 'TRANSFER' THEN 'invalid type'
+  WHEN request_id % 10 = 2 OR EXISTS (SELECT 1 FROM c WHERE c.name = req.name AND c.user_id = req.user_id) THEN 'name already used' END AS reason FROM req),
+new AS (SELECT (SELECT MAX(id) FROM c) + row_number() OVER (ORDER BY request_id) AS id, * FROM judged WHERE reason IS NULL)"""
+    reported = """SELECT judged.request_id, new.id, CASE WHEN judged.reason IS NULL THEN 'ok' ELSE 'rejected' END AS status, judged.reason
+FROM judged LEFT JOIN new USING (request_id)"""
+    q["create_categories"] = _sql("u c", f"{cats} SELECT * FROM c UNION ALL SELECT id, name, type, FALSE, user_id FROM new")
+    q["create_categories_report"] = _sql("u c", f"{cats} {reported}")
+    plans = f""", req AS (SELECT id AS request_id, CASE WHEN id % 13 = 0 THEN user_id + 1 ELSE user_id END AS user_id,
+  CASE WHEN id % 17 <> 0 THEN id END AS account_id, CAST(CASE WHEN id % 19 <> 0 THEN 25 END AS {MONEY}) AS amount,
+  CASE WHEN id % 23 = 0 THEN 'INCOME' ELSE 'OUTCOME' END AS type,
+  CASE WHEN id % 5 = 0 THEN user_id + 1000 WHEN id % 5 <> 1 THEN 11 END AS category_id, 'plan' AS description,
+  CASE WHEN id % 29 = 0 THEN 'hourly' ELSE 'monthly' END AS frequency,
+  CASE WHEN id % 31 <> 0 THEN DATE '1998-01-31' END AS start_date, CAST(NULL AS DATE) AS end_date FROM a),
+judged AS (SELECT *, CASE WHEN frequency = 'hourly' THEN 'invalid frequency' WHEN amount IS NULL THEN 'amount required'
+  WHEN start_date IS NULL THEN 'start date required'
+  WHEN NOT EXISTS (SELECT 1 FROM a WHERE a.id = req.account_id AND a.user_id = req.user_id AND a.is_active) THEN 'account not found or access denied'
+  WHEN category_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM c WHERE c.id = req.category_id AND c.type = req.type
+    AND (c.is_system OR c.user_id = req.user_id)) THEN 'category not allowed' END AS reason FROM req),
+new AS (SELECT (SELECT MAX(id) FROM r) + row_number() OVER (ORDER BY request_id) AS id, * FROM judged WHERE reason IS NULL)"""
+    fields = "id, user_id, account_id, amount, type, category_id, description, frequency, start_date, end_date"
+    q["create_recurring"] = _sql("a c r", f"{plans} SELECT {fields} FROM r UNION ALL SELECT {fields} FROM new")
+    q["create_recurring_report"] = _sql("a c r", f"{plans} {reported}")
     asked = """, asked AS (SELECT id, CASE WHEN type = 'INCOME' THEN user_id ELSE user_id + 1 END AS user_id FROM t
   WHERE category_id IS NULL AND user_id IS NOT NULL), hit AS (SELECT t.* FROM t JOIN asked USING (id, user_id))"""
     q["delete_transactions"] = _sql("t", f"""{asked}
@@ -537,6 +593,26 @@ UNION ALL SELECT id + 1000000000, 'holiday', 'CUSTOM', DATE '2002-07-01', DATE '
   CAST(CASE WHEN category_id = 11 AND NOT {refused} THEN limit_amount + 1 ELSE limit_amount END AS {MONEY}) AS limit_amount
 FROM l WHERE category_id <> 12 OR {refused}
 UNION ALL SELECT id + 9000000000, id + 1000000000, CAST(11 AS BIGINT), CAST(50 AS {MONEY}) FROM u""")
+    lim = f""", e0 AS (SELECT l.id, CASE WHEN l.id % 7 = 0 THEN budget_id + 5000000 WHEN l.id % 11 = 0 THEN budget_id + 1 ELSE budget_id END AS budget_id,
+  CASE WHEN l.id % 5 = 0 THEN 1 WHEN l.id % 3 = 0 THEN 12 ELSE category_id END AS category_id,
+  CAST(CASE WHEN l.id % 13 <> 0 THEN limit_amount + 1 END AS {MONEY}) AS limit_amount, category_id = 12 AND budget_id % 2 = 0 AS gone,
+  CASE WHEN l.id % 17 = 0 THEN user_id + 1 ELSE user_id END AS editor FROM l JOIN b ON b.id = l.budget_id),
+e1 AS (SELECT e0.*, CASE WHEN e0.id % 19 = 0 THEN 'edited more than once'
+  WHEN NOT EXISTS (SELECT 1 FROM b WHERE b.id = e0.budget_id AND b.user_id = editor) THEN 'budget not found'
+  WHEN EXISTS (SELECT 1 FROM l WHERE l.id = e0.id AND l.budget_id <> e0.budget_id) THEN 'limit of another budget'
+  WHEN NOT gone AND limit_amount IS NULL THEN 'amount required'
+  WHEN NOT gone AND NOT EXISTS (SELECT 1 FROM c WHERE c.id = e0.category_id AND c.type = 'OUTCOME' AND (c.is_system OR c.user_id = editor))
+  THEN 'category not allowed' END AS early FROM e0),
+left_ AS (SELECT * FROM l WHERE id NOT IN (SELECT id FROM e1 WHERE early IS NULL AND gone)),
+moved AS (SELECT e1.* FROM e1 JOIN l USING (id) WHERE early IS NULL AND NOT gone AND l.category_id <> e1.category_id),
+e2 AS (SELECT e1.*, COALESCE(early, CASE WHEN id IN (SELECT id FROM moved) AND (
+    EXISTS (SELECT 1 FROM left_ WHERE left_.budget_id = e1.budget_id AND left_.category_id = e1.category_id)
+    OR EXISTS (SELECT 1 FROM moved m WHERE m.budget_id = e1.budget_id AND m.category_id = e1.category_id AND m.id < e1.id))
+  THEN 'category already has a limit' END) AS reason FROM e1)"""
+    q["upsert_limits"] = _sql("l b c", f"""{lim} SELECT x.id, x.budget_id, COALESCE(e2.category_id, x.category_id) AS category_id,
+  CAST(COALESCE(e2.limit_amount, x.limit_amount) AS {MONEY}) AS limit_amount
+FROM left_ x LEFT JOIN e2 ON e2.id = x.id AND e2.reason IS NULL AND NOT e2.gone""")
+    q["upsert_limits_report"] = _sql("l b c", f"{lim} SELECT id, {status} FROM (SELECT * FROM e2 UNION ALL SELECT * FROM e2 WHERE id % 19 = 0)")
     twins = "SELECT *, row_number() OVER (PARTITION BY date, user_id, account_id, amount, type, category_id ORDER BY id) AS rn FROM made"
     q["materialize_recurring"] = _sql("made", f"""SELECT id AS recurring_id, {_MADE_COLUMNS} FROM ({twins})
 WHERE rn = 1 AND date = {AS_OF}""")
@@ -544,6 +620,14 @@ WHERE rn = 1 AND date = {AS_OF}""")
   THEN m.amount ELSE -m.amount END), 0) AS {TOTAL}) AS balance
 FROM st LEFT JOIN (SELECT * FROM ({twins}) WHERE rn = 1 AND date = {AS_OF}) m ON m.account_id = st.id GROUP BY st.id, balance""")
     q["recurring_nightly"] = _sql("made", f"SELECT id AS recurring_id, {_MADE_COLUMNS} FROM ({twins}) WHERE rn = 1")
+    done = f"""SELECT (SELECT MAX(id) FROM t) + row_number() OVER (ORDER BY date, id) AS id, {_MADE_COLUMNS} FROM ({twins}) WHERE rn = 1"""
+    q["materialize_recurring_table"] = _sql("made t", f"SELECT * FROM t UNION ALL SELECT {columns} FROM ({done})")
+    q["materialize_recurring_days"] = _sql("made", f"""SELECT d.day, COUNT(x.id) AS created_count
+FROM (SELECT CAST(g AS DATE) AS day FROM range(TIMESTAMP '1998-05-27', TIMESTAMP '1998-06-02', INTERVAL 1 DAY) s(g)) d
+LEFT JOIN (SELECT * FROM ({twins}) WHERE rn = 1) x ON x.date = d.day GROUP BY d.day""")
+    q["materialize_recurring_accounts"] = _sql("made st", f"""SELECT st.id, CAST(balance + COALESCE(SUM(CASE WHEN m.type = 'INCOME'
+  THEN m.amount ELSE -m.amount END), 0) AS {TOTAL}) AS balance
+FROM st LEFT JOIN (SELECT * FROM ({twins}) WHERE rn = 1) m ON m.account_id = st.id GROUP BY st.id, balance""")
     q["delete_recurring"] = _sql("r", "SELECT * FROM r WHERE end_date IS NULL OR description IS NULL")
     q["currency_delete_set_null"] = _sql("u", "SELECT id, email, CASE WHEN currency_id NOT IN (2, 4) THEN currency_id END AS currency_id FROM u")
 

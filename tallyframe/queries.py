@@ -12,6 +12,7 @@ from tallyframe import schema as S
 from tallyframe.functions import scalars as X
 from tallyframe.operators import (
     balances,
+    creation,
     filters,
     history,
     joins,
@@ -23,8 +24,9 @@ from tallyframe.operators import (
     stats,
 )
 from tallyframe.plans import dashboard
+from tallyframe.plans.ids import largest_id, with_new_ids
 from tallyframe.session import shared_dir
-from tallyframe.sources import generate, ledger, seeds, sinks
+from tallyframe.sources import generate, ledger, seeds, sinks, versions
 from tallyframe.streaming import ledger_streams, nightly
 
 AS_OF = dt.date(1998, 6, 1)
@@ -82,6 +84,42 @@ def q_generate_transactions(spark, d):
     return generate.generate_transactions(L["users"], L["accounts"], L["categories"], 50, EVENTS_AS_OF)
 
 
+@query
+def q_generate_transactions_table(spark, d):
+    """The generated rows as they are added to the stored table, with ids above its own."""
+    L = _ledger(spark, d)
+    made = generate.generate_transactions(L["users"], L["accounts"], L["categories"], 50, EVENTS_AS_OF)
+    return with_new_ids(made, ["user_id", "row_no"], largest_id(L["transactions"])).select(*L["transactions"].columns)
+
+
+@query
+def q_append_transactions_once(spark, d):
+    """A store of the older rows, to which the newer ones are appended by a run that is repeated."""
+    L, root = _ledger(spark, d), shared_dir(spark, "store")
+    late = F.col("date") >= F.lit(dt.date(1997, 1, 1))
+    versions.commit(spark, root, replace={"transactions": L["transactions"].filter(~late)})
+    for _ in range(2):
+        versions.commit(spark, root, append={"transactions": L["transactions"].filter(late)}, run_id="load-1997")
+    return versions.read(spark, root)["transactions"]
+
+
+@query
+def q_versioned_changes(spark, d):
+    """Row counts of every version while budgets and their limits are deleted, one commit each."""
+    L, root = _ledger(spark, d), shared_dir(spark, "store")
+    versions.commit(spark, root, replace={n: L[n] for n in ("transactions", "budgets", "limits", "categories")})
+    for condition in ("total_expense_limit IS NULL", "name = 'budget_1997'"):
+        now = versions.read(spark, root)
+        asked = now["budgets"].filter(condition).select("id", "user_id")
+        budgets, limits, _ = mutations.delete_budgets_cascade(now["budgets"], now["limits"], asked)
+        versions.commit(spark, root, replace={"budgets": budgets, "limits": limits})
+    return reduce_union([
+        versions.read(spark, root, v)[n].groupBy(F.lit(v).cast("long").alias("version"), F.lit(n).alias("table_name")).agg(
+            F.count(F.lit(1)).alias("row_count"), F.sum("id").cast("long").alias("id_sum"))
+        for v in (1, 2, 3) for n in ("transactions", "budgets", "limits", "categories")
+    ])
+
+
 @query
 def q_append_transactions(spark, d):
     path = shared_dir(spark, "facts")
@@ -522,6 +560,92 @@ def q_ingest_transactions_balances(spark, d):
     return _ingest(spark, d)[1].select("id", "balance", "updated_at")
 
 
+def _create_transactions(spark, d):
+    """Every raw row is asked for again as a new one, some without an amount or a date or on an unknown category."""
+    L = _ledger(spark, d)
+    requests = ledger.raw_transactions(spark, d).select(
+        F.col("id").alias("request_id"), "user_id", "type",
+        F.when(F.col("id") % 53 != 0, F.col("amount")).alias("amount"), F.when(F.col("id") % 59 != 0, F.col("date")).alias("date"),
+        "description", F.when(F.col("id") % 61 == 0, F.lit(999).cast("long")).otherwise(F.col("category_id")).alias("category_id"),
+        "account_id")
+    return L, *mutations.create_transactions(L["transactions"], _stored(L), L["categories"], requests, NOW)
+
+
+@query
+def q_ingest_transactions_table(spark, d):
+    L, new, _, _ = _create_transactions(spark, d)
+    return L["transactions"].unionByName(new)
+
+
+@query
+def q_ingest_transactions_requests(spark, d):
+    return _create_transactions(spark, d)[3]
+
+
+@query
+def q_ingest_transactions_new_balances(spark, d):
+    return _create_transactions(spark, d)[2].select("id", "balance", "updated_at")
+
+
+@query
+def q_ingest_transactions_refused(spark, d):
+    """Raw rows with their own ids against a store that holds the even ones; odd multiples of 77 come twice."""
+    L = _ledger(spark, d)
+    raw = ledger.raw_transactions(spark, d)
+    batch = raw.unionByName(raw.filter("id % 154 = 77"))
+    out, _, report = mutations.ingest_transactions(L["transactions"].filter("id % 2 = 0"), _stored(L), batch, NOW, L["categories"])
+    return report.join(out.select("id", F.lit(True).alias("is_stored")), "id", "left").select(
+        "id", "status", "reason", F.coalesce("is_stored", F.lit(False)).alias("is_stored"))
+
+
+def _create_categories(spark, d):
+    """Each user asks for a used name, a new one, the same again, a blank one and a wrong type."""
+    L = _ledger(spark, d)
+    asked = F.posexplode(F.array(*[F.struct(n.alias("name"), F.lit(k).alias("type")) for n, k in (
+        (F.lit("machinery"), S.OUTCOME), (F.lit(" pets "), S.OUTCOME), (F.lit("pets"), S.INCOME), (F.lit("  "), S.INCOME),
+        (F.concat(F.lit("gifts "), F.col("id") % 7), "TRANSFER"))])).alias("_no", "_asked")
+    batch = L["users"].select("id", asked).select(
+        (F.col("id") * 10 + F.col("_no")).alias("request_id"), F.col("id").alias("user_id"), "_asked.name", "_asked.type")
+    return L, *creation.create_categories(L["categories"], batch)
+
+
+@query
+def q_create_categories(spark, d):
+    L, new, _ = _create_categories(spark, d)
+    return L["categories"].unionByName(new)
+
+
+@query
+def q_create_categories_report(spark, d):
+    return _create_categories(spark, d)[2]
+
+
+def _create_recurring(spark, d):
+    """Every account asks for a template; types, amounts, categories and askers are partly wrong."""
+    L = _ledger(spark, d)
+    no = F.col("id")
+    batch = L["accounts"].select(
+        no.alias("request_id"), F.when(no % 13 == 0, F.col("user_id") + 1).otherwise(F.col("user_id")).alias("user_id"),
+        F.when(no % 17 != 0, no).alias("account_id"), F.when(no % 19 != 0, F.lit(25)).cast(S.MONEY).alias("amount"),
+        F.when(no % 23 == 0, S.INCOME).otherwise(S.OUTCOME).alias("type"),
+        F.when(no % 5 == 0, F.col("user_id") + 1000).when(no % 5 != 1, F.lit(11)).cast("long").alias("category_id"),
+        F.lit("plan").alias("description"),
+        F.when(no % 29 == 0, "hourly").otherwise("monthly").alias("frequency"),
+        F.when(no % 31 != 0, F.lit(dt.date(1998, 1, 31))).alias("start_date"), F.lit(None).cast("date").alias("end_date"))
+    return L, *creation.create_recurring(L["recurring"], L["accounts"], L["categories"], batch)
+
+
+@query
+def q_create_recurring(spark, d):
+    L, new, _ = _create_recurring(spark, d)
+    return L["recurring"].unionByName(new)
+
+
+@query
+def q_create_recurring_report(spark, d):
+    return _create_recurring(spark, d)[2]
+
+
 def _delete_transactions(spark, d):
     """Requests for every row without a category, those on expenses by a wrong user."""
     L = _ledger(spark, d)
@@ -687,6 +811,60 @@ def q_upsert_budgets_limits(spark, d):
     return _upsert_budgets(spark, d)[1]
 
 
+def _upsert_limits(spark, d):
+    """Edits of every limit: own and foreign, on income and unknown categories, moved onto another limit, deleted, twice."""
+    L = _ledger(spark, d)
+    owners = L["budgets"].select(F.col("id").alias("budget_id"), "user_id")
+    no = F.col("id")
+    edits = L["limits"].join(owners, "budget_id").select(
+        "id",
+        F.when(no % 7 == 0, F.col("budget_id") + 5_000_000).when(no % 11 == 0, F.col("budget_id") + 1).otherwise(F.col("budget_id")).alias("budget_id"),
+        F.when(no % 5 == 0, F.lit(1)).when(no % 3 == 0, F.lit(12)).otherwise(F.col("category_id")).cast("long").alias("category_id"),
+        F.when(no % 13 != 0, F.col("limit_amount") + 1).cast(S.MONEY).alias("limit_amount"),
+        ((F.col("category_id") == 12) & (F.col("budget_id") % 2 == 0)).alias("is_deleted"),
+        F.when(no % 17 == 0, F.col("user_id") + 1).otherwise(F.col("user_id")).alias("user_id"))
+    twice = edits.filter("id % 19 = 0")
+    return mutations.upsert_limits(L["limits"], L["budgets"], L["categories"], edits.unionByName(twice))
+
+
+@query
+def q_upsert_limits(spark, d):
+    return _upsert_limits(spark, d)[0]
+
+
+@query
+def q_upsert_limits_report(spark, d):
+    return _upsert_limits(spark, d)[1]
+
+
+def _nightly_store(spark, d):
+    """A store on which the job runs for four days and then for a range that overlaps them."""
+    L, root = _ledger(spark, d), shared_dir(spark, "store")
+    tables = {n: L[n] for n in ("transactions", "categories", "recurring")}
+    versions.commit(spark, root, replace=tables | {"accounts": _stored(L)})
+    nightly.commit_nightly(spark, root, dt.date(1998, 5, 24), dt.date(1998, 5, 28))
+    return root, nightly.commit_nightly(spark, root, dt.date(1998, 5, 26), AS_OF)
+
+
+@query
+def q_materialize_recurring_table(spark, d):
+    """The stored rows after two overlapping runs."""
+    root, _ = _nightly_store(spark, d)
+    return versions.read(spark, root)["transactions"].drop("month")
+
+
+@query
+def q_materialize_recurring_days(spark, d):
+    """Created counts of the second run's days."""
+    return _nightly_store(spark, d)[1]
+
+
+@query
+def q_materialize_recurring_accounts(spark, d):
+    root, _ = _nightly_store(spark, d)
+    return versions.read(spark, root)["accounts"].select("id", "balance")
+
+
 @query
 def q_materialize_recurring(spark, d):
     L = _ledger(spark, d)

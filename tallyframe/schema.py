@@ -218,3 +218,9 @@ USER = T.StructType([
     T.StructField("email", T.StringType()),
     T.StructField("currency_id", T.LongType()),
 ])
+# What the recurring job made: the rows with their template, and the days it has done.
+RECURRING_LOG = T.StructType([T.StructField("recurring_id", T.LongType()), *TRANSACTION.fields])
+RECURRING_DAY = T.StructType([
+    T.StructField("day", T.DateType()),
+    T.StructField("created_count", T.LongType()),
+])

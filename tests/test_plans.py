@@ -6,13 +6,13 @@ import re
 import pytest
 from ledger_rows import day, rows
 
-import __spark_entry__ as entry
 from tallyframe.operators import filters, sorting
 from tallyframe.plans.keys import category_lookup, position_in_group
+from tallyframe.queries import QUERIES
 from tallyframe.sources import ledger
 
 ROOT = "/root/testdata/sf0.001"
-RUNNING = {"stream_ingest_balances", "stream_daily_stats", "stream_account_history", "append_transactions"}
+RUNNING = {"stream_ingest_balances", "stream_daily_stats", "stream_account_history", "append_transactions", "append_transactions_once", "versioned_changes"}
 pytestmark = pytest.mark.skipif(not os.path.isdir(ROOT), reason="needs the test tables")
 
 
@@ -31,9 +31,9 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - RUNNING))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - RUNNING))
 def test_no_cross_join_no_python_no_forced_broadcast(spark, shuffled, name):
-    text = plan(entry.queries()[name](spark, ROOT))
+    text = plan(QUERIES[name](spark, ROOT))
     for node in ("CartesianProduct", "BroadcastNestedLoopJoin", "BroadcastHashJoin", "Python", "ArrowEval", "MapInPandas"):
         assert node not in text, node
 
@@ -85,7 +85,7 @@ def test_early_pages_are_cut_before_the_shuffle(spark):
 
 def test_facts_are_summed_before_they_are_joined(spark, shuffled):
     for name in ("monthly_income_expense", "account_balance_report", "recompute_balances", "running_balance"):
-        text = plan(entry.queries()[name](spark, ROOT))
+        text = plan(QUERIES[name](spark, ROOT))
         scan = text.index("orders.parquet")
         above = text[:scan]
         # Reading upwards from the fact scan, an aggregate comes before any join.
