@@ -33,10 +33,19 @@ def null_slot(key: str | Column, spread: str | Column) -> Column:
     return F.when(key.isNotNull(), F.lit(0)).otherwise(1 + F.pmod(F.xxhash64(spread), F.lit(SCATTER)).cast("int"))
 
 
+def slot_zero(key: str) -> Column:
+    """The other side's slot, 0 for every row.
+
+    Computed from the key: the optimizer would fold a literal into a condition
+    beside the join, and the slots would no longer spread the NULL keys.
+    """
+    return F.pmod(F.xxhash64(key), F.lit(1)).cast("int")
+
+
 def left_lookup(fact: DataFrame, dim: DataFrame, key: str, spread: str, dim_key: str = "id") -> DataFrame:
     """Left join on a nullable foreign key; ``dim_key`` is unique and dropped."""
     k, slot = "_lookup_key", "_lookup_slot"
-    renamed = dim.withColumnRenamed(dim_key, k).withColumn(slot, F.lit(0))
+    renamed = dim.withColumnRenamed(dim_key, k).withColumn(slot, slot_zero(k))
     return (
         fact.withColumns({k: F.col(key).cast("long"), slot: null_slot(key, spread)})
         .join(renamed, [k, slot], "left")
@@ -47,7 +56,7 @@ def left_lookup(fact: DataFrame, dim: DataFrame, key: str, spread: str, dim_key:
 def anti_on_key(fact: DataFrame, keys: DataFrame, key: str, spread: str) -> DataFrame:
     """Rows whose nullable ``key`` is not among the one-column frame ``keys``."""
     k, slot = "_anti_key", "_anti_slot"
-    wanted = keys.toDF(k).withColumn(slot, F.lit(0))
+    wanted = keys.toDF(k).withColumn(slot, slot_zero(k))
     return fact.withColumns({k: F.col(key).cast("long"), slot: null_slot(key, spread)}).join(
         wanted, [k, slot], "left_anti").drop(k, slot)
 
@@ -83,7 +92,7 @@ def category_lookup(
     out = [prefix + ("owner_id" if f == "user_id" else f) for f in fields]
 
     def side(rows: DataFrame, tag: str) -> DataFrame:
-        return rows.select(F.col("id").alias(tag), F.lit(0).alias(tag + "_null"), F.struct(*fields).alias(tag + "_row"))
+        return rows.select(F.col("id").alias(tag), slot_zero("id").alias(tag + "_null"), F.struct(*fields).alias(tag + "_row"))
 
     first = salted_join(
         fact.withColumns({"_sys": F.col(key).cast("long"), "_sys_null": null_slot(key, spread)}),

@@ -158,3 +158,23 @@ def test_positions_are_dense_over_blocks(spark):
     out = position_in_group(df, ["g"], "id", "pos")
     bad = out.selectExpr("*", "row_number() OVER (PARTITION BY g ORDER BY id) - 1 AS want").filter("pos <> want")
     assert bad.count() == 0 and out.count() == df.count()
+
+
+def test_rows_without_a_key_spread_over_tasks(spark, shuffled):
+    """NULL keys of a lookup and of an anti join do not meet in one task."""
+    from pyspark.sql import functions as F
+
+    from tallyframe.plans.keys import anti_on_key, left_lookup
+    facts = spark.range(20_000).withColumn("k", F.when(F.col("id") % 50 == 0, F.col("id")))
+    dim = spark.range(3_000).withColumn("name", F.lit("x"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        found = left_lookup(facts, dim, "k", "id")
+        for out in (found, anti_on_key(facts, dim.select("id"), "k", "id")):
+            sizes = [r[1] for r in rows(out.groupBy(F.spark_partition_id()).count())]
+            assert len(sizes) > 8 and max(sizes) < sum(sizes) / 4
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert found.filter("name IS NOT NULL").count() == 60
