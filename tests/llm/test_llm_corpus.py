@@ -5,8 +5,10 @@ import hashlib
 import itertools
 import os
 import random
+import time
 
 import duckdb
+import numpy as np
 import pytest
 from brute import contamination, line_dedup, mixed, similar, words
 from pyspark.sql import functions as F
@@ -41,6 +43,33 @@ def test_lines_equal_the_definition(make_docs, seed):
     assert (900, 0, None) in gone and (901, 1, "") in gone and (902, 3, "\n\n") in gone
 
 
+@pytest.mark.parametrize("many", [0, 10**9])
+def test_repeated_lines_inside_texts(make_docs, monkeypatch, many):
+    monkeypatch.setattr(L, "MANY", many)
+    rng = random.Random(9)
+    rows = [(k, "\n".join(" ".join(rng.choice("ab") for _ in range(rng.choice([1, 2, 9]))) for _ in range(rng.randint(5, 60)))) for k in range(12)]
+    rows += [(50, "x y\n" * 70), (51, "p\nq r\n" * 40), (52, "x y\n" * 30 + "z\n" + "x y\n" * 30)]
+    want = sorted(((i, u) for (i, _), u in zip(rows, line_dedup(rows), strict=True)), key=str)
+    assert sorted(((r["doc_id"], r["text"]) for r in L.dedup_lines(make_docs(rows)).collect()), key=str) == want
+
+
+def test_ends_of_many_matches():
+    rng = random.Random(4)
+    for _ in range(40):
+        keys, source = ([bytes([rng.randint(0, 1)]) for _ in range(rng.randint(1, 50))] for _ in range(2))
+        spots = [(a, b) for a in range(len(keys)) for b in range(len(source)) if keys[a] == source[b]]
+        if spots:
+            lo, hi = L._many_extended(keys, source, *map(np.array, zip(*spots, strict=True)))
+            assert list(zip(lo.tolist(), hi.tolist(), strict=True)) == [L.extended(keys, source, a, b) for a, b in spots]
+
+
+def test_repeats_cost_no_more_than_their_lines():
+    n = 100_000
+    started = time.process_time()
+    gone = L.matched([b"x"] * n, [b"x"] * n, [1] * n, list(range(1, n)), [0] * (n - 1), 20)
+    assert time.process_time() - started < 5 and not gone[0] and gone[1:].all()
+
+
 def test_no_lines(make_docs):
     assert L.dedup_lines(make_docs([])).count() == 0
 
