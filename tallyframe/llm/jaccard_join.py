@@ -44,7 +44,9 @@ LEADERS, ROUNDS = 4, 3
 #: A shingle is common if more documents hold it than this and than 2^-20 of all shingles; so at most 2^20 are common.
 COMMON, COMMON_SHARE = 64, 1 << 20
 #: Shingles a task gathers before it hands on counts or regions.
-GATHERED = 2 << 20
+GATHERED = 1 << 20
+#: Places of a task's table of sets it has entered.
+SEEN = 1 << 18
 #: Shingle hashes in one task's share of the regions.
 SHARE = 1 << 20
 #: Nodes of a region handled together; larger regions are cut and their parts paired.
@@ -143,7 +145,7 @@ def _regions(words: int, percent: int, common: np.ndarray, blocks: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         size = 0
-        seen: set[int] = set()
+        seen = np.zeros(SEEN, np.int64)
 
         def dealt() -> Iterator[pa.RecordBatch]:
             keys, codes, hot = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -175,14 +177,12 @@ def _regions(words: int, percent: int, common: np.ndarray, blocks: int):
                 rare = (cold[first[1:]] - cold[first[:-1]])[text]
                 rank_cold = cold[:-1] - cold[first[:-1]][text]
                 place = np.where(hot, rare + np.arange(len(sets)) - first[:-1][text] - rank_cold, rank_cold)
-                fresh = np.ones(b - a, bool)  # a set already entered by this task is not entered again
-                for d, code in enumerate(lo.tolist()):
-                    if code in seen:
-                        fresh[d] = False
-                    else:
-                        seen.add(code)
-                if len(seen) > GATHERED:
-                    seen.clear()
+                # A set this task has entered, as far as the table remembers, is not entered again.
+                fresh = np.zeros(b - a, bool)
+                fresh[np.unique(lo, return_index=True)[1]] = True
+                slot = lo & (SEEN - 1)
+                fresh &= seen[slot] != lo
+                seen[slot] = lo
                 pick = (place < take[text]) & fresh[text]
                 held.append((K.mix(sets[pick]), lo[text[pick]], hot[pick]))
                 size += int(pick.sum())
@@ -374,6 +374,20 @@ def _finer_bound(percent: int):
     return run
 
 
+def spread_labels(edges: DataFrame, steps: int = 3) -> DataFrame:
+    """(node, root): the smallest node within ``steps`` edges (a, b).
+
+    Nodes of one root are connected, but not all connected nodes share one;
+    that is enough to leave out pairs, and takes no search for a fixed point.
+    """
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    labels = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root"))
+    for _ in range(steps - 1):
+        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("root").alias("m"))
+        labels = near.select(F.col("a").alias("node"), F.least("a", "m").alias("root"))
+    return labels
+
+
 def similar_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(documents, links): (doc_id, n_shingles, component_id) of every row, and verified links of document ids.
 
@@ -411,7 +425,7 @@ def similar_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         pairs = own.join(leaders, ["k", "m"]).filter("comp <> other").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
         found = _verified(stored(pairs.distinct(), "jaccard-pairs"), texts, words, percent)
         near = found if near is None else near.unionByName(found)
-        comps = connected_components(near).select("node", "root")
+        comps = stored(spread_labels(near), "jaccard-comps")
     placed = stored(
         nodes.select("node", "lo", "n").join(comps, "node", "left").select("node", "lo", "n", F.coalesce("root", "node").alias("comp")), "jaccard-placed")
 

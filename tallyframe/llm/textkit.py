@@ -9,6 +9,7 @@ character patterns on UTF-8 text.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -75,6 +76,17 @@ def text_chunks(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int
         b = max(a + 1, int(np.searchsorted(off, off[a] + limit, "right")) - 1)
         yield a, b, raw[off[a] : off[b]], off[a : b + 1] - off[a]
         a = b
+    release()
+
+
+_libc = ctypes.CDLL(None)
+
+
+def release() -> None:
+    """Freed memory back to the system: Python workers serve many tasks and would keep what the largest one took."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
 
 
 def word_spans(folded: np.ndarray, offsets: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -114,3 +114,14 @@ def test_word_hashes_do_not_depend_on_the_place():
 def test_components(spark, edges, want):
     df = spark.createDataFrame(edges, "a long, b long")
     assert {r["node"]: r["root"] for r in connected_components(df).collect()} == want
+
+
+def test_spread_labels_join_only_what_is_linked(spark):
+    from tallyframe.llm.jaccard_join import spread_labels
+
+    star = [(50, k) for k in range(40, 60) if k != 50]
+    chain = [(k, k + 1) for k in range(100, 120)]
+    got = {r["node"]: r["root"] for r in spread_labels(spark.createDataFrame(star + chain, "a long, b long")).collect()}
+    assert {got[k] for k in range(40, 60)} == {40}
+    assert [got[k] for k in range(100, 121)] == [max(100, k - 3) for k in range(100, 121)]
+    assert spread_labels(spark.createDataFrame([], "a long, b long")).count() == 0
