@@ -9,12 +9,12 @@ are enumerated one word longer at a time; an extension is followed only if it
 lies in an interval of its own first words as well, so both its first and its
 last words have passed before.
 
-Counts are summed across shards after every length, and only phrases that
-can reach ``least`` go on, so rare phrases are never followed further. This
-first sum is over 64-bit hashes, of which equal ones only let more pass. The
-hashes that pass return to the shards as a bitmap of bounded size, or by a
-join if they are too many for it. The intervals left are counted by 128-bit
-hashes, and one shard spells each phrase out.
+Counts are summed across shards after every length, over 128-bit hashes, and
+only phrases that reach ``least`` go on, so rare phrases are never followed
+further. The hashes that pass return to the shards as a bitmap of bounded
+size, which may let some rare phrases by, or by a join if they are too many for
+it. A shard's intervals travel as one packed row, and of the shards that hold a
+phrase one spells it out.
 
 The index is a table bucketed by shard, so that it stays where it is while the
 intervals of each length are brought to it; a task works on one shard at a time.
@@ -27,6 +27,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast, TaskContext
@@ -248,45 +249,77 @@ def _loaded(table: pa.Table) -> tuple[_Loaded, int, str]:
     return _Loaded.of(r["lang"], r["bwt"], r["vocabulary"]), r["shard"], r["lang"]
 
 
-def _extensions(length: int, passed: Broadcast | None, places: bool):
-    """(key, size) of every extension of one shard's phrases of ``length`` words, or with ``places``
-    (key, key2, shard, lo, size) of those whose key is in the map of the hashes that ``passed``."""
-    kind = pa.schema([("key", pa.int64()), ("key2", pa.int64()), ("shard", pa.int64()), ("lo", pa.int32()), ("size", pa.int32())])
+COUNTS = "key long, key2 long, size int, shard long"
+INTERVALS = "key long, key2 long, shard long, lo int, size int"
+PACKED = "shard long, length int, packed binary"
+_KINDS = {
+    COUNTS: pa.schema([("key", pa.int64()), ("key2", pa.int64()), ("size", pa.int32()), ("shard", pa.int64())]),
+    INTERVALS: pa.schema([("key", pa.int64()), ("key2", pa.int64()), ("shard", pa.int64()), ("lo", pa.int32()), ("size", pa.int32())]),
+    PACKED: pa.schema([("shard", pa.int64()), ("length", pa.int32()), ("packed", pa.binary())]),
+}
 
-    def run(index: pa.Table, intervals: pa.Table | None = None) -> pa.Table:
-        if not index.num_rows or (length and not intervals.num_rows):
-            return kind.empty_table() if places else kind.empty_table().select(["key", "size"])
+
+def _pack(shard: int, length: int, lo: np.ndarray, size: np.ndarray) -> pa.Table:
+    """A shard's intervals in one row, in rising order: all starts, then all sizes."""
+    order = np.argsort(lo, kind="stable")
+    packed = np.concatenate((lo[order], size[order])).astype(np.int32).tobytes()
+    return pa.table([[shard], [length], [packed]], schema=_KINDS[PACKED])
+
+
+def _unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    lo, size = np.frombuffer(packed, np.int32).reshape(2, -1).astype(np.int64)
+    return lo, size
+
+
+def _packer(length: int):
+    def run(table: pa.Table) -> pa.Table:
+        return _pack(table["shard"][0].as_py(), length, _column(table, "lo"), _column(table, "size"))
+
+    return run
+
+
+def _extensions(length: int, kind: str, passed: Broadcast | None = None):
+    """Every extension of one shard's phrases of ``length`` words, as COUNTS or INTERVALS,
+    or PACKED those whose key is in the map of the hashes that ``passed``."""
+
+    def run(index: pa.Table, before: pa.Table | None = None) -> pa.Table:
+        if not index.num_rows or (length and not before.num_rows):
+            return _KINDS[kind].empty_table()
         own, shard, _ = _loaded(index)
-        lo, count = (_column(intervals, "lo"), _column(intervals, "size")) if length else (np.zeros(1, np.int64),) * 2
+        lo, count = _unpack(before["packed"][0].as_py()) if length else (np.zeros(1, np.int64),) * 2
         owner, word, start, size = extended(own.index, length, lo, count)
         key = own.longer(own.keys(lo, length, 0)[owner], word, 0).view(np.int64)
-        if not places:
-            return pa.table({"key": key, "size": size.astype(np.int32)})
-        if passed is not None:
+        if kind == PACKED:
             bits = np.frombuffer(passed.value, np.uint8)
             at = np.mod(key, MAP_BITS)
             hit = np.flatnonzero(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1)
-            owner, word, start, size, key = owner[hit], word[hit], start[hit], size[hit], key[hit]
+            return _pack(shard, length + 1, start[hit], size[hit])
         key2 = own.longer(own.keys(lo, length, 1)[owner], word, 1).view(np.int64)
-        return pa.table([key, key2, np.full(len(key), shard), start.astype(np.int32), size.astype(np.int32)], schema=kind)
+        values = {"key": key, "key2": key2, "size": size.astype(np.int32), "shard": np.full(len(key), shard), "lo": start.astype(np.int32)}
+        return pa.table([values[n] for n in _KINDS[kind].names], schema=_KINDS[kind])
 
-    return (lambda index, intervals: run(index, intervals)) if length else (lambda index: run(index))
+    return (lambda index, before: run(index, before)) if length else (lambda index: run(index))
 
 
-def _phrases(index: pa.Table, wanted: pa.Table) -> pa.Table:
-    """The phrases that one shard spells out, with their counts."""
+def _phrases(index: pa.Table, rows: pa.Table) -> pa.Table:
+    """The phrases that one shard spells out, with their counts: ``rows`` are its packed intervals and the keys it is to spell."""
     kind = pa.schema([("lang", pa.string()), ("length", pa.int32()), ("phrase", pa.string()), ("a", pa.int64())])
+    wanted = rows.filter(pc.is_valid(rows["key"]))
     if not index.num_rows or not wanted.num_rows:
         return kind.empty_table()
     own, _, lang = _loaded(index)
     vocabulary = pa.array(own.vocabulary.split(b" "), pa.binary()).cast(pa.string())
-    lo, a, length = (_column(wanted, n) for n in ("lo", "a", "length"))
+    packed = rows.filter(pc.is_valid(rows["packed"]))
+    intervals = dict(zip(packed["length"].to_pylist(), packed["packed"].to_pylist(), strict=True))
+    asked = wanted.select(["length", "key", "key2", "a"]).to_pandas()
     out = []
-    for k in np.unique(length).tolist():
-        at = length == k
-        parts = [vocabulary.take(pa.array(ids - 1)) for ids in own.index.spelled(lo[at], k)]
+    for k, some in asked.groupby("length"):
+        lo, _ = _unpack(intervals[k])
+        held = pd.DataFrame({"key": own.keys(lo, k, 0).view(np.int64), "key2": own.keys(lo, k, 1).view(np.int64), "lo": lo})
+        found = some.merge(held, on=["key", "key2"])
+        parts = [vocabulary.take(pa.array(ids - 1)) for ids in own.index.spelled(found["lo"].to_numpy(), k)]
         text = pc.binary_join_element_wise(*parts, " ") if k > 1 else parts[0]
-        out.append(pa.table([pa.array([lang] * len(text), pa.string()), np.full(len(text), k, np.int32), text, a[at]], schema=kind))
+        out.append(pa.table([pa.array([lang] * len(text), pa.string()), np.full(len(text), k, np.int32), text, found["a"].to_numpy()], schema=kind))
     return pa.concat_tables(out)
 
 
@@ -322,27 +355,24 @@ def frequent_phrases(index: DataFrame, longest: int = LONGEST, least: int = LEAS
     """(lang, length, phrase, a): every phrase of up to ``longest`` words with at least ``least`` occurrences."""
     rows = index.select("shard", "lang", "bwt", "vocabulary").groupBy("shard")
 
-    def extensions(length: int, before: DataFrame | None, passed: Broadcast | None, places: bool) -> DataFrame:
-        kind = "key long, key2 long, shard long, lo int, size int" if places else "key long, size int"
-        step = _extensions(length, passed, places)
+    def extensions(length: int, before: DataFrame | None, kind: str, passed: Broadcast | None = None) -> DataFrame:
+        step = _extensions(length, kind, passed)
         return rows.applyInArrow(step, kind) if before is None else rows.cogroup(before.groupBy("shard")).applyInArrow(step, kind)
 
-    counts: list[DataFrame] = []
-    found = None
+    spelling, found = None, None
     for length in range(longest):
-        summed = extensions(length, found, None, False).groupBy("key").agg(F.sum("size").alias("n"))
-        heavy = stored(summed.filter(F.col("n") >= least).select("key"), "phrase-keys")
-        passed = _map_of(heavy)
-        places = extensions(length, found, passed, True)
-        places = stored(places if passed is not None else places.join(heavy, "key", "left_semi"), "phrase-intervals")
-        one = F.min(F.struct("shard", "lo")).alias("one")
-        exact = places.groupBy("key", "key2").agg(F.sum("size").alias("a"), one).filter(F.col("a") >= least)
-        counts.append(stored(exact.select("one.shard", "one.lo", "a", F.lit(length + 1).alias("length")), "phrase-counts"))
-        found = places.select("shard", "lo", "size")
-    everything = counts[0]
-    for k in counts[1:]:
-        everything = everything.unionByName(k)
-    spelled = rows.cogroup(everything.groupBy("shard")).applyInArrow(_phrases, "lang string, length int, phrase string, a long")
+        counted = extensions(length, found, COUNTS).groupBy("key", "key2").agg(F.sum("size").alias("a"), F.min("shard").alias("shard"))
+        heavy = stored(counted.filter(F.col("a") >= least), "phrase-keys")
+        passed = _map_of(heavy.select("key"))
+        if passed is not None:
+            left = extensions(length, found, PACKED, passed)
+        else:
+            left = extensions(length, found, INTERVALS).join(heavy, ["key", "key2"], "left_semi").groupBy("shard").applyInArrow(
+                _packer(length + 1), PACKED)
+        found = stored(left, "phrase-intervals")
+        parts = found.unionByName(heavy.withColumn("length", F.lit(length + 1)), allowMissingColumns=True)
+        spelling = parts if spelling is None else spelling.unionByName(parts)
+    spelled = rows.cogroup(spelling.groupBy("shard")).applyInArrow(_phrases, "lang string, length int, phrase string, a long")
     return stored(spelled, "phrases")
 
 
