@@ -259,6 +259,11 @@ _KINDS = {
 }
 
 
+def _turn(key: np.ndarray) -> np.ndarray:
+    """Bits of the key that turn shard numbers over, so that the smallest is another shard for another key."""
+    return (key & 1023) << 32 | (key >> 10) & 63
+
+
 def _pack(shard: int, length: int, lo: np.ndarray, size: np.ndarray) -> pa.Table:
     """A shard's intervals in one row, in rising order: all starts, then all sizes."""
     order = np.argsort(lo, kind="stable")
@@ -295,7 +300,8 @@ def _extensions(length: int, kind: str, passed: Broadcast | None = None):
             hit = np.flatnonzero(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1)
             return _pack(shard, length + 1, start[hit], size[hit])
         key2 = own.longer(own.keys(lo, length, 1)[owner], word, 1).view(np.int64)
-        values = {"key": key, "key2": key2, "size": size.astype(np.int32), "shard": np.full(len(key), shard), "lo": start.astype(np.int32)}
+        told = shard ^ _turn(key) if kind == COUNTS else np.full(len(key), shard)
+        values = {"key": key, "key2": key2, "size": size.astype(np.int32), "shard": told, "lo": start.astype(np.int32)}
         return pa.table([values[n] for n in _KINDS[kind].names], schema=_KINDS[kind])
 
     return (lambda index, before: run(index, before)) if length else (lambda index: run(index))
@@ -361,7 +367,9 @@ def frequent_phrases(index: DataFrame, longest: int = LONGEST, least: int = LEAS
 
     spelling, found = None, None
     for length in range(longest):
-        counted = extensions(length, found, COUNTS).groupBy("key", "key2").agg(F.sum("size").alias("a"), F.min("shard").alias("shard"))
+        counted = extensions(length, found, COUNTS).groupBy("key", "key2").agg(F.sum("size").alias("a"), F.min("shard").alias("told"))
+        turn = F.shiftleft(F.col("key").bitwiseAND(1023), 32).bitwiseOR(F.shiftright("key", 10).bitwiseAND(63))
+        counted = counted.select("key", "key2", "a", F.col("told").bitwiseXOR(turn).alias("shard"))
         heavy = stored(counted.filter(F.col("a") >= least), "phrase-keys")
         passed = _map_of(heavy.select("key"))
         if passed is not None:
