@@ -423,6 +423,8 @@ FROM u LEFT JOIN st ON st.user_id = u.id AND st.is_active GROUP BY u.id""")
   AS {TOTAL}) AS balance"""
     q["balance_on_date"] = _sql("a t", f"""SELECT {upto}, a.user_id, a.initial_balance, {AS_OF} AS date
 FROM a LEFT JOIN t ON t.account_id = a.id AND t.date <= {AS_OF} GROUP BY a.id, a.user_id, a.initial_balance""")
+    q["sql_balance_on_date"] = f"SELECT account_id, balance FROM ({q['balance_on_date']})"
+    q["sql_limit_check"] = f"SELECT * FROM ({q['budget_limit_check']})"
     q["balance_at_requests"] = _sql("a t", f"""SELECT {upto}, q.date
 FROM (SELECT DISTINCT account_id, last_day(date) AS date FROM t WHERE account_id IS NOT NULL) q
 JOIN a ON a.id = q.account_id LEFT JOIN t ON t.account_id = a.id AND t.date <= q.date GROUP BY a.id, a.initial_balance, q.date""")
@@ -681,6 +683,9 @@ FROM b o FULL OUTER JOIN n ON n.id = o.id WHERE o.id IS NULL OR n.id IS NULL OR
 FROM a LEFT JOIN (SELECT * FROM rawchk WHERE reason IS NULL) x ON x.account_id = a.id GROUP BY a.id, a.initial_balance""")
     q["stream_daily_stats"] = _sql("ev", f"""SELECT date AS day, user_id, type, CAST(SUM(amount) AS {TOTAL}) AS total, COUNT(*) AS row_count
 FROM ev WHERE user_id IS NOT NULL GROUP BY date, user_id, type""")
+    q["stream_daily_changes"] = _sql("ev", f"""SELECT CAST(date + CASE WHEN type = 'OUTCOME' THEN 1 ELSE 0 END AS DATE) AS day, user_id, type,
+  CAST(SUM(CASE WHEN type = 'OUTCOME' THEN 2 * amount ELSE amount END) AS {TOTAL}) AS total, COUNT(*) AS row_count
+FROM ev WHERE user_id IS NOT NULL AND (type = 'OUTCOME' OR amount >= 50) GROUP BY ALL""")
     image = """'{"id":' || id || ',"name":"' || name || '","account_type":"' || account_type || '","user_id":' || user_id || '}'"""
     wallet = """'{"id":' || id || ',"name":"' || name || '","account_type":"WALLET","user_id":' || user_id || '}'"""
     q["stream_account_history"] = _sql("a", f"""SELECT id AS account_id, CAST(1 AS BIGINT) AS seq, 'INSERT' AS action, user_id AS changed_by,

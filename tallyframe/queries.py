@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyframe import schema as S
 from tallyframe.functions import scalars as X
+from tallyframe.functions import sql
 from tallyframe.operators import (
     balances,
     creation,
@@ -394,6 +395,18 @@ def q_heatmap_week_labels(spark, d):
     return stats.heatmap_week_labels(ledger.event_transactions(spark, d))
 
 
+@query
+def q_sql_balance_on_date(spark, d):
+    sql.register(spark, _ledger(spark, d))
+    return spark.sql(f"SELECT id AS account_id, ledger_balance_on_date(id, DATE '{AS_OF}') AS balance FROM ledger_accounts")
+
+
+@query
+def q_sql_limit_check(spark, d):
+    sql.register(spark, _ledger(spark, d))
+    return spark.sql("SELECT c.* FROM ledger_budgets b, LATERAL ledger_limit_check(b.id) c")
+
+
 @query
 def q_total_active_balance(spark, d):
     L = _ledger(spark, d)
@@ -1019,6 +1032,29 @@ def q_stream_daily_stats(spark, d):
     return ledger_streams.streamed_daily_stats(spark, out)
 
 
+def event_changes_of(events: DataFrame) -> DataFrame:
+    """Change stream: every event is entered, expenses are doubled and moved on a day, incomes below 50 are deleted."""
+    image = F.struct("user_id", "type", "amount", "ts")
+    later = F.struct(
+        "user_id", "type", (F.col("amount") * 2).cast(S.MONEY).alias("amount"), (F.col("ts") + F.expr("INTERVAL 1 DAY")).alias("ts"))
+
+    def change(old: Column, new: Column) -> Column:
+        return F.struct(old.alias("old"), new.alias("new"))
+
+    changes = F.array(
+        change(F.when(F.lit(False), image), image),
+        F.when(F.col("type") == S.OUTCOME, change(image, later)),
+        F.when((F.col("type") == S.INCOME) & (F.col("amount") < 50), change(image, F.when(F.lit(False), image))))
+    return ledger.event_transactions_of(events).select(F.explode(changes).alias("c")).select("c.old", "c.new")
+
+
+@query
+def q_stream_daily_changes(spark, d):
+    out = shared_dir(spark, "daily-changes")
+    ledger_streams.stream_daily_changes(event_changes_of(_table_stream(spark, d, "events")), out).awaitTermination()
+    return ledger_streams.streamed_daily_stats(spark, out)
+
+
 def account_changes_of(customer: DataFrame) -> DataFrame:
     """Change stream: every account opens, is retyped, and the inactive ones are deleted."""
     accounts = ledger.accounts_of(customer)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyframe import schema as S
 from tallyframe.operators import mutations
+from tallyframe.streaming import batches
 from tallyframe.streaming import ledger_streams as streams
 
 
@@ -80,5 +81,74 @@ def test_history_keeps_intermediate_updates_over_batches(spark, tmp_path, compac
     got = streams.streamed_history(spark, out).select("account_id", "seq", "action", "changed_by", "old_data", "new_data")
     assert sorted(rows(got), key=str) == sorted(log, key=str)
     assert by(got, "seq")[log[0][1]]["action"] == log[0][2]
-    assert (tmp_path / "out" / "base").exists() == (compact_every == 2)
+    assert (tmp_path / "out" / "last_base").exists() == (compact_every == 2)
     assert got.filter(F.col("old_data").isNull() & (F.col("action") != "INSERT")).count() == 0
+
+
+def test_history_of_a_busy_account_is_dealt_evenly(spark, tmp_path):
+    """One account has a third of a batch and numbers are sparse; no range holds more than its share."""
+    n = 6000
+    seqs = random.Random(3).sample(range(10**15), n)
+    changes = [(s, 7 if k % 3 == 0 else 100 + k % 500, 1, None if k % 11 == 0 else f"v{s}") for k, s in enumerate(seqs)]
+    df = spark.createDataFrame(changes, "seq long, account_id long, user_id long, image string").repartition(8)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so few rows would become one range
+    try:
+        dealt = streams.dealt_changes(df, str(tmp_path / "dealt"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = [r["count"] for r in dealt.groupBy("_part").count().collect()]
+    assert sum(sizes) == n and max(sizes) <= 2 * n / len(sizes)
+    assert dealt.filter("account_id = 7").select("_part").distinct().count() > 1
+    known = spark.createDataFrame([(7, "before"), (100, None)], "account_id long, image string")
+    images, want = {7: "before"}, {}
+    for s, a, _, image in sorted(changes):
+        want[s] = images.get(a)
+        images[a] = image
+    got = {r.seq: r.old_data for r in streams.with_old_images(dealt, known).collect()}
+    assert got == want
+
+
+@pytest.mark.parametrize("merge_every", [1, 2, 20])
+def test_edits_and_deletes_take_daily_sums_back(spark, tmp_path, merge_every):
+    rng = random.Random(merge_every)
+    image = "struct<user_id:long,type:string,amount:decimal(16,2),ts:timestamp>"
+    kept, given = {}, []
+    for _ in range(7):
+        batch = []
+        for _ in range(12):
+            key = rng.randrange(20)
+            old = kept.pop(key, None)
+            new = None
+            if old is None or rng.random() < 0.6:
+                new = (rng.choice([1, 2, None]), rng.choice(["INCOME", "OUTCOME"]), money(rng.randrange(1, 9)),
+                       dt.datetime(2024, 1, rng.randrange(1, 4), 12))
+                kept[key] = new
+            batch.append((old, new))
+        rng.shuffle(batch)
+        given.append([*batch, (None, None)])
+    src, out = str(tmp_path / "src"), str(tmp_path / "out")
+    for n, batch in enumerate(given):
+        df = spark.createDataFrame(batch, f"old {image}, new {image}")
+        df.coalesce(1).write.mode("append").parquet(src)
+        if n in (2, 6):  # two runs over several batches each
+            source = streams.file_stream(spark, src, df.schema, files_per_batch=1)
+            streams.stream_daily_changes(source, out, merge_every).awaitTermination()
+    want = {}
+    for user, kind, amount, ts in kept.values():
+        if user is not None:
+            total, count = want.get((ts.date(), user, kind), (0, 0))
+            want[ts.date(), user, kind] = (total + amount, count + 1)
+    got = {(r.day, r.user_id, r.type): (r.total, r.row_count) for r in streams.streamed_daily_stats(spark, out).collect()}
+    assert got == want
+
+
+def test_a_copy_whose_batch_is_missing_is_not_read(spark, tmp_path):
+    out, schema = str(tmp_path), "k long, v long"
+    for n in range(4):
+        spark.createDataFrame([(1, n + 1)], schema).write.parquet(batches.batch_path(out, "t", n))
+        batches.merge(spark, out, "t", schema, n, 2, lambda rows: rows.groupBy("k").agg(F.sum("v").alias("v")))
+    assert batches.newest_copy(spark, out, "t", schema) == 2
+    assert sorted(r.v for r in batches.parts(spark, out, "t", schema).collect()) == [3, 3, 4]
+    spark.createDataFrame([(1, 999)], schema).write.parquet(batches.batch_path(out, "t_base", 4))
+    assert batches.newest_copy(spark, out, "t", schema) == 2
+    assert sum(r.v for r in batches.parts(spark, out, "t", schema, 3).collect()) == 6
