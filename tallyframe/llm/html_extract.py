@@ -1,12 +1,18 @@
 """Main text of web pages by minimum-cut labelling of their blocks.
 
 A page becomes a list of text blocks with their place in the element tree. A
-linear classifier gives each block a cost for either label, which become the
-capacities of its two terminal arcs. Blocks that follow each other and blocks
-that share a parent are joined by smoothness arcs, the stronger the closer
-they are in the tree. The minimum cut between the terminals is the cheapest
-labelling; it is found by maximum flow, after blocks whose own cost outweighs
-all their smoothness arcs have been labelled (no cut could do otherwise).
+linear classifier over the block's text (length, sentence ends, share of linked
+text), its tag and the kinds of elements around it gives each block a cost for
+either label, which become the capacities of its two terminal arcs. Names of
+classes and ids count in full only if the whole name says boilerplate; a name
+that merely contains such a word is a weak sign. Blocks that follow each other
+and blocks that share a parent are joined by smoothness arcs, the stronger the
+closer they are in the tree, and weaker where one of the two is marked as
+boilerplate and the other is not. The minimum cut between the terminals is the
+cheapest labelling; it is found by maximum flow, after blocks whose own cost
+outweighs all their smoothness arcs have been labelled (no cut could do
+otherwise). So short or oddly named blocks of an article follow the blocks
+around them, as do stray sentences of a menu.
 Pages are independent, so each task works through its own rows.
 """
 
@@ -14,7 +20,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,56 +28,99 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Content never shown as text: skipped up to the end tag.
-SILENT = frozenset("script style template textarea select noscript title svg iframe object audio video canvas math".split())
+SILENT = frozenset("script style template textarea select title svg iframe object audio video canvas math".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that end the text block before them.
 BLOCKS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
-    "h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
+    "h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav noscript ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 AWAY = frozenset("nav footer aside form menu button dialog fieldset label legend head".split())
 HOME = frozenset("article main".split())
-AWAY_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|sponsor(?:ed)?|promo|banner|nav|navbar|navigation|menu|breadcrumbs?|footer|header|masthead|"
-    r"side-?bar|widget|cookies?|consent|notice|popup|modal|overlay|share|social|related|recommend(?:ed|ations)?|comments?|replies|disqus|"
-    r"newsletter|subscribe|signup|login|search|pagination|pager|tags|meta|byline|copyright|toolbar|skip)(?:$|[\s_-])", re.I)
+#: Words of class and id names that speak for boilerplate.
+AWAY_WORDS = frozenset(
+    "ad ads advert adverts advertisement sponsor sponsored promo banner nav navbar navigation menu breadcrumb breadcrumbs footer header "
+    "masthead side sidebar widget cookie cookies consent notice popup modal overlay share sharing social related recommend recommended "
+    "recommendations comment comments reply replies disqus newsletter subscribe signup login search pagination pager tags meta byline "
+    "copyright toolbar skip".split())
+#: Words beside them that say nothing on their own.
+PLAIN_WORDS = frozenset(
+    "site page main top bottom left right post posts article articles entry content section container wrapper wrap box block area group row "
+    "col column inner outer list item items link links text form button buttons icon icons slot unit bar thread js the".split())
 HOME_NAMES = re.compile(r"(?:^|[\s_-])(?:article|content|entry|post|story|main|body|text)(?:$|[\s_-])", re.I)
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+_SENTENCE_END = re.compile(r"[.!?\u2026\u3002\uff01\uff1f][\"'\u00bb\u201d\u2019)\]]*(?=\s|$)")
 _TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|</?([a-zA-Z][^\s>/]*)((?>(?:[^>\"']|\"[^\"]*\"|'[^']*')*))>|</?([a-zA-Z][^\s>/]*)([^>]*)>|<[!?/][^>]*>", re.S)
 _NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?:\s|=|/|$)|style\s*=\s*[\"'][^\"']*display\s*:\s*none|aria-hidden\s*=\s*[\"']?true)", re.I)
 
 #: Weights of the classifier; positive speaks for content. One unit is 100.
-BIAS, IN_HOME, IN_HOME_NAME, IN_AWAY, IN_HIDDEN = -100, 350, 200, -700, -5000
-PARAGRAPH, HEADING, LIST_ITEM, LINKS, PER_CHAR, MOST_CHARS = 120, 100, -80, -500, 1, 300
-ADJACENT, SIBLING = 120, 80
+BIAS, IN_HOME, IN_HOME_NAME, IN_AWAY, AWAY_HINT, IN_HIDDEN = -100, 250, 200, -1000, -90, -5000
+PARAGRAPH, HEADING, LIST_ITEM, LINKS, PER_CHAR, MOST_CHARS, PER_SENTENCE, MOST_SENTENCES = 100, 100, -80, -500, 1, 250, 25, 4
+#: Smoothness of neighbours and of blocks that share a parent; divided by CONTRAST where only one is marked as boilerplate.
+ADJACENT, SIBLING, CONTRAST = 240, 200, 4
+
+
+def name_signs(names: str) -> tuple[bool, bool]:
+    """Whether one of the class or id names says boilerplate as a whole, and whether one holds such a word.
+
+    ``cookie-notice``, ``post-comments`` and ``siteFooter`` say so as a whole:
+    their words are boilerplate words or plain ones. ``share-price`` and
+    ``social-history`` only hold one.
+    """
+    whole = part = False
+    for name in names.split():
+        words = [w.lower() for w in _WORD.findall(name)]
+        away = sum(w in AWAY_WORDS for w in words)
+        if away:
+            part = True
+            whole = whole or away + sum(w in PLAIN_WORDS for w in words) == len(words)
+    return whole, part
 
 
 class Block:
-    __slots__ = ("text", "links", "tag", "path", "away", "home", "named", "hidden")
+    """A text block: its element and that element's parent by number, steps in the tree from the block before."""
+
+    __slots__ = ("text", "links", "tag", "parent", "steps", "away", "hint", "home", "named", "hidden")
 
-    def __init__(self, text, links, tag, path, away, home, named, hidden):
-        self.text, self.links, self.tag, self.path = text, links, tag, path
-        self.away, self.home, self.named, self.hidden = away, home, named, hidden
+    def __init__(self, text, links, tag, parent, steps, away=False, hint=False, home=False, named=False, hidden=False):
+        self.text, self.links, self.tag, self.parent, self.steps = text, links, tag, parent, steps
+        self.away, self.hint, self.home, self.named, self.hidden = away, hint, home, named, hidden
 
 
 def blocks_of(page: str) -> list[Block]:
-    """The text blocks of a page in order; broken markup is taken as far as it goes."""
+    """The text blocks of a page in order; broken markup is taken as far as it goes.
+
+    Time is linear in the page: nesting costs nothing but the open elements
+    kept, and end tags without a start tag are passed over.
+    """
     out: list[Block] = []
-    # open elements: name, number, away, home, named, hidden
-    stack = [("", 0, False, False, False, False)]
+    # open elements: name, number, then the marks of Block they hand down
+    stack = [("", 0, False, False, False, False, False)]
+    opened: Counter[str] = Counter()
     parts: list[str] = []
     number = links = in_link = 0
+    last = low = 1  # depth of the block before and the least depth since then
 
     def flush() -> None:
-        nonlocal links
+        nonlocal links, last, low
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                name, _, away, home, named, hidden = stack[-1]
-                out.append(Block(text, links, name, tuple(e[1] for e in stack), away, home, named, hidden))
+                depth = len(stack)
+                name, _, *marks = stack[-1]
+                out.append(Block(text, links, name, stack[-2][1] if depth > 1 else -1, last + depth - 2 * min(low, depth), *marks))
+                last = low = depth
             parts.clear()
         links = 0
 
+    def close(k: int) -> None:
+        nonlocal low
+        for e in stack[k:]:
+            opened[e[0]] -= 1
+        del stack[k:]
+        low = min(low, k)
+
     at, end = 0, len(page)
     while at < end:
         m = _TOKEN.search(page, at)
@@ -101,27 +150,26 @@ def blocks_of(page: str) -> list[Block]:
         elif name in BLOCKS:
             flush()
             if closing:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == name:
-                        del stack[k:]
-                        break
+                if opened[name]:
+                    close(next(k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == name))
                 continue
             if name in VOID:
                 continue
             if stack[-1][0] == "p" or (name in ("li", "dd", "dt", "tr", "td", "th", "option") and stack[-1][0] == name):
-                stack.pop()  # these end without an end tag
-            _, _, away, home, named, hidden = stack[-1]
+                close(len(stack) - 1)  # these end without an end tag
+            _, _, away, hint, home, named, hidden = stack[-1]
             attributes = m[2] if m[1] else m[4]
             names = " ".join(x for y in _NAMES.findall(attributes) for x in y if x) if attributes else ""
             hidden = hidden or bool(attributes and _HIDDEN.search(attributes))
-            if name in HOME:
-                home = True
+            home = home or name in HOME
             away = away or name in AWAY or (name == "header" and not home)
             if names and name not in ("html", "body"):
-                away = away or bool(AWAY_NAMES.search(names))
+                whole, part = name_signs(names)
+                away, hint = away or whole, hint or part
                 named = named or bool(HOME_NAMES.search(names))
             number += 1
-            stack.append((name, number, away, home, named, hidden))
+            stack.append((name, number, away, hint and not away, home, named, hidden))
+            opened[name] += 1
     flush()
     return out
 
@@ -130,7 +178,8 @@ def content_cost(b: Block) -> int:
     """What labelling the block boilerplate costs more than labelling it content."""
     size = len(b.text)
     score = BIAS + min(MOST_CHARS, size * PER_CHAR)
-    score += IN_HOME * b.home + IN_HOME_NAME * b.named + IN_AWAY * b.away + IN_HIDDEN * b.hidden
+    score += PER_SENTENCE * min(MOST_SENTENCES, len(_SENTENCE_END.findall(b.text)))
+    score += IN_HOME * b.home + IN_HOME_NAME * b.named + IN_AWAY * b.away + AWAY_HINT * b.hint + IN_HIDDEN * b.hidden
     if b.tag in ("p", "blockquote", "pre"):
         score += PARAGRAPH
     elif b.tag[:1] == "h" and b.tag[1:].isdigit():
@@ -140,27 +189,20 @@ def content_cost(b: Block) -> int:
     return score + LINKS * min(size, b.links) // max(1, size)
 
 
-def closeness(a: tuple[int, ...], b: tuple[int, ...]) -> int:
-    """Steps between two elements of the tree."""
-    shared = 0
-    for x, y in zip(a, b):
-        if x != y:
-            break
-        shared += 1
-    return len(a) + len(b) - 2 * shared
-
-
 def smoothness(blocks: list[Block]) -> dict[tuple[int, int], int]:
     arcs: dict[tuple[int, int], int] = {}
-    last: dict[tuple[int, ...], int] = {}
+    last: dict[int, int] = {}
     for k, b in enumerate(blocks):
         if k:
-            arcs[k - 1, k] = ADJACENT // (1 + closeness(blocks[k - 1].path, b.path))
-        parent = b.path[:-1]
-        if parent in last:
-            pair = (last[parent], k)
+            arcs[k - 1, k] = ADJACENT // (1 + b.steps)
+        if b.parent in last:
+            pair = (last[b.parent], k)
             arcs[pair] = arcs.get(pair, 0) + SIBLING
-        last[parent] = k
+        last[b.parent] = k
+    for pair in arcs:
+        x, y = blocks[pair[0]], blocks[pair[1]]
+        if (x.away or x.hidden) != (y.away or y.hidden):
+            arcs[pair] //= CONTRAST
     return arcs
 
 

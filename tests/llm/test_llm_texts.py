@@ -95,6 +95,13 @@ PAGES = {
     "<article><h1>T</h1><aside><p>Buy now the very best things that money can buy, today only!</p></aside><p>Body<br>text &lt;b&gt;.</p>"
     "<form><label>Name</label><input><button>Go</button></form><script>if (a<b) '<p>no</p>'</script><!-- <p>no</p> --></article>": "T\n\nBody text <b>.",
     "<div class='cookie-notice'>We use cookies to make this site better for everyone who comes here.</div><main><p>Only this &nbsp; stays.</p></main>": "Only this stays.",
+    "<article><h1>Shares</h1><p>Long text about the market, which rose today by a lot.</p><p class='share-price'>12.4</p><p>More on it.</p></article>":
+        "Shares\n\nLong text about the market, which rose today by a lot.\n\n12.4\n\nMore on it.",
+    "<nav><a href=a>Home</a></nav><div class='social-history'><h1>History</h1><p>" + "Long text about the past of all the people. " * 6 +
+    "</p><p>Short one.</p></div><footer>us</footer>": "History\n\n" + ("Long text about the past of all the people. " * 6).strip() + "\n\nShort one.",
+    "<article><p>" + "Body text. " * 20 + "</p><div class='ad'>Buy now the best things that money can buy.</div><p>Go on.</p><div class='newsletter-signup'><p>Sign up, it is free. "
+    "Really.</p></div><p>End.</p><noscript>A still image</noscript></article><div class='postComments'><p>" + "I think not. " * 40 + "</p></div>":
+        ("Body text. " * 20).strip() + "\n\nGo on.\n\nEnd.\n\nA still image",
     "": "", "<nav><ul><li><a href=a>One</a><li><a href=b>Two</a></ul></nav>": "", "<p": "", "<!-- open": "",
 }
 
@@ -122,6 +129,35 @@ def test_minimum_cut_is_cheapest():
         assert price(html_extract.minimum_cut(costs, arcs)) == min(map(price, itertools.product([False, True], repeat=n)))
 
 
+def test_cut_corrects_the_bare_costs():
+    """A weakly named heading and short paragraphs follow the long ones beside them; a stray sentence of a menu follows the menu."""
+    text = "Long text about the past of all the people. " * 6
+    for page, turned in (
+        (f"<div class='social-history'><h2>Past</h2><p>{text}</p><p>Yes</p><p>{text}</p></div>", {"Past": True, "Yes": True}),
+        ("<ul>" + "<li><a href=x>Go there</a></li>" * 3 + "<li>" + "And this list item is plain, with no link but many words. " * 3 + "</li>" + "<li><a href=x>Go there</a></li>" * 3 + "</ul>",
+         {("And this list item is plain, with no link but many words. " * 3).strip(): False}),
+    ):
+        blocks = html_extract.blocks_of(page)
+        costs = [html_extract.content_cost(b) for b in blocks]
+        keep = html_extract.minimum_cut(costs, html_extract.smoothness(blocks))
+        assert {b.text: k for b, c, k in zip(blocks, costs, keep, strict=True) if (c > 0) != k} == turned
+
+
+def test_flow_runs_on_given_pages(spark, monkeypatch):
+    runs = []
+    flow = html_extract._source_side
+    monkeypatch.setattr(html_extract, "_source_side", lambda *a: runs.append(1) or flow(*a))
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("html").collect()]
+    assert all(isinstance(html_extract.main_text(p), str) for p in pages) and runs
+
+
+def test_deep_pages_take_linear_time():
+    deep = "<div>x" * 20000 + "</p></span>y" * 20000
+    blocks = html_extract.blocks_of(deep)
+    assert len(blocks) == 40000 and blocks[1].steps == 1 and {b.steps for b in blocks[2:20000]} == {1}
+    assert html_extract.name_signs("share-price") == (False, True) and html_extract.name_signs("siteFooter x") == (True, True)
+
+
 # --- languages ----------------------------------------------------------
 
 def test_languages(spark):
