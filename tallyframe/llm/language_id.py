@@ -208,12 +208,12 @@ def with_languages(docs: DataFrame, network: ByteNetwork | None) -> DataFrame:
                         part = data[off[d] : off[d + 1]]
                         letters[d] = bool((part >= 128).any()) and has_letter(part.tobytes().decode("utf-8"))
                     start, end, first = window_places(off)
-                    each = np.empty((len(start), len(network.languages)))
-                    for w in range(0, len(start), AT_ONCE):  # a very long text's windows are not all held at once
+                    text, windows = np.repeat(np.arange(b - a), np.diff(first)), np.diff(first)
+                    sums = np.zeros((b - a, len(network.languages)))
+                    for w in range(0, len(start), AT_ONCE):  # a very long text's windows are added up as they come
                         part = slice(w, w + AT_ONCE)
-                        each[part] = network.probabilities(windows_of(data, start[part], end[part]), tables)
-                    sums = np.add.reduceat(each, first[:-1][full], axis=0)
-                    mean = sums / np.diff(first)[full][:, None]
+                        np.add.at(sums, text[part], network.probabilities(windows_of(data, start[part], end[part]), tables))
+                    mean = sums[full] / windows[full][:, None]
                     best = mean.argmax(axis=1)
                     lang[full], score[full] = np.array(network.languages, object)[best], mean.max(axis=1)
                     lang[~letters], score[~letters] = NO_LANGUAGE, 0.0

@@ -15,15 +15,16 @@ from tallyframe.llm import line_dedup as ldd
 from tallyframe.llm.common import stored, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: A text whose best language stays below this mean probability is no text in a known language.
-LEAST_SCORE = 0.3
+#: A text is in no known language if its best one's mean probability is not this part of the way from an even share to 1.
+LEAST_EXCESS = 0.1
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language; those without a letter, or like no language, go. Only the text decides."""
     network = lid.train(docs.filter(lid.fold_of(F.col("doc_id"), 3) != 1).select("doc_id", "text", "lang"))
-    return lid.with_languages(docs.select(*COLUMNS), network).filter(
-        (F.col("lang_pred") != lid.NO_LANGUAGE) & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
+    even = 1 / len(network.languages) if network else 1.0
+    known = F.col("score") >= even + LEAST_EXCESS * (1 - even) - 1e-6
+    return lid.with_languages(docs.select(*COLUMNS), network).filter((F.col("lang_pred") != lid.NO_LANGUAGE) & known).select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
