@@ -11,7 +11,11 @@ last words have passed before.
 
 Counts are summed across shards after every length, over 128-bit hashes, and
 only phrases that reach ``least`` go on, so rare phrases are never followed
-further. The hashes that pass return to the shards as a bitmap of bounded
+further. A tally goes ahead of the hashes: every shard adds its counts up by
+place, the hash modulo a number of places that grows with the words, and only
+phrases whose place reaches ``least`` over all shards send their hashes. A
+place counts at least what each of its phrases does, so none is lost. The
+hashes that pass return to the shards as a bitmap of bounded
 size, which may let some rare phrases by, or by a join if they are too many for
 it. A shard's intervals travel as one packed row, and of the shards that hold a
 phrase one spells it out.
@@ -45,8 +49,13 @@ HELD_WORDS = 1 << 20
 LONGEST, LEAST, TOP = 5, 100, 2000
 #: Slots over which a language's phrases are ranked before they meet.
 SLOTS = 64
-#: Bits of the map of hashes that pass; it is used for up to an eighth as many hashes.
-MAP_BITS = 1 << 25
+#: Places of the map of hashes that pass, as a power of two; it is used for up to an eighth as many hashes.
+MAP_BITS = 25
+#: Keys a task holds while it adds counts up.
+HELD_KEYS = 1 << 18
+#: Ranges of places, and of keys, whose counts meet in one task, and the least and most places, as powers of two.
+#: Beyond the most, more rare phrases share a place with others and are sent, but none is lost.
+RANGES, FEWEST_BITS, MOST_BITS = 512, 16, 27
 NO_LANGUAGE = "und"
 
 _PIECE_END = np.zeros(256, bool)
@@ -61,6 +70,14 @@ _OTHER = np.uint8(0x5A)
 
 # --- the index of one shard ----------------------------------------------------
 
+def _order(values: np.ndarray) -> np.ndarray:
+    """Stable order of numbers from 0 to 2 ** 32 - 1, by their 16-bit halves, which numpy sorts in linear time."""
+    out = np.argsort((values & 0xFFFF).astype(np.uint16), kind="stable")
+    if len(values) and values.max() >> 16:
+        out = out[np.argsort((values >> 16).astype(np.uint16)[out], kind="stable")]
+    return out
+
+
 @dataclass
 class FmIndex:
     """Transform of a text of ids 1..size, with 0 between pieces; suffixes are sorted by ``depth`` ids."""
@@ -71,7 +88,7 @@ class FmIndex:
     def __post_init__(self):
         self.first = np.concatenate(([0], np.cumsum(np.bincount(self.bwt, minlength=self.size + 1))))
         #: The row of the suffix one id later; the inverse maps a row to that of the suffix one id earlier.
-        self.next_row = np.argsort(self.bwt, kind="stable").astype(np.int32)
+        self.next_row = _order(self.bwt).astype(np.int32)
         self.earlier = np.empty_like(self.next_row)
         self.earlier[self.next_row] = np.arange(len(self.bwt), dtype=np.int32)
 
@@ -86,7 +103,7 @@ class FmIndex:
             after = np.concatenate((rank[step:], np.zeros(step, np.int64)))
             _, rank = np.unique(rank * (int(rank.max()) + 1) + after, return_inverse=True)
             width += step
-        order = np.argsort(rank[:n], kind="stable")
+        order = _order(rank[:n])
         return FmIndex(text[order - 1].astype(np.int32), size)
 
     def words(self) -> tuple[np.ndarray, np.ndarray]:
@@ -94,18 +111,22 @@ class FmIndex:
         return self.first[1:-1], np.diff(self.first)[1:]
 
     def left(self, lo: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """All extensions by one word before: (interval extended, word, start, size)."""
-        owner = np.repeat(np.arange(len(lo)), count)
+        """All extensions by one word before, in rising order of their starts: (interval extended, word, start, size).
+
+        The intervals are disjoint and rise, so the LF images of their rows, put
+        at their places, lie in order of word and interval without a sort.
+        """
+        owner = np.repeat(np.arange(len(lo), dtype=np.int32), count)
         rows = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)
-        word = self.bwt[rows].astype(np.int64)
+        word = self.bwt[rows]
         inside = word > 0
-        owner, rows, word = owner[inside], rows[inside], word[inside]
-        key = owner * (self.size + 1) + word
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
-        top = order[begin]
-        return owner[top], word[top], self.earlier[rows[top]], np.diff(np.append(begin, len(key)))
+        image = self.earlier[rows[inside]]
+        owners, words = np.full(len(self.bwt), -1, np.int32), np.zeros(len(self.bwt), np.int32)
+        owners[image], words[image] = owner[inside], word[inside]
+        at = np.flatnonzero(owners >= 0)
+        owner, word = owners[at].astype(np.int64), words[at].astype(np.int64)
+        begin = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (word[1:] != word[:-1])))) if len(at) else at
+        return owner[begin], word[begin], at[begin], np.diff(np.append(begin, len(at)))
 
     def within(self, lo: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Marks of the rows ``lo`` that lie in one of the disjoint intervals, which rise."""
@@ -249,31 +270,79 @@ def _loaded(table: pa.Table) -> tuple[_Loaded, int, str]:
     return _Loaded.of(r["lang"], r["bwt"], r["vocabulary"]), r["shard"], r["lang"]
 
 
-COUNTS = "key long, key2 long, size int, shard long"
+COUNTS = "part int, shard long, keys binary, keys2 binary, sizes binary"
 INTERVALS = "key long, key2 long, shard long, lo int, size int"
 PACKED = "shard long, length int, packed binary"
+TALLY = "part int, places binary, sizes binary"
 _KINDS = {
-    COUNTS: pa.schema([("key", pa.int64()), ("key2", pa.int64()), ("size", pa.int32()), ("shard", pa.int64())]),
+    COUNTS: pa.schema([("part", pa.int32()), ("shard", pa.int64()), ("keys", pa.binary()), ("keys2", pa.binary()), ("sizes", pa.binary())]),
     INTERVALS: pa.schema([("key", pa.int64()), ("key2", pa.int64()), ("shard", pa.int64()), ("lo", pa.int32()), ("size", pa.int32())]),
     PACKED: pa.schema([("shard", pa.int64()), ("length", pa.int32()), ("packed", pa.binary())]),
+    TALLY: pa.schema([("part", pa.int32()), ("places", pa.binary()), ("sizes", pa.binary())]),
 }
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """Small numbers byte plane by byte plane, so that the planes of zeros compress to nothing."""
+    return values.astype(np.int32).view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _from_planes(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.uint8).reshape(4, -1).T.copy().view(np.int32).ravel()
+
+
+def _tally(key: np.ndarray, size: np.ndarray, bits: int, least: int) -> pa.Table:
+    """Counts up to ``least`` by place, the low ``bits`` of the key: one row per range, with the steps between its places."""
+    place = key & ((1 << bits) - 1)
+    order = np.argsort(place, kind="stable")
+    place, size = place[order], size[order]
+    begin = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1]))) if len(place) else np.zeros(0, np.int64)
+    place, size = place[begin], np.minimum(np.add.reduceat(size, begin), least) if len(begin) else size
+    width = (1 << bits) // RANGES
+    cut = np.searchsorted(place, np.arange(RANGES + 1) * width)
+    held = np.flatnonzero(np.diff(cut))
+    parts = [(slice(cut[p], cut[p + 1]), p * width) for p in held]
+    places = [_planes(np.diff(place[a], prepend=start)) for a, start in parts]
+    return pa.table([held.astype(np.int32), places, [_planes(size[a]) for a, _ in parts]], schema=_KINDS[TALLY])
+
+
+def _reached(bits: int, least: int):
+    """A bitmap of the places of each range whose tallies reach ``least``; a task holds its own ranges only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, places, sizes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held = sums.setdefault(part, np.zeros((1 << bits) // RANGES, np.int32))
+                at = np.cumsum(_from_planes(places))
+                held[at] = np.minimum(held[at] + _from_planes(sizes), least)
+        marks = [np.packbits(x >= least, bitorder="little").tobytes() for x in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(marks, pa.binary())], ["part", "marks"])
+
+    return run
+
+
+def _marked(marks: Broadcast, bits: int, key: np.ndarray) -> np.ndarray:
+    """Which keys lie at a marked place of the bitmap of 2 ** ``bits`` places."""
+    at = key & ((1 << bits) - 1)
+    return (np.frombuffer(marks.value, np.uint8)[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
 def _turn(key: np.ndarray) -> np.ndarray:
     """Bits of the key that turn shard numbers over, so that the smallest is another shard for another key."""
     return (key & 1023) << 32 | (key >> 10) & 63
 
 
 def _pack(shard: int, length: int, lo: np.ndarray, size: np.ndarray) -> pa.Table:
-    """A shard's intervals in one row, in rising order: all starts, then all sizes."""
+    """A shard's intervals in one row, in rising order: all steps between starts, then all sizes."""
     order = np.argsort(lo, kind="stable")
-    packed = np.concatenate((lo[order], size[order])).astype(np.int32).tobytes()
+    packed = _planes(np.diff(lo[order], prepend=0)) + _planes(size[order])
     return pa.table([[shard], [length], [packed]], schema=_KINDS[PACKED])
 
 
 def _unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
-    lo, size = np.frombuffer(packed, np.int32).reshape(2, -1).astype(np.int64)
-    return lo, size
+    half = len(packed) // 2
+    return np.cumsum(_from_planes(packed[:half]), dtype=np.int64), _from_planes(packed[half:]).astype(np.int64)
 
 
 def _packer(length: int):
@@ -283,9 +352,47 @@ def _packer(length: int):
     return run
 
 
-def _extensions(length: int, kind: str, passed: Broadcast | None = None):
-    """Every extension of one shard's phrases of ``length`` words, as COUNTS or INTERVALS,
-    or PACKED those whose key is in the map of the hashes that ``passed``."""
+def _bundles(shard: int, key: np.ndarray, key2: np.ndarray, size: np.ndarray) -> pa.Table:
+    """A shard's counts, one row per range of keys."""
+    part = (key & (RANGES - 1)).astype(np.uint16)
+    order = np.argsort(part, kind="stable")
+    cut = np.searchsorted(part[order], np.arange(RANGES + 1))
+    held = np.flatnonzero(np.diff(cut))
+    ranges = [order[cut[p] : cut[p + 1]] for p in held]
+    columns = ([key[a].tobytes() for a in ranges], [key2[a].tobytes() for a in ranges], [_planes(size[a]) for a in ranges])
+    return pa.table([held.astype(np.int32), np.full(len(held), shard), *columns], schema=_KINDS[COUNTS])
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, key2, size, told): counts over the shards of a range, in parts once too many keys are held; told is the least turned shard."""
+    held: list[tuple[np.ndarray, ...]] = []
+    many = 0
+
+    def merged() -> tuple[np.ndarray, ...]:
+        key, key2, size, told = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((key2, key))
+        key, key2, size, told = key[order], key2[order], size[order], told[order]
+        begin = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (key2[1:] != key2[:-1]))))
+        return key[begin], key2[begin], np.add.reduceat(size, begin), np.minimum.reduceat(told, begin)
+
+    for batch in batches:
+        for _, shard, keys, keys2, sizes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            key = np.frombuffer(keys, np.int64)
+            held.append((key, np.frombuffer(keys2, np.int64), _from_planes(sizes).astype(np.int64), shard ^ _turn(key)))
+            many += len(key)
+            if many >= HELD_KEYS:
+                held = [merged()]
+                many = len(held[0][0])
+                if 2 * many >= HELD_KEYS:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], ["key", "key2", "size", "told"])
+                    held, many = [], 0
+    if many:
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in merged()], ["key", "key2", "size", "told"])
+
+
+def _extensions(length: int, kind: str, marks: Broadcast | None = None, bits: int = 0, least: int = 0):
+    """Extensions of one shard's phrases of ``length`` words, as COUNTS, INTERVALS or PACKED: all of them,
+    or those at a marked place of a bitmap of 2 ** ``bits`` places. As TALLY, their counts up to ``least`` by place."""
 
     def run(index: pa.Table, before: pa.Table | None = None) -> pa.Table:
         if not index.num_rows or (length and not before.num_rows):
@@ -294,15 +401,17 @@ def _extensions(length: int, kind: str, passed: Broadcast | None = None):
         lo, count = _unpack(before["packed"][0].as_py()) if length else (np.zeros(1, np.int64),) * 2
         owner, word, start, size = extended(own.index, length, lo, count)
         key = own.longer(own.keys(lo, length, 0)[owner], word, 0).view(np.int64)
+        if kind == TALLY:
+            return _tally(key, size, bits, least)
+        if marks is not None:
+            hit = np.flatnonzero(_marked(marks, bits, key))
+            owner, word, start, size, key = (x[hit] for x in (owner, word, start, size, key))
         if kind == PACKED:
-            bits = np.frombuffer(passed.value, np.uint8)
-            at = np.mod(key, MAP_BITS)
-            hit = np.flatnonzero(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1)
-            return _pack(shard, length + 1, start[hit], size[hit])
+            return _pack(shard, length + 1, start, size)
         key2 = own.longer(own.keys(lo, length, 1)[owner], word, 1).view(np.int64)
-        told = shard ^ _turn(key) if kind == COUNTS else np.full(len(key), shard)
-        values = {"key": key, "key2": key2, "size": size.astype(np.int32), "shard": told, "lo": start.astype(np.int32)}
-        return pa.table([values[n] for n in _KINDS[kind].names], schema=_KINDS[kind])
+        if kind == COUNTS:
+            return _bundles(shard, key, key2, size)
+        return pa.table([key, key2, np.full(len(key), shard), start.astype(np.int32), size.astype(np.int32)], schema=_KINDS[kind])
 
     return (lambda index, before: run(index, before)) if length else (lambda index: run(index))
 
@@ -343,43 +452,64 @@ def shard_index(docs: DataFrame, depth: int = LONGEST, shard_words: int = SHARD_
 
 
 def _map_of(keys: DataFrame) -> Broadcast | None:
-    """A bitmap of the keys modulo ``MAP_BITS``, sent to the tasks; None for too many keys.
+    """A bitmap of the low ``MAP_BITS`` bits of the keys, sent to the tasks; None for too many keys.
 
-    The driver receives MAP_BITS / 8 bytes at most, in parts of 32,768 bits.
+    The driver receives 2 ** MAP_BITS / 8 bytes at most, in parts of 32,768 bits.
     """
-    if keys.count() > MAP_BITS // 8:
+    if 8 * keys.count() > 1 << MAP_BITS:
         return None
-    place = F.pmod("key", F.lit(MAP_BITS)) + 1
+    place = F.pmod("key", F.lit(1 << MAP_BITS)) + 1
     parts = keys.groupBy(F.bitmap_bucket_number(place).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
-    whole = bytearray(MAP_BITS // 8)
+    whole = bytearray(max(1, (1 << MAP_BITS) // 8))
     for r in parts.collect():
         whole[(r["part"] - 1) * 4096 : r["part"] * 4096] = r["bits"]
     return keys.sparkSession.sparkContext.broadcast(bytes(whole))
 
 
+def _tally_bits(words: int) -> int:
+    """Places of the tally, as a power of two: about one for every two to four words."""
+    return min(MOST_BITS, max(FEWEST_BITS, words.bit_length() - 2))
+
+
+def _likely(tallies: DataFrame, bits: int, least: int) -> Broadcast:
+    """The bitmap of the places that reach ``least``; the driver receives 2 ** bits / 8 bytes at most."""
+    spark = tallies.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    width = (1 << bits) // RANGES // 8
+    whole = bytearray(1 << bits - 3)
+    for r in tallies.repartition(parts, "part").mapInArrow(_reached(bits, least), "part int, marks binary").collect():
+        whole[r["part"] * width : (r["part"] + 1) * width] = r["marks"]
+    return spark.sparkContext.broadcast(bytes(whole))
+
+
 def frequent_phrases(index: DataFrame, longest: int = LONGEST, least: int = LEAST) -> DataFrame:
     """(lang, length, phrase, a): every phrase of up to ``longest`` words with at least ``least`` occurrences."""
     rows = index.select("shard", "lang", "bwt", "vocabulary").groupBy("shard")
+    parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bits = _tally_bits(index.agg(F.sum("n_words")).first()[0] or 0)
 
-    def extensions(length: int, before: DataFrame | None, kind: str, passed: Broadcast | None = None) -> DataFrame:
-        step = _extensions(length, kind, passed)
+    def extensions(length: int, before: DataFrame | None, kind: str, marks: Broadcast | None = None, places: int = bits) -> DataFrame:
+        step = _extensions(length, kind, marks, places, least)
         return rows.applyInArrow(step, kind) if before is None else rows.cogroup(before.groupBy("shard")).applyInArrow(step, kind)
 
     spelling, found = None, None
     for length in range(longest):
-        counted = extensions(length, found, COUNTS).groupBy("key", "key2").agg(F.sum("size").alias("a"), F.min("shard").alias("told"))
+        likely = _likely(extensions(length, found, TALLY), bits, least)
+        bundles = extensions(length, found, COUNTS, likely).repartition(parts, "part")
+        sums = bundles.mapInArrow(_summed, "key long, key2 long, size long, told long")
+        counted = sums.groupBy("key", "key2").agg(F.sum("size").alias("a"), F.min("told").alias("told"))
         turn = F.shiftleft(F.col("key").bitwiseAND(1023), 32).bitwiseOR(F.shiftright("key", 10).bitwiseAND(63))
         counted = counted.select("key", "key2", "a", F.col("told").bitwiseXOR(turn).alias("shard"))
         heavy = stored(counted.filter(F.col("a") >= least), "phrase-keys")
         passed = _map_of(heavy.select("key"))
         if passed is not None:
-            left = extensions(length, found, PACKED, passed)
+            left = extensions(length, found, PACKED, passed, MAP_BITS)
         else:
-            left = extensions(length, found, INTERVALS).join(heavy, ["key", "key2"], "left_semi").groupBy("shard").applyInArrow(
+            left = extensions(length, found, INTERVALS, likely).join(heavy, ["key", "key2"], "left_semi").groupBy("shard").applyInArrow(
                 _packer(length + 1), PACKED)
         found = stored(left, "phrase-intervals")
-        parts = found.unionByName(heavy.withColumn("length", F.lit(length + 1)), allowMissingColumns=True)
-        spelling = parts if spelling is None else spelling.unionByName(parts)
+        rows_of = found.unionByName(heavy.withColumn("length", F.lit(length + 1)), allowMissingColumns=True)
+        spelling = rows_of if spelling is None else spelling.unionByName(rows_of)
     spelled = rows.cogroup(spelling.groupBy("shard")).applyInArrow(_phrases, "lang string, length int, phrase string, a long")
     return stored(spelled, "phrases")
 

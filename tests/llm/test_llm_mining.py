@@ -132,6 +132,31 @@ def test_phrases_equal_the_definition(make_docs, monkeypatch, shard_words, bits)
     assert P.collocations(make_docs([])).count() == 0
 
 
+def test_tallies_lose_no_phrase():
+    rng = np.random.default_rng(3)
+    bits, least = 12, 5
+    shards = [rng.integers(-(1 << 62), 1 << 62, 400) for _ in range(30)]
+    shards = [np.concatenate((k, [7, -9])) for k in shards]  # two keys that every shard holds
+    sizes = [rng.integers(1, 3, len(k)) for k in shards]
+    tables = [P._tally(k, n, bits, least) for k, n in zip(shards, sizes, strict=True)]
+    assert P._tally(np.zeros(0, np.int64), np.zeros(0, np.int64), bits, least).num_rows == 0
+    whole = np.zeros(1 << bits, int)
+    for k, n in zip(shards, sizes, strict=True):
+        np.add.at(whole, k & ((1 << bits) - 1), n)
+    got = np.zeros(1 << bits, bool)
+    width = (1 << bits) // P.RANGES
+    for batch in P._reached(bits, least)(b for t in tables for b in t.to_batches()):
+        for part, marks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            got[part * width : (part + 1) * width] = np.unpackbits(np.frombuffer(marks, np.uint8), bitorder="little")[:width]
+    assert (got == (whole >= least)).all() and 0 < got.sum() < len(got)
+    assert got[7] and got[-9 & ((1 << bits) - 1)]
+
+
+@pytest.mark.parametrize("words", [0, 1, 1 << 20, 1 << 60])
+def test_places_grow_with_the_words(words):
+    assert P.FEWEST_BITS <= P._tally_bits(words) <= P.MOST_BITS
+
+
 def test_most_frequent_extensions(make_docs):
     rows = [(1, "a b c. " * 6 + "b c d. " * 5 + "b c", "en")]
     out = {r["phrase"]: r for r in P.collocations(make_docs(rows), least=2).collect()}
