@@ -16,7 +16,7 @@ from tallyframe.functions import scalars as X
 from tallyframe.operators.balances import with_account_totals
 from tallyframe.operators.joins import account_ownership_check
 from tallyframe.plans.ids import largest_id, with_new_ids
-from tallyframe.plans.keys import anti_on_key, category_lookup, left_lookup
+from tallyframe.plans.keys import anti_on_key, category_lookup, left_lookup, shuffled
 from tallyframe.schema import ENUMS, OUTCOME, TOTAL
 from tallyframe.session import written
 from tallyframe.sources.ledger import Ledger
@@ -35,7 +35,7 @@ def _asked_and_found(asked: DataFrame, found: DataFrame) -> DataFrame:
 
 def _repeated(df: DataFrame, key: str = "id") -> DataFrame:
     """``df`` with ``_times``: how many rows have the row's key."""
-    return df.join(df.groupBy(key).agg(F.count(F.lit(1)).alias("_times")), key, "left")
+    return df.join(shuffled(df.groupBy(key).agg(F.count(F.lit(1)).alias("_times"))), key, "left")
 
 
 # --- transactions ------------------------------------------------------------
@@ -166,7 +166,7 @@ def upsert_budgets(
     budgets are dropped with them, others are judged by ``upsert_limits``.
     """
     owners = budgets.select("id", F.col("user_id").alias("_owner"))
-    looked = _repeated(edits).join(owners, "id", "left")
+    looked = _repeated(edits).join(shuffled(owners), "id", "left")
     reason = F.when(F.col("_times") > 1, "edited more than once").when(
         F.col("_owner").isNotNull() & ~F.coalesce(F.col("_owner") == F.col("user_id"), F.lit(False)), "not found"
     ).when(~F.coalesce(F.col("end_date") > F.col("start_date"), F.lit(False)), "end date must be after start date")
@@ -176,7 +176,7 @@ def upsert_budgets(
     editable = ["name", "period_type", "start_date", "end_date", "total_expense_limit"]
     change = good.select("id", F.lit(True).alias("_hit"), F.col("user_id").alias("_user"),
                          *[F.col(c).alias("_" + c) for c in editable])
-    merged = budgets.join(change, "id", "full_outer").select(
+    merged = budgets.join(shuffled(change), "id", "full_outer").select(
         "id",
         *[F.when(F.col("_hit"), F.col("_" + c)).otherwise(F.col(c)).alias(c) for c in editable],
         F.coalesce("is_active", F.lit(True)).alias("is_active"),
@@ -190,7 +190,7 @@ def upsert_budgets(
 def _dropped_with(limit_edits: DataFrame, looked: DataFrame) -> DataFrame:
     """Limit edits without those of refused budgets."""
     refused = looked.filter("reason IS NOT NULL").select("id").distinct()
-    return anti_on_key(limit_edits, refused, "budget_id", "id")
+    return anti_on_key(limit_edits, shuffled(refused), "budget_id", "id")
 
 
 def upsert_limits(
@@ -207,7 +207,7 @@ def upsert_limits(
     """
     owners = budgets.select(F.col("id").alias("budget_id"), F.col("user_id").alias("_owner")).withColumn("_known", F.lit(True))
     before = limits.select("id", F.col("budget_id").alias("_budget"))
-    looked = _repeated(edits).join(owners, "budget_id", "left").join(before, "id", "left")
+    looked = _repeated(edits).join(shuffled(owners), "budget_id", "left").join(shuffled(before), "id", "left")
     editor = F.col("user_id") if "user_id" in edits.columns else F.col("_owner")
     deleted = F.coalesce("is_deleted", F.lit(False))
     reason = (
@@ -226,7 +226,7 @@ def upsert_limits(
 
     good = looked.filter("reason IS NULL").select("id", F.col("budget_id").alias("_b"), F.col("category_id").alias("_c"),
                                                   F.col("limit_amount").alias("_a"), deleted.alias("_gone"), F.lit(True).alias("_hit"))
-    merged = limits.join(good, "id", "full_outer").filter(~F.coalesce("_gone", F.lit(False)))
+    merged = limits.join(shuffled(good), "id", "full_outer").filter(~F.coalesce("_gone", F.lit(False)))
     # An edit that takes a (budget, category) meets whoever holds it now, then the edits with smaller ids.
     holds = F.col("budget_id").isNotNull()
     moved = F.coalesce("_hit", F.lit(False)) & ~(holds & F.col("category_id").eqNullSafe(F.col("_c")))
@@ -235,7 +235,7 @@ def upsert_limits(
         merged.filter("_moved").select(F.col("_b").alias("budget_id"), F.col("_c").alias("category_id"), "_moved", "id"))
     first = places.groupBy(F.col("budget_id").alias("_b"), F.col("category_id").alias("_c")).agg(
         F.min(F.struct("_moved", "id"))["id"].alias("_first"))
-    judged = merged.join(first, ["_b", "_c"], "left").withColumn("_twin", F.col("_moved") & (F.col("_first") != F.col("id")))
+    judged = merged.join(shuffled(first), ["_b", "_c"], "left").withColumn("_twin", F.col("_moved") & (F.col("_first") != F.col("id")))
     taken = F.col("_hit") & ~F.col("_twin")
     kept = judged.filter(holds | ~F.coalesce("_twin", F.lit(False))).select(
         "id",
@@ -244,7 +244,7 @@ def upsert_limits(
         F.when(taken, F.col("_a")).otherwise(F.col("limit_amount")).alias("limit_amount"),
     )
     twins = judged.filter("_twin").select("id", F.lit("category already has a limit").alias("_twin"))
-    report = looked.join(twins, "id", "left")
+    report = looked.join(shuffled(twins), "id", "left")
     return kept.select(*limits.columns), _report(report, F.coalesce("reason", "_twin"))
 
 

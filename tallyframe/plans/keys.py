@@ -6,7 +6,9 @@ shuffled form even:
 
 * NULL keys of a left or anti join are scattered instead of meeting in one task;
 * system categories, which every user's rows share, are looked up on a salted key;
-* positions inside a group are counted in blocks of bounded size.
+* positions inside a group are counted in blocks of bounded size;
+* exploded and grouped sides that grow with the ledger are kept from being broadcast,
+  and their partitions from being merged.
 
 Other joins keep the large table on the side AQE's skew handling may split.
 """
@@ -21,6 +23,24 @@ SALTS = 64
 BLOCK_BITS = 16
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` as the side of a join that is not broadcast, for sides that grow with the ledger.
+
+    The optimizer takes exploded rows to be as few as what they come from and
+    grouped ones to be narrow, and would have the driver hold them whole.
+    """
+    return df.hint("merge")
+
+
+def evenly(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt by ``keys`` over all of the session's shuffle partitions.
+
+    AQE merges partitions by their compressed bytes; rows of ids and dates
+    compress so well that a merged partition fills a task's memory.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def null_slot(key: str | Column, spread: str | Column) -> Column:
     """0 for a row with a key, else one of many slots above 0.
 

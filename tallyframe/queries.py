@@ -26,6 +26,7 @@ from tallyframe.operators import (
 )
 from tallyframe.plans import dashboard
 from tallyframe.plans.ids import largest_id, with_new_ids
+from tallyframe.plans.keys import shuffled
 from tallyframe.session import shared_dir
 from tallyframe.sources import generate, ledger, seeds, sinks, versions
 from tallyframe.streaming import ledger_streams, nightly
@@ -829,7 +830,7 @@ def _upsert_limits(spark, d):
     L = _ledger(spark, d)
     owners = L["budgets"].select(F.col("id").alias("budget_id"), "user_id")
     no = F.col("id")
-    edits = L["limits"].join(owners, "budget_id").select(
+    edits = L["limits"].join(shuffled(owners), "budget_id").select(
         "id",
         F.when(no % 7 == 0, F.col("budget_id") + 5_000_000).when(no % 11 == 0, F.col("budget_id") + 1).otherwise(F.col("budget_id")).alias("budget_id"),
         F.when(no % 5 == 0, F.lit(1)).when(no % 3 == 0, F.lit(12)).otherwise(F.col("category_id")).cast("long").alias("category_id"),
