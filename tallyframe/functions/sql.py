@@ -43,10 +43,10 @@ RETURN WITH days AS (
   SELECT user_id, category_id, date, sum(amount) AS spent FROM {prefix}_transactions
   WHERE type = '{OUTCOME}' GROUP BY user_id, category_id, date
 ), used AS (
-  SELECT l.id, l.budget_id, b.user_id, l.category_id, c.name, l.limit_amount, coalesce(sum(d.spent), 0) AS spent
+  SELECT /*+ MERGE(b) */ l.id, l.budget_id, b.user_id, l.category_id, c.name, l.limit_amount, coalesce(sum(d.spent), 0) AS spent
   FROM {prefix}_limits l JOIN {prefix}_budgets b ON b.id = l.budget_id JOIN {prefix}_categories c ON c.id = l.category_id
   LEFT JOIN days d ON d.user_id = b.user_id AND d.category_id = l.category_id AND d.date BETWEEN b.start_date AND b.end_date
   GROUP BY l.id, l.budget_id, b.user_id, l.category_id, c.name, l.limit_amount
-) SELECT budget_id, user_id, category_id, name, limit_amount, spent, limit_amount - spent,
+) SELECT /*+ MERGE(used) */ budget_id, user_id, category_id, name, limit_amount, spent, limit_amount - spent,
   round(try_divide(spent * 100, limit_amount), 2), spent > limit_amount
 FROM used WHERE budget_id = budget""")
