@@ -13,7 +13,7 @@ from tallyframe.functions import scalars as X
 from tallyframe.operators.balances import with_account_totals
 from tallyframe.operators.joins import user_category_matrix, user_currency
 from tallyframe.plans.intervals import interval_totals
-from tallyframe.plans.keys import category_lookup
+from tallyframe.plans.keys import category_lookup, evenly, shuffled
 from tallyframe.plans.prefix import prefix_totals
 from tallyframe.schema import INCOME, OUTCOME, TOTAL
 
@@ -153,9 +153,10 @@ def limit_totals(limits: DataFrame, budgets: DataFrame, transactions: DataFrame)
     sums = interval_totals(
         spans, "budget_id", "start_date", "end_date", outcome, ["user_id"], {"spent": F.col("amount")}, ["category_id"]
     )
+    owned = evenly(limits, "budget_id").join(shuffled(budgets.select(F.col("id").alias("budget_id"), "user_id")), "budget_id")
     return (
-        limits.join(budgets.select(F.col("id").alias("budget_id"), "user_id"), "budget_id")
-        .join(sums, ["budget_id", "category_id"], "left")
+        evenly(owned, "budget_id", "category_id")
+        .join(shuffled(sums), ["budget_id", "category_id"], "left")
         .withColumn("spent", X.or_zero("spent"))
     )
 

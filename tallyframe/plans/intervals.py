@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyframe.plans.keys import evenly, shuffled
 from tallyframe.schema import TOTAL
 
 
@@ -52,7 +53,8 @@ def interval_cells(df: DataFrame, start: str, end: str) -> DataFrame:
 def fact_cells(facts: DataFrame, keys: list[str], measures: dict[str, Column], date: str = "date") -> DataFrame:
     """Sum ``measures`` per keys and day, then roll the days up to months and years.
 
-    Measures are sums and counts, so the second step adds the first.
+    Measures are sums and counts, so the second step adds the first; it holds
+    a key's days together, however many rows they have.
     """
     daily = facts.groupBy(*keys, date).agg(*[F.sum(m).alias(n) for n, m in measures.items()])
     grains = F.array(
@@ -61,7 +63,7 @@ def fact_cells(facts: DataFrame, keys: list[str], measures: dict[str, Column], d
         F.struct(F.lit("Y").alias("grain"), F.trunc(date, "YEAR").alias("cell")),
     )
     return (
-        daily.select(*keys, *measures, F.inline(grains).alias("grain", "cell"))
+        evenly(daily, *keys).select(*keys, *measures, F.inline(grains).alias("grain", "cell"))
         .groupBy(*keys, "grain", "cell")
         .agg(*[F.sum(n).alias(n) for n in measures])
     )
@@ -79,15 +81,14 @@ def interval_totals(
 ) -> DataFrame:
     """Totals per interval (and per ``carry`` fact column), NULL for an interval without facts.
 
-    ``keys`` are equality columns present on both sides. The left join keeps
-    the exploded side, which looks smaller to the optimizer than it is, from
-    being broadcast; the cells are sums whose size AQE knows.
+    ``keys`` are equality columns present on both sides. The exploded side
+    looks smaller to the optimizer than it is and is not broadcast.
     """
     carry = carry or []
     cells = fact_cells(facts, keys + carry, measures)
     spans = interval_cells(intervals.select(interval_id, *keys, start, end), start, end)
     return (
-        spans.select(interval_id, *keys, "grain", "cell")
+        shuffled(evenly(spans.select(interval_id, *keys, "grain", "cell"), *keys, "grain", "cell"))
         .join(cells, [*keys, "grain", "cell"], "left")
         .groupBy(interval_id, *carry)
         .agg(*[F.sum(n).cast(TOTAL).alias(n) for n in measures])

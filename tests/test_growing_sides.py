@@ -19,8 +19,8 @@ def tables(spark):
         "budget_id * 100 + category_id AS id", "budget_id", "category_id", "CAST(5 AS DECIMAL(16,2)) AS limit_amount")
     categories = spark.range(11, 13).selectExpr("id", "concat('c', id) AS name", "'OUTCOME' AS type", "true AS is_system", "CAST(NULL AS BIGINT) AS user_id")
     transactions = spark.range(20).selectExpr(
-        "id", "id % 2 AS user_id", "'OUTCOME' AS type", "CAST(1 AS DECIMAL(16,2)) AS amount", "DATE '2024-05-05' AS date",
-        "'x' AS description", "11L AS category_id", "CAST(NULL AS BIGINT) AS account_id")
+        "id", "id % 2 AS user_id", "'OUTCOME' AS type", "CAST(1 AS DECIMAL(16,2)) AS amount", "date_add(DATE '2024-05-05', CAST(id % 3 AS INT)) AS date",
+        "'x' AS description", "11 + id div 20 AS category_id", "CAST(NULL AS BIGINT) AS account_id")
     accounts = spark.range(2).selectExpr("id", "CAST(0 AS DECIMAL(16,2)) AS initial_balance")
     return {"budgets": budgets, "limits": limits, "categories": categories, "transactions": transactions, "accounts": accounts}
 
