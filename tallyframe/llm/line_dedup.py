@@ -8,13 +8,20 @@ with its first position in the corpus, the match is extended both ways as far
 as lines agree, and where it spans at least ``min_words`` words the later run
 is deleted. Documents are ordered by id, then by their text's MD5.
 
+Where a selected line stands in another context at its first position, the
+windows around it that are not matched there are grouped by their whole
+content, and all but the first of a group are deleted too. So a line goes
+exactly if it lies in a run of ``min_words`` words that occurs earlier.
+
 Only first positions are joined, never all pairs, so a line that a third of
-all documents hold costs one row for each of them.
+all documents hold costs one row for each of them, and a window one for each place.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -121,40 +128,85 @@ def _many_extended(keys: list[bytes], source: list[bytes], ats: np.ndarray, ther
     return start, end
 
 
-def matched(keys: list[bytes], source: list[bytes], words: list[int], ats: list[int], theres: list[int], min_words: int) -> np.ndarray:
-    """Marks of the lines in a run around any match that spans ``min_words`` words.
+def spans(keys: list[bytes], source: list[bytes], ats: list[int], theres: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """``extended`` for each match.
 
     Texts with many matches, as repeated lines make them, look each end up in
     block ranks; the work then grows with the lines and matches, not with their product.
     """
     if len(ats) * min(len(keys), len(source)) > MANY:
-        lo, hi = _many_extended(keys, source, np.array(ats), np.array(theres))
-    else:
-        until: dict[int, int] = {}
-        spans = []
-        for at, there in sorted(zip(ats, theres, strict=True)):
-            if at >= until.get(at - there, 0):
-                spans.append(extended(keys, source, at, there))
-                until[at - there] = spans[-1][1]
-        lo, hi = np.array(spans).T
+        return _many_extended(keys, source, np.array(ats), np.array(theres))
+    last: dict[int, tuple[int, int]] = {}
+    out = np.zeros((2, len(ats)), np.int64)
+    for at, there, k in sorted(zip(ats, theres, range(len(ats)), strict=True)):
+        if at >= last.get(at - there, (0, 0))[1]:
+            last[at - there] = extended(keys, source, at, there)
+        out[:, k] = last[at - there]
+    return out[0], out[1]
+
+
+def marked(words: list[int], lo: np.ndarray, hi: np.ndarray, min_words: int) -> np.ndarray:
+    """Marks of the lines in any of the spans that holds ``min_words`` words."""
     upto = np.concatenate(([0], np.cumsum(words)))
     enough = upto[hi] - upto[lo] >= min_words
-    depth = np.bincount(lo[enough], minlength=len(keys) + 1) - np.bincount(hi[enough], minlength=len(keys) + 1)
+    depth = np.bincount(lo[enough], minlength=len(words) + 1) - np.bincount(hi[enough], minlength=len(words) + 1)
     return np.cumsum(depth)[:-1] > 0
 
 
+def matched(keys: list[bytes], source: list[bytes], words: list[int], ats: list[int], theres: list[int], min_words: int) -> np.ndarray:
+    """Marks of the lines in a run around any match that spans ``min_words`` words."""
+    return marked(words, *spans(keys, source, ats, theres), min_words)
+
+
+def unmatched(keys: list[bytes], words: list[int], ats: list[int], lo: np.ndarray, hi: np.ndarray, min_words: int) -> Iterator[tuple[int, int]]:
+    """Starts and ends of the windows of the selected lines ``ats`` that reach out of the line's span.
+
+    Windows are the shortest of ``min_words`` words, from every line forwards and backwards: within a run
+    of so many words they cover all its lines, and two copies of it hold the same ones. Each belongs to
+    the line selected in the shortest window from its start. If it does not reach out of the span, it
+    stands at the line's first position too, and all its copies are matched there.
+    """
+    upto = list(itertools.accumulate(words, initial=0))
+    for at, low, high in zip(ats, lo.tolist(), hi.tolist(), strict=True):
+        left, right = at, at + 1
+        while left > 0 and at - left < min_words and keys[left - 1] > keys[at]:
+            left -= 1
+        while right < len(keys) and right - at < min_words and keys[right] >= keys[at]:
+            right += 1
+        for start in range(left, at + 1):
+            end = bisect.bisect_left(upto, upto[start] + min_words)
+            if not at < end <= right:
+                continue  # another line is selected in it
+            last = end
+            while last == end or last < len(upto) and upto[last] - upto[start + 1] < min_words:
+                if start < low or last > high:
+                    yield start, last
+                last += 1
+
+
 def _runs(min_words: int):
+    """Rows without a key hold the lines matched with one source, the others a window that is not matched."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.schema([("doc_id", pa.int64()), ("tkey", pa.string()), ("gone", pa.list_(pa.int32()))])
+        kind = pa.schema([("doc_id", pa.int64()), ("tkey", pa.string()), ("key", pa.binary()), ("at", pa.int32()), ("gone", pa.list_(pa.int32()))])
         names = ("doc_id", "tkey", "keys", "source", "words", "places", "ats", "theres")
         for batch in batches:
             out = []
             for row in range(batch.num_rows):
                 r = {n: batch.column(n)[row].as_py() for n in names}
-                gone = matched(r["keys"], r["source"], r["words"], r["ats"], r["theres"], min_words)
+                keys, places = r["keys"], np.array(r["places"])
+                own = {"doc_id": r["doc_id"], "tkey": r["tkey"]}
+                lo, hi = spans(keys, r["source"], r["ats"], r["theres"])
+                gone = marked(r["words"], lo, hi, min_words)
                 if gone.any():
-                    out.append({"doc_id": r["doc_id"], "tkey": r["tkey"], "gone": np.array(r["places"])[gone].tolist()})
-                if len(out) == 512:
+                    out.append(own | {"gone": places[gone].tolist()})
+                for a, b in unmatched(keys, r["words"], r["ats"], lo, hi, min_words):
+                    key = hashlib.md5(b"".join(keys[a:b]), usedforsecurity=False).digest()
+                    out.append(own | {"key": key, "at": a, "gone": places[a:b].tolist()})
+                    if len(out) >= 4096:
+                        yield pa.RecordBatch.from_pylist(out, schema=kind)
+                        out = []
+                if len(out) >= 512:
                     yield pa.RecordBatch.from_pylist(out, schema=kind)
                     out = []
             yield pa.RecordBatch.from_pylist(out, schema=kind)
@@ -162,6 +214,15 @@ def _runs(min_words: int):
     return run
 
 
+def _firsts(marks: DataFrame, purpose: str) -> DataFrame:
+    """(key, first) of the keys with more than one spot.
+
+    Stored, so that the join with the marks stands alone in its stage and AQE can split a key that very many documents hold.
+    """
+    ends = marks.groupBy("key").agg(F.min("spot").alias("first"), F.max("spot").alias("final"))
+    return stored(ends.filter("first <> final").select("key", "first"), purpose)
+
+
 def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, tkey, gone): line numbers to delete, for documents that lose any; tkey is the text's MD5."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5("text").alias("tkey"), F.col("text").alias("text")).filter("text IS NOT NULL")
@@ -171,9 +232,7 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     spot = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tkey", "at")
     marks = signed.select("doc_id", "tkey", F.explode("picks").alias("at"), "keys").select(
         F.expr("keys[at]").alias("key"), spot.alias("spot"))
-    # Stored, so that the join below stands alone in its stage and AQE can split a line that very many documents hold.
-    first = stored(marks.groupBy("key").agg(F.min("spot").alias("first"), F.max("spot").alias("final")).filter("first <> final").select("key", "first"), "line-firsts")
-    anchors = marks.join(first, "key").filter("spot <> first").select(
+    anchors = marks.join(_firsts(marks, "line-firsts"), "key").filter("spot <> first").select(
         F.col("spot.doc_id").alias("doc_id"), F.col("spot.tkey").alias("tkey"), F.col("first.doc_id").alias("src_id"),
         F.col("first.tkey").alias("src_tkey"), F.col("spot.at").alias("at"), F.col("first.at").alias("there"))
     pairs = anchors.groupBy("doc_id", "tkey", "src_id", "src_tkey").agg(F.collect_set(F.struct("at", "there")).alias("m"))
@@ -186,8 +245,11 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         .join(own, F.col("tkey").eqNullSafe(F.col("o_tkey")) & F.col("doc_id").eqNullSafe(F.col("o_id")))
         .select("doc_id", "tkey", F.col("m.at").alias("ats"), F.col("m.there").alias("theres"), "places", "keys", "words", "source")
     )
-    found = joined.mapInArrow(_runs(min_words), "doc_id long, tkey string, gone array<int>")
-    return found.groupBy("doc_id", "tkey").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
+    found = stored(joined.mapInArrow(_runs(min_words), "doc_id long, tkey string, key binary, at int, gone array<int>"), "line-runs")
+    rest = found.filter("key IS NOT NULL").select("key", spot.alias("spot"), "gone")
+    later = rest.join(_firsts(rest, "window-firsts"), "key").filter("spot <> first").select("spot.doc_id", "spot.tkey", "gone")
+    gone = found.filter("key IS NULL").select("doc_id", "tkey", "gone").unionByName(later)
+    return gone.groupBy("doc_id", "tkey").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

@@ -1,6 +1,5 @@
 """Plain versions of the operators, one text at a time, that results are compared with."""
 
-import collections
 import hashlib
 import itertools
 import re
@@ -54,42 +53,31 @@ def contamination(text, items, size=13):
 
 
 def line_dedup(docs, min_words=20):
-    """[(id, text)] to the texts left, by the definition in the module's docstring."""
+    """[(id, text)] to the texts left: a line goes if it lies in a run of ``min_words`` words that occurs earlier.
+
+    The shortest such runs, from every line forwards and backwards, cover the longer ones.
+    """
     order = sorted(range(len(docs)), key=lambda k: (docs[k][0] is None, docs[k][0] or 0, hashlib.md5((docs[k][1] or "").encode()).hexdigest()))
     lines = {}
     for k in order:
         rows = [(n, line.split()) for n, line in enumerate(docs[k][1].encode().split(b"\n"))] if docs[k][1] is not None else []
         lines[k] = [(n, hashlib.md5(b" ".join(w)).digest(), len(w)) for n, w in rows if w]
-    first, marks = {}, []
+    seen, gone, done = set(), {}, {}
     for k in order:
+        if docs[k] in done:
+            gone[k] = done[docs[k]]  # rows that repeat an id and a text are one document
+            continue
+        gone[k] = done[docs[k]] = set()
         own = lines[k]
-        picks = set()
-        for s in range(len(own)):
-            for e in range(s, len(own)):
-                if sum(x[2] for x in own[s : e + 1]) >= min_words:
-                    picks.add(min(range(s, e + 1), key=lambda p: (own[p][1], p)))
-                    break
-        for p in sorted(picks):
-            h = own[p][1]
-            if h in first:
-                marks.append((k, p, *first[h]))
-            else:
-                first[h] = (k, p)
-    gone = collections.defaultdict(set)
-    for k, p, sk, sp in marks:
-        if docs[k] == docs[sk] and p == sp:
-            continue  # rows that repeat an id and a text are one document
-        a = p
-        while a > 0 and sp - (p - a) > 0 and lines[k][a - 1][1] == lines[sk][sp - (p - a) - 1][1]:
-            a -= 1
-        b = p
-        while b < len(lines[k]) and sp + b - p < len(lines[sk]) and lines[k][b][1] == lines[sk][sp + b - p][1]:
-            b += 1
-        if sum(x[2] for x in lines[k][a:b]) >= min_words:
-            gone[k].update(x[0] for x in lines[k][a:b])
-    for a, b in itertools.combinations(range(len(docs)), 2):
-        if docs[a] == docs[b]:
-            gone[a] = gone[b] = gone[a] | gone[b]
+        ends = set()
+        for p in range(len(own)):
+            ends.add((p, next((e for e in range(p + 1, len(own) + 1) if sum(x[2] for x in own[p:e]) >= min_words), None)))
+            ends.add((next((s for s in range(p, -1, -1) if sum(x[2] for x in own[s : p + 1]) >= min_words), None), p + 1))
+        for s, e in sorted(x for x in ends if None not in x):
+            run = tuple(x[1] for x in own[s:e])
+            if run in seen:
+                gone[k].update(x[0] for x in own[s:e])
+            seen.add(run)
     return [None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone[k]) for k, (_, t) in enumerate(docs)]
 
 

@@ -70,6 +70,35 @@ def test_repeats_cost_no_more_than_their_lines():
     assert time.process_time() - started < 5 and not gone[0] and gone[1:].all()
 
 
+def test_runs_around_a_line_that_came_first_elsewhere_go(make_docs):
+    lines = sorted((" ".join(f"w{k}x{j}" for j in range(8)) for k in range(40)), key=lambda x: hashlib.md5(x.encode()).digest())
+    least, a, b, c, d, e, f, *other = lines  # the least hash is selected in every window that holds it
+    run = [a, b, least, c, d]
+    rows = [(1, "\n".join([e, least, f])), (2, "\n".join([other[0], *run, other[1]])), (3, "\n".join([other[2], *run[:2], "", *run[2:], other[3]])),
+            (4, "\n".join([b, least, c])), (5, "\n".join([f, least, c])), (None, "\n".join([least, c, d, other[4]])), (None, "\n".join([least, c, d, other[4]]))]
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in L.dedup_lines(make_docs(rows)).collect()}
+    assert {k: got[k] for k in (1, 2, 5)} == {k: (t, 0) for k, t in rows if k in (1, 2, 5)}
+    assert got[3] == ("\n".join([other[2], "", other[3]]), 5) and got[4] == ("", 3) and got[None] == (other[4], 3)
+
+
+@pytest.mark.parametrize("many", [0, 10**9])
+@pytest.mark.parametrize("seed", range(2))
+def test_exactly_the_lines_of_earlier_runs_go(make_docs, monkeypatch, seed, many):
+    monkeypatch.setattr(L, "MANY", many)
+    rng = random.Random(seed)
+    pool = [" ".join(f"p{k}" for _ in range(rng.choice([2, 5, 9, 21]))) for k in range(9)]
+    rows = [(k, "\n".join(rng.choice(pool) for _ in range(rng.randint(2, 12)))) for k in range(40)]
+    seen, want = set(), []
+    for k, text in rows:
+        own, gone = text.split("\n"), set()
+        for a, b in itertools.combinations(range(len(own) + 1), 2):  # every run, not the shortest only
+            if len(" ".join(own[a:b]).split()) >= 20:
+                gone |= set(range(a, b)) if tuple(own[a:b]) in seen else set()
+                seen.add(tuple(own[a:b]))
+        want.append((k, "\n".join(x for n, x in enumerate(own) if n not in gone), len(own), len(gone)))
+    assert sorted(tuple(r) for r in L.dedup_lines(make_docs(rows)).select("doc_id", "text", "n_lines", "n_removed").collect()) == want
+
+
 def test_no_lines(make_docs):
     assert L.dedup_lines(make_docs([])).count() == 0
 
