@@ -9,15 +9,15 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions import scalars as X
 from tallyframe.operators.balances import with_account_totals
 from tallyframe.operators.joins import account_ownership_check
 from tallyframe.plans.ids import largest_id, with_new_ids
-from tallyframe.plans.keys import anti_on_key, category_lookup, left_lookup, shuffled
-from tallyframe.schema import ENUMS, OUTCOME, TOTAL
+from tallyframe.plans.keys import anti_on_key, category_lookup, left_lookup, null_slot, shuffled
+from tallyframe.schema import ENUMS, MONEY, OUTCOME, TOTAL
 from tallyframe.session import written
 from tallyframe.sources.ledger import Ledger
 
@@ -207,47 +207,71 @@ def upsert_limits(
     """
     owners = budgets.select(F.col("id").alias("budget_id"), F.col("user_id").alias("_owner")).withColumn("_known", F.lit(True))
     before = limits.select("id", F.col("budget_id").alias("_budget"))
-    looked = _repeated(edits).join(shuffled(owners), "budget_id", "left").join(shuffled(before), "id", "left")
+    # What needs the budget and the category is settled first; then everything by id, edits being dealt by it once.
+    looked = edits.withColumn("_edit", F.monotonically_increasing_id()).join(shuffled(owners), "budget_id", "left")
     editor = F.col("user_id") if "user_id" in edits.columns else F.col("_owner")
-    deleted = F.coalesce("is_deleted", F.lit(False))
-    reason = (
-        F.when(F.col("_times") > 1, "edited more than once")
-        .when(F.col("_known").isNull() | ~editor.eqNullSafe(F.col("_owner")), "budget not found")
-        .when(F.col("_budget").isNotNull() & (F.col("_budget") != F.col("budget_id")), "limit of another budget")
-        .when(deleted & F.col("_budget").isNull(), "not found")
-        .when(~deleted & F.col("limit_amount").isNull(), "amount required")
-    )
+    fits = F.lit(True)
     if categories is not None:
         looked = category_lookup(looked, categories, spread="id")
         seen = F.col("category_is_system") | (F.col("category_owner_id") == F.col("_owner"))
         fits = F.coalesce((F.col("category_type") == OUTCOME) & seen, F.lit(False))
-        reason = reason.when(~deleted & ~fits, "category not allowed")
-    looked = looked.withColumn("reason", reason).select(*edits.columns, "reason")
+    looked = looked.select(
+        "id", "budget_id", "category_id", "limit_amount", F.coalesce("is_deleted", F.lit(False)).alias("_gone"), "_edit",
+        (F.col("_known").isNull() | ~editor.eqNullSafe(F.col("_owner"))).alias("_foreign"), fits.alias("_fits"))
+    same_id = Window.partitionBy("id")
+    again = F.col("id").isNotNull() & (F.min("_edit").over(same_id) < F.max("_edit").over(same_id))
+    looked = looked.withColumn("_again", again).join(shuffled(before), "id", "left").withColumn(
+        "reason",
+        F.when(F.col("_again"), "edited more than once")
+        .when(F.col("_foreign"), "budget not found")
+        .when(F.col("_budget").isNotNull() & (F.col("_budget") != F.col("budget_id")), "limit of another budget")
+        .when(F.col("_gone") & F.col("_budget").isNull(), "not found")
+        .when(~F.col("_gone") & F.col("limit_amount").isNull(), "amount required")
+        .when(~F.col("_gone") & ~F.col("_fits"), "category not allowed"))
 
     good = looked.filter("reason IS NULL").select("id", F.col("budget_id").alias("_b"), F.col("category_id").alias("_c"),
-                                                  F.col("limit_amount").alias("_a"), deleted.alias("_gone"), F.lit(True).alias("_hit"))
+                                                  F.col("limit_amount").alias("_a"), "_gone", F.lit(True).alias("_hit"))
     merged = limits.join(shuffled(good), "id", "full_outer").filter(~F.coalesce("_gone", F.lit(False)))
-    # An edit that takes a (budget, category) meets whoever holds it now, then the edits with smaller ids.
-    holds = F.col("budget_id").isNotNull()
-    moved = F.coalesce("_hit", F.lit(False)) & ~(holds & F.col("category_id").eqNullSafe(F.col("_c")))
-    merged = merged.withColumn("_moved", moved)
-    places = merged.filter(holds).select("budget_id", "category_id", F.lit(False).alias("_moved"), "id").unionByName(
-        merged.filter("_moved").select(F.col("_b").alias("budget_id"), F.col("_c").alias("category_id"), "_moved", "id"))
-    first = places.groupBy(F.col("budget_id").alias("_b"), F.col("category_id").alias("_c")).agg(
-        F.min(F.struct("_moved", "id"))["id"].alias("_first"))
-    judged = merged.join(shuffled(first), ["_b", "_c"], "left").withColumn("_twin", F.col("_moved") & (F.col("_first") != F.col("id")))
-    taken = F.col("_hit") & ~F.col("_twin")
-    kept = judged.filter(holds | ~F.coalesce("_twin", F.lit(False))).select(
+    placed = _placed(merged)
+    kept = placed.filter(F.col("_out") & (F.col("_ob").isNotNull() | ~F.col("_moved") | ~F.coalesce("_twin", F.lit(False))))
+    there = ~F.col("_moved") | ~F.col("_twin")
+    kept = kept.select(
         "id",
-        F.when(taken, F.col("_b")).otherwise(F.col("budget_id")).alias("budget_id"),
-        F.when(taken, F.col("_c")).otherwise(F.col("category_id")).alias("category_id"),
-        F.when(taken, F.col("_a")).otherwise(F.col("limit_amount")).alias("limit_amount"),
-    )
-    twins = judged.filter("_twin").select("id", F.lit("category already has a limit").alias("_twin"))
+        F.when(there, F.coalesce(F.when(~F.col("_moved"), F.col("_ob")), "_pb")).otherwise(F.col("_ob")).alias("budget_id"),
+        F.when(there, F.col("_pc")).otherwise(F.col("_oc")).alias("category_id"),
+        F.when(there, F.col("_a")).otherwise(F.col("_oa")).alias("limit_amount"))
+    twins = placed.filter("_twin").select("id", F.lit("category already has a limit").alias("_twin"))
     report = looked.join(shuffled(twins), "id", "left")
     return kept.select(*limits.columns), _report(report, F.coalesce("reason", "_twin"))
 
 
+def _placed(merged: DataFrame) -> DataFrame:
+    """Places (_pb, _pc) that limits hold and edits take, with ``_twin`` where an edit finds its place taken.
+
+    ``merged`` are limits with the edit (_b, _c, _a, _hit) of each. A limit that
+    an edit moves gives two rows: the place it holds, which is no result row
+    (``_out``), and the one it asks for. An edit that takes a place meets whoever
+    holds it now, then the edits with smaller ids. All of that is one shuffle
+    by place; places with a NULL equal nothing and are scattered.
+    """
+    hit = F.coalesce("_hit", F.lit(False))
+    holds = F.col("budget_id").isNotNull()
+    moved = hit & ~(holds & F.col("category_id").eqNullSafe(F.col("_c")))
+    amount = F.when(moved, F.lit(None)).when(hit, F.col("_a")).otherwise(F.col("limit_amount"))
+    elsewhere = F.when(hit & ~moved & (F.col("_b") != F.col("budget_id")), F.col("_b"))  # an id of several budgets
+    nothing = F.lit(None).cast("long")
+    stays = F.struct(F.col("budget_id").alias("_pb"), F.col("category_id").alias("_pc"), F.lit(False).alias("_moved"), (~moved).alias("_out"),
+                     amount.cast(MONEY).alias("_a"), elsewhere.alias("_ob"), nothing.alias("_oc"), nothing.cast(MONEY).alias("_oa"))
+    goes = F.struct(F.col("_b").alias("_pb"), F.col("_c").alias("_pc"), F.lit(True).alias("_moved"), F.lit(True).alias("_out"),
+                    F.col("_a").cast(MONEY).alias("_a"), F.col("budget_id").alias("_ob"), F.col("category_id").alias("_oc"),
+                    F.col("limit_amount").alias("_oa"))
+    both = F.when(moved & holds, F.array(stays, goes)).when(moved, F.array(goes)).otherwise(F.array(stays))
+    whole = F.when(F.col("_pb").isNotNull(), F.col("_pc"))
+    rows = merged.select("id", F.inline(both)).withColumn("_slot", null_slot(whole, "id"))
+    first = F.min(F.struct("_moved", "id")).over(Window.partitionBy("_pb", "_pc", "_slot"))["id"]
+    return rows.withColumn("_twin", F.col("_moved") & F.when(F.col("_slot") == 0, first != F.col("id")))
+
+
 # --- accounts ----------------------------------------------------------------
 
 def open_accounts(stored: DataFrame, batch: DataFrame, now: dt.datetime) -> tuple[DataFrame, DataFrame]:

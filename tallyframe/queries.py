@@ -837,8 +837,8 @@ def _upsert_limits(spark, d):
         F.when(no % 13 != 0, F.col("limit_amount") + 1).cast(S.MONEY).alias("limit_amount"),
         ((F.col("category_id") == 12) & (F.col("budget_id") % 2 == 0)).alias("is_deleted"),
         F.when(no % 17 == 0, F.col("user_id") + 1).otherwise(F.col("user_id")).alias("user_id"))
-    twice = edits.filter("id % 19 = 0")
-    return mutations.upsert_limits(L["limits"], L["budgets"], L["categories"], edits.unionByName(twice))
+    times = F.explode(F.when(no % 19 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("_time")
+    return mutations.upsert_limits(L["limits"], L["budgets"], L["categories"], edits.select("*", times).drop("_time"))
 
 
 @query

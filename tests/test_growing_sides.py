@@ -59,3 +59,16 @@ def test_limit_totals_use_all_partitions_and_broadcast_nothing(spark, tables):
     assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
     assert {r["category_id"]: int(r["spent"]) for r in found.collect()} == {11: 10, 12: 0}
     assert len(rows(found)) == 20
+
+
+def test_limit_edits_are_dealt_once_by_budget_id_and_place(tables):
+    """Edits twice, budgets and limits twice by id, the places: before, each of three readers dealt all edits anew."""
+    edits = tables["limits"].selectExpr("id", "budget_id", "23 - category_id AS category_id", "limit_amount", "false AS is_deleted")
+    extra = edits.filter("id = 11").unionByName(edits.filter("id = 111").selectExpr("9000L AS id", "budget_id", "CAST(NULL AS BIGINT) AS category_id", "limit_amount", "is_deleted"))
+    after, report = mutations.upsert_limits(tables["limits"], tables["budgets"], None, edits.unionByName(extra))
+    assert 0 < plan(after).count("Exchange hashpartitioning") <= 6
+    found = {r["id"]: (r["budget_id"], r["category_id"]) for r in after.collect()}
+    assert found == {b * 100 + c: (b, c) for b in range(10) for c in (11, 12)} | {9000: (None, None)}
+    reasons = [(r["id"], r["reason"]) for r in report.collect()]
+    assert sorted(i for i, why in reasons if why == "edited more than once") == [11, 11]
+    assert sum(why == "category already has a limit" for _, why in reasons) == 19 and len(reasons) == 22
