@@ -269,6 +269,29 @@ def test_exchange_raises_likelihood():
     assert all(len(set(label[:40][hidden == k])) == 1 for k in range(4)) and len(set(label[:40])) == 4
 
 
+def test_every_word_gets_its_class_from_its_contexts(make_docs, monkeypatch):
+    """Words of two kinds take turns and all end alike: their ending cannot tell them apart, whatever their rank."""
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    vocabulary = [f"{kind}{i:02}xx" for kind in "ab" for i in range(30)]
+    rows = [(k, " ".join(f"{kind}{min(29, int(rng.expovariate(0.12))):02}xx" for _ in range(20) for kind in "ab")) for k in range(60)]
+    monkeypatch.setattr(brown_lm, "CLUSTERED", 8)
+    for carried in (1 << 19, 20):
+        monkeypatch.setattr(brown_lm, "CARRIED", carried)
+        model, rare = brown_lm.train(make_docs(rows).select("text"))
+        (_, _, h, e, _), = brown_lm._words(pa.array([" ".join(vocabulary)]))
+        others = {r["word"]: r["kind"] for r in rare.collect()}
+        assert len(others) + len(model.carried) == len({w for _, t in rows for w in words(t)}) and (len(others) > 9) == (carried == 20)
+        kinds = [others.get(w, k) for w, k in zip(h.tolist(), model.classify(h, e).tolist(), strict=True)]
+        # Told by its class, a word's kind is nearly always right; one class for the ending would tell 30 of 60.
+        told = sum(max(kinds[:30].count(k), kinds[30:].count(k)) for k in set(kinds))
+        assert told > 48
+    # Class pairs cover every token once, also those of two neighbours that are not carried.
+    seen = np.isfinite(model.pair_logs.reshape(model.kinds, model.kinds))
+    assert seen[model.end].any() and model.total == 60 * 41
+
+
 def test_no_training_rows(make_docs):
     held = next(k for k in range(99) if zlib.crc32(str(k).encode()) % 7 == 2)
     (r,) = brown_lm.scored_documents(make_docs([(held, "a b")])).collect()
